@@ -19,6 +19,10 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: White space and ASCII punctuation.
+MARKS = SPACE.copy()
+MARKS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+
 CHUNK_BYTES = 4 << 20
 
 
@@ -54,12 +58,15 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str | int, most: int = CHU
             at = to
 
 
-def spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of all rows, and for each row the number of its first word (and the total)."""
+def spans(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all rows, and for each row the number of its first word (and the total).
+
+    ``gap`` marks the byte values that separate words.
+    """
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    word = ~SPACE[buf]
+    word = ~gap[buf]
     cut = np.zeros(n + 1, bool)
     cut[offs] = True
     start = word.copy()
@@ -88,18 +95,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _SALT = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, drop: np.ndarray | None = None) -> np.ndarray:
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit polynomial hash of each span, all in one pass (sums of salted bytes times powers of an odd base).
 
     It is a key for grouping; callers verify bytes where equality must be exact.
-    ``drop`` marks byte values that count as absent (only sound at span edges).
     """
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _powers(len(buf) + 1)
-    salt = _SALT if drop is None else np.where(drop, np.uint64(0), _SALT)
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(salt[buf] * up[: len(buf)], out=total[1:])
+    np.cumsum(_SALT[buf] * up[: len(buf)], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
     return mixed(h)
 

@@ -17,8 +17,24 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, ...) for each benchmark item that leaks into a document."""
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import fingerprint_hex, near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op5_decontamination": op5_decontamination,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
