@@ -21,7 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from heapq import heappop, heappush
 
@@ -160,16 +160,20 @@ def merges(path: str) -> MergeReplay:
     return MergeReplay(path)
 
 
+#: Bytes and lengths of words to their ids and numbers of ids.
+Replay = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
 class _Ids:
     """Id ranges of the pool's words."""
 
-    def __init__(self, path: str) -> None:
-        self.bpe, self.pool = merges(path), Pool()
+    def __init__(self, replay: Replay) -> None:
+        self.replay, self.pool = replay, Pool()
         self.ids, self.lens, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def extend(self) -> None:
         data, lens = self.pool.take_new()
-        ids, counts = self.bpe.replay(data, lens)
+        ids, counts = self.replay(data, lens)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.ids, self.lens = np.concatenate([self.ids, ids]), np.concatenate([self.lens, counts])
 
@@ -179,9 +183,9 @@ class _Ids:
         return self.ids[gather(self.starts[code], lens)], np.diff(size[rows])
 
 
-def windows(batches: Iterator[pa.RecordBatch], column: str, path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def windows(batches: Iterator[pa.RecordBatch], column: str, replay: Replay) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, ids laid end to end, number of ids of each row), chunk by chunk in the order of the input."""
-    state, held, size = _Ids(path), [], 0
+    state, held, size = _Ids(replay), [], 0
 
     def flush():
         state.extend()
@@ -197,7 +201,7 @@ def windows(batches: Iterator[pa.RecordBatch], column: str, path: str) -> Iterat
             yield from flush()
             held, size = [], 0
             if len(state.pool) > POOL_WORDS:
-                state = _Ids(path)
+                state = _Ids(replay)
     yield from flush()
 
 
@@ -207,7 +211,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches):
-        for part, got, counts in windows(batches, text, path):
+        for part, got, counts in windows(batches, text, merges(path).replay):
             offs = np.append(0, np.cumsum(counts)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offs), pa.array(got, pa.int32()))], names=[*part.schema.names, name])
 
@@ -240,7 +244,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id"
 
     def run(batches):
         bpe, sha = merges(path), lambda x: hashlib.sha256(x).hexdigest()
-        for part, got, counts in windows(batches, text, path):
+        for part, got, counts in windows(batches, text, merges(path).replay):
             data, offs = bpe.decode(got, counts)
             ids, cut = memoryview(got.astype("<u4")).cast("B"), (4 * np.append(0, np.cumsum(counts))).tolist()
             data, offs = memoryview(np.ascontiguousarray(data)), offs.tolist()

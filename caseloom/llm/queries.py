@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .store import table
 
@@ -17,6 +18,21 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shards
+
+    return shards(table(spark, sf_dir, "documents"), bins=16)
+
+
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .records import token_records
+
+    out = token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, ...) for each benchmark item that leaks into a document."""
     from .decontaminate import leaks
@@ -24,6 +40,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived
+
+    out = archived(table(spark, sf_dir, "pages"))
+    return out.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import fingerprint_hex, near_duplicates
 
@@ -33,7 +56,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_sharding": op3_sharding,
+    "op4_token_records": op4_token_records,
     "op5_decontamination": op5_decontamination,
+    "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }
 
