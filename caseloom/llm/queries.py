@@ -40,6 +40,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .outliers import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archived
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_token_records": op4_token_records,
     "op5_decontamination": op5_decontamination,
+    "op6_outliers": op6_outliers,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }
