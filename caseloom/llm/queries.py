@@ -61,6 +61,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "page_id", "declared", "host", "language", F.round("confidence", 6).alias("confidence"), "kept")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fm import fit, held_out, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = fit(docs, labels.where(~held_out()))
+    scored = score(docs, machine)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archived
 
@@ -82,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_outliers": op6_outliers,
     "op7_language_id": op7_language_id,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }
