@@ -196,5 +196,15 @@ def score(df: DataFrame, machine: Machine, text: str = "text", metadata: tuple[s
     return df.select(*dict.fromkeys((*keep, text, *metadata))).mapInArrow(run, schema)
 
 
+def keep(df: DataFrame, machine: Machine, least: float = 0.3, text: str = "text", metadata: tuple[str, ...] = ("n_chars",)) -> DataFrame:
+    """The rows, with all columns, whose score is at least ``least``; one pass, no join."""
+
+    def run(batches):
+        for part in chunks(batches, text):
+            yield part.filter(pa.array(machine.score(*features(part, text, metadata)) >= least))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(key: str = "doc_id", folds: int = 5):
     return F.crc32(F.col(key).cast("string")) % folds == 0

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from .store import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, license, ...) for each license notice in a document."""
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,6 +92,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_sharding": op3_sharding,
     "op4_token_records": op4_token_records,
