@@ -1 +1,447 @@
-"""Queries."""
+"""Queries over cases, gates, joins, aggregates and orders (families B to H)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from caseloom.functions import scores, text
+from caseloom.operators import cases
+
+from .registry import query, table
+
+CATEGORY_SQL = "CASE o_orderkey % 13 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(cases.CATEGORIES)) + " ELSE 'unknown' END"
+UNIT_SQL = "CASE category " + " ".join(f"WHEN '{c}' THEN 'UNIT-{u}-'" for c, u in zip(cases.CATEGORIES, cases.UNITS, strict=True)) + " END"
+
+
+def _category(key: str):
+    return F.coalesce(F.try_element_at(F.array(*map(F.lit, cases.CATEGORIES)), (F.col(key) % 13 + 1).cast("int")), F.lit("unknown"))
+
+
+@query("B1_case_map_point", """
+WITH t AS (SELECT o_orderkey, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 6))::BIGINT AS h FROM orders)
+SELECT o_orderkey, round(-6.9175::DOUBLE + ((h % 100) - 50) * 0.0008::DOUBLE, 5) AS lat, round(107.6191::DOUBLE + (((h // 100) % 100) - 50) * 0.0008::DOUBLE, 5) AS lon FROM t""")
+def b1(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", cases.map_point(F.col("o_orderkey")).alias("p")).select("o_orderkey", "p.lat", "p.lon")
+
+
+@query("B2_detail_defaults", "SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), ''), 'untitled') AS title FROM pages")
+def b2(spark, d):
+    title = F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    return table(spark, d, "pages").select("page_id", F.coalesce(F.nullif(title, F.lit("")), F.lit("untitled")).alias("title"))
+
+
+@query("B3_department_name", "SELECT s_suppkey, coalesce(n_name, 'unit-' || s_nationkey, 'none') AS department FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON s_nationkey = n_nationkey")
+def b3(spark, d):
+    names = table(spark, d, "nation").where("n_nationkey < 20")
+    s = table(spark, d, "supplier")
+    return s.join(names, s.s_nationkey == names.n_nationkey, "left").select("s_suppkey", F.coalesce("n_name", F.concat(F.lit("unit-"), "s_nationkey"), F.lit("none")).alias("department"))
+
+
+@query("B4_canonical_values", "SELECT c_custkey, CASE WHEN upper(trim(c_mktsegment)) IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') THEN upper(trim(c_mktsegment)) ELSE 'BUILDING' END AS segment FROM customer")
+def b4(spark, d):
+    return table(spark, d, "customer").select("c_custkey", cases.canonical(F.col("c_mktsegment"), ["BUILDING", "MACHINERY", "AUTOMOBILE"], "BUILDING").alias("segment"))
+
+
+@query("B5_ticket_command", """
+SELECT conv_id, md5(description) AS description_md5, sha256('{"case_id":' || conv_id || ',"priority":"NORMAL","turns":' || n || '}') AS payload_hash
+FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS description, count(*) AS n FROM conversations GROUP BY 1)""")
+def b5(spark, d):
+    from caseloom.operators.intake import joined_texts
+
+    t = joined_texts(table(spark, d, "conversations"), "conv_id", "turn", "text", "\n")
+    payload = F.to_json(F.struct(F.col("conv_id").alias("case_id"), F.lit("NORMAL").alias("priority"), F.col("n").alias("turns")))
+    return t.select("conv_id", F.md5("joined").alias("description_md5"), F.sha2(payload, 256).alias("payload_hash"))
+
+
+@query("B6_anonymised_payload", "SELECT o_orderkey, sha256(o_orderstatus || '|' || o_orderpriority) AS payload_hash FROM orders")
+def b6(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.sha2(F.format_string("%s|%s", "o_orderstatus", "o_orderpriority"), 256).alias("payload_hash"))
+
+
+@query("B7_agent_result", "SELECT vec_id, CASE WHEN list_max(embedding) >= 0.25 THEN 'OK' ELSE 'UNCERTAIN' END AS status, round(1 - list_max(embedding)::DOUBLE, 6) AS uncertainty FROM embeddings")
+def b7(spark, d):
+    top = F.array_max("embedding").cast("double")
+    return table(spark, d, "embeddings").select("vec_id", F.when(top >= 0.25, "OK").otherwise("UNCERTAIN").alias("status"), F.round(1 - top, 6).alias("uncertainty"))
+
+
+@query("B8_missing_fields", "SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars < 500 THEN 'location' END, CASE WHEN lang <> 'en' THEN 'language' END, CASE WHEN NOT contains(text, chr(10)) THEN 'details' END], lambda x: x IS NOT NULL), ',') AS missing FROM documents")
+def b8(spark, d):
+    parts = F.array(F.when(F.col("n_chars") < 500, "location"), F.when(F.col("lang") != "en", "language"), F.when(~F.col("text").contains("\n"), "details"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_compact(parts), ",").alias("missing"))
+
+
+@query("B9_span_keys", "SELECT event_id, coalesce(json_extract_string(props, '$.start'), json_extract_string(props, '$.k'))::INT AS span_start FROM events")
+def b9(spark, d):
+    return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.start"), F.get_json_object("props", "$.k")).cast("int").alias("span_start"))
+
+
+@query("C5_ticket_gate", f"""
+WITH t AS (SELECT o_orderkey, 'JUR-FICT-0' || (o_custkey % 4) AS jur, {CATEGORY_SQL} AS category, o_orderpriority, o_orderstatus FROM orders),
+u AS (SELECT *, CASE WHEN jur IN ('JUR-FICT-01', 'JUR-FICT-02', 'JUR-FICT-03') THEN {UNIT_SQL} || substr(jur, 10) END AS unit FROM t)
+SELECT o_orderkey, CASE WHEN unit IS NULL OR o_orderpriority = '5-LOW' THEN 'AUTHORITY_ROUTE_INVALID' WHEN o_orderpriority = '2-HIGH' OR o_orderstatus = 'P' THEN 'MANDATORY_EVIDENCE_MISSING' WHEN o_orderpriority = '1-URGENT' THEN 'IDEMPOTENCY_KEY_INVALID' ELSE 'TICKET_CREATE_ALLOWED' END AS reason FROM u""")
+def c5(spark, d):
+    o = table(spark, d, "orders").withColumn("category", _category("o_orderkey")).withColumn("jur", F.concat(F.lit("JUR-FICT-0"), F.col("o_custkey") % 4))
+    unit = F.when(F.col("o_orderpriority") == "5-LOW", "other").otherwise(cases.authority(F.col("jur"), F.col("category")))
+    missing = F.when(F.col("o_orderpriority") == "2-HIGH", F.array(F.lit("location"))).otherwise(F.array().cast("array<string>"))
+    key = F.concat(F.lit("k"), "o_orderkey")
+    sent = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("bad")).otherwise(key)
+    return o.select("o_orderkey", cases.ticket_gate(F.col("jur"), F.col("category"), unit, missing, F.col("o_orderstatus") != "P", sent, key).alias("reason"))
+
+
+@query("C6_egress_gate", """
+SELECT event_id, CASE WHEN user_id % 10 = 0 THEN 'PROVIDER_NOT_ON_ALLOWLIST' WHEN event_type = 'signup' THEN 'DATA_CLASS_NOT_ALLOWED' WHEN value > 45 THEN 'PII_EGRESS_BLOCKED' WHEN event_type = 'error' THEN 'BLOCKED_MIME_TYPE' WHEN event_type = 'view' AND user_id % 3 = 0 THEN 'SENSITIVE_IMAGE_EGRESS_DENIED' WHEN value > 20 THEN 'BUDGET_EXCEEDED' ELSE 'EGRESS_ALLOWED' END AS reason FROM events""")
+def c6(spark, d):
+    kind = F.col("event_type")
+    mime = F.when(kind == "error", "application/octet-stream").when(kind == "view", "image/png")
+    gate = cases.egress_gate(F.when(F.col("user_id") % 10 == 0, "other").otherwise("local"), F.when(kind == "signup", "secret").otherwise("public"), F.col("value") > 45, mime, F.col("user_id") % 3 == 0, F.col("value"), F.lit(20.0))
+    return table(spark, d, "events").select("event_id", gate.alias("reason"))
+
+
+@query("C7_identity_gate", "SELECT event_id, CASE WHEN user_id % 10 = 0 THEN 'DENIED' WHEN event_type = 'error' THEN 'MODEL_MISMATCH' ELSE 'CALL' END AS outcome FROM events")
+def c7(spark, d):
+    gate = scores.first_match([(F.col("user_id") % 10 == 0, "DENIED"), (F.col("event_type") == "error", "MODEL_MISMATCH")], "CALL")
+    return table(spark, d, "events").select("event_id", gate.alias("outcome"))
+
+
+DECISION = """
+WITH c AS (SELECT l_orderkey, bool_or(l_returnflag = 'R' AND l_quantity > 45) AS hard, bool_or(l_linestatus = 'O' AND l_quantity > 25) AS blocking FROM lineitem GROUP BY 1),
+v AS (SELECT l_orderkey, max(l_quantity / 10 - (l_tax + l_partkey % 700 / 1000.0 + l_extendedprice / 1000000.0 + l_suppkey % 90 / 1000.0)) AS best FROM lineitem WHERE l_returnflag <> 'N' AND l_linenumber <> 7 AND l_tax <= 0.06 AND l_partkey % 700 + l_suppkey % 90 <= 600 AND floor(l_extendedprice) <= 60000 GROUP BY 1)
+"""
+
+
+@query("C8_decision", DECISION.replace("l_extendedprice / 1000000.0", "floor(l_extendedprice) / 1000000.0") + """
+SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'REJECT_IGNORE/OUT_OF_SCOPE_OR_NON_COMPLAINT' WHEN o_custkey % 20 = 0 OR o_custkey % 17 = 0 OR coalesce(hard, false) THEN 'RE_EVALUATE/HARD_POLICY_OR_AUTHORITY_BLOCK'
+WHEN (coalesce(blocking, false) OR o_orderstatus = 'P' OR o_totalprice < 50000) AND best > 2 THEN 'RE_EVALUATE/POSITIVE_VOI' WHEN (coalesce(blocking, false) OR o_orderstatus = 'P' OR o_totalprice < 50000) AND o_custkey % 2 = 0 THEN 'REQUEST_CLARIFICATION/MANDATORY_FACT_OR_CONFLICT_UNRESOLVED'
+WHEN (coalesce(blocking, false) OR o_orderstatus = 'P' OR o_totalprice < 50000) THEN 'RE_EVALUATE/BLOCKED_WITHOUT_CLARIFICATION_CAPABILITY' ELSE 'EXECUTE/EVIDENCE_ROUTE_POLICY_READY' END AS decision
+FROM orders LEFT JOIN c ON c.l_orderkey = o_orderkey LEFT JOIN v ON v.l_orderkey = o_orderkey""")
+def c8(spark, d):
+    li = table(spark, d, "lineitem")
+    conflicts = li.groupBy("l_orderkey").agg(F.bool_or((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45)).alias("hard"), F.bool_or((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 25)).alias("blocking"))
+    best = cases.best_candidates(_candidates(li), "l_orderkey").select("l_orderkey", "value")
+    o = table(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey").join(conflicts, "l_orderkey", "left").join(best, "l_orderkey", "left")
+    off = F.lit(False)
+    made = cases.decide(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey") % 20 != 0, F.col("o_custkey") % 17 != 0, F.coalesce("hard", off), F.coalesce("blocking", off), F.col("o_orderstatus") != "P", F.col("o_totalprice") >= 50000, F.col("value"), F.lit(2.0), F.col("o_custkey") % 2 == 0)
+    return o.select(F.col("l_orderkey").alias("o_orderkey"), made.alias("decision"))
+
+
+def _candidates(li):
+    return li.select(
+        "l_orderkey", F.format_string("%d-%d-%d", "l_linenumber", "l_partkey", "l_suppkey").alias("task_id"), (F.col("l_returnflag") != "N").alias("policy_allowed"), (F.col("l_linenumber") == 7).alias("done"),
+        (F.col("l_quantity") / 10).alias("gain"), F.col("l_tax").alias("usd"), (F.col("l_partkey") % 700).alias("latency_ms"), F.floor("l_extendedprice").alias("egress_bytes"), (F.col("l_suppkey") % 90).alias("queue_ms"),
+        F.lit(0.06).alias("remaining_usd"), F.lit(600).alias("remaining_ms"), F.lit(60000).alias("remaining_bytes"),
+    )
+
+
+@query("G6_best_candidate", DECISION.replace("l_extendedprice / 1000000.0", "floor(l_extendedprice) / 1000000.0") + "SELECT l_orderkey, round(best, 6)::DOUBLE AS value FROM v")
+def g6(spark, d):
+    return cases.best_candidates(_candidates(table(spark, d, "lineitem")), "l_orderkey").select("l_orderkey", F.round("value", 6).alias("value"))
+
+
+@query("C9_complaint", """
+SELECT doc_id, ((lang = 'en' AND n_chars > 3000) OR contains(lower(text), 'erung') OR ((contains(lower(text), 'thtion') OR contains(lower(text), 'mentau')) AND (n_chars > 2000 OR contains(lower(text), ' la ')))) AND NOT (contains(lower(text), 'all rights') AND NOT (contains(lower(text), 'thtion') OR contains(lower(text), 'mentau'))) AS complaint FROM documents""")
+def c9(spark, d):
+    intent = F.when((F.col("lang") == "en") & (F.col("n_chars") > 3000), "COMPLAINT").otherwise("OTHER")
+    risk = F.when(F.col("n_chars") > 2000, "HIGH").otherwise("LOW")
+    made = cases.complaint(F.col("text"), intent, risk, F.lit("WASTE"), ["thtion", "mentau"], ["erung"], [" la "], ["all rights"])
+    return table(spark, d, "documents").select("doc_id", made.alias("complaint"))
+
+
+@query("C10_early_exit", """
+SELECT conv_id, turn, CASE WHEN contains(lower(trim(text)), 'tion') AND length(trim(text)) < 80 THEN 'STATUS' WHEN lower(trim(text)) IN ('la.', 'the.', 'in nicht ü einachie.') THEN 'GREETING' WHEN lower(trim(role)) = 'system' THEN 'CANCEL' END AS exit_intent FROM conversations""")
+def c10(spark, d):
+    made = cases.early_exit(F.col("text"), F.col("role"), ["tion"], ["la.", "the.", "in nicht ü einachie."], ["system"])
+    return table(spark, d, "conversations").select("conv_id", "turn", made.alias("exit_intent"))
+
+
+@query("C11_category_words", """
+SELECT doc_id, CASE WHEN contains(lower(text), 'thble') OR contains(lower(text), 'eaux') THEN 'WASTE' WHEN contains(lower(text), 'ción') THEN 'CLEAN_WATER' WHEN contains(lower(text), 'keit') THEN 'EDUCATION' ELSE 'ROAD' END AS category FROM documents""")
+def c11(spark, d):
+    made = cases.category_by_words(F.col("text"), [("WASTE", ["thble", "eaux"]), ("CLEAN_WATER", ["ción"]), ("EDUCATION", ["keit"])])
+    return table(spark, d, "documents").select("doc_id", made.alias("category"))
+
+
+@query("C12_completeness", r"""
+WITH t AS (SELECT doc_id, regexp_matches(text, 'idiot|scum') AS vague, regexp_matches(text, ' of [a-z]+') AND regexp_matches(text, ' by [a-z]+') AND regexp_matches(text, ' with [a-z]+') AS formal,
+ len(list_filter(regexp_extract_all(text, ' the ([a-zA-Z0-9\-]+)', 1), lambda w: NOT regexp_matches(w, '^(?:the|is)([^a-zA-Z0-9_]|$)'))) > 0 AS street, regexp_matches(text, '[0-9]') AS num, regexp_matches(text, ' (?:and|und) [a-z]+tion ') AS landmark, regexp_matches(text, ' (?:eder|ening) ') AS area FROM documents)
+SELECT doc_id, CASE WHEN vague THEN 'AMBIGUOUS' WHEN formal OR (street AND num) OR (landmark AND (area OR street)) OR (street AND area) THEN 'SUFFICIENT' ELSE 'INCOMPLETE' END AS completeness FROM t""")
+def c12(spark, d):
+    rules = {"ambiguous": ["idiot|scum"], "formal": [" of [a-z]+", " by [a-z]+", " with [a-z]+"], "street": r" the (?!(?:the|is)(?:[^a-zA-Z0-9_]|$))[a-zA-Z0-9\-]+", "number": "[0-9]", "landmark": " (?:and|und) [a-z]+tion ", "area": " (?:eder|ening) "}
+    return table(spark, d, "documents").select("doc_id", cases.completeness(F.col("text"), None, rules).alias("completeness"))
+
+
+@query("C13_pii_screen", r"""
+SELECT doc_id, regexp_matches(text, '\d{16}') AS national_id, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS email, regexp_matches(text, '(?:\+62|62|0)8\d{8,11}') AS phone FROM documents""")
+def c13(spark, d):
+    return table(spark, d, "documents").select("doc_id", *(F.col("text").rlike(p).alias(k) for k, p in text.PII.items()))
+
+
+@query("C14_priority_domain", "SELECT doc_id, CASE WHEN contains(lower(text), 'thtion') THEN 'FIRE_RESCUE' WHEN (contains(lower(text), 'eaux') OR contains(lower(text), 'keit')) AND NOT contains(lower(text), 'license') THEN 'PUBLIC_ORDER' END AS domain FROM documents")
+def c14(spark, d):
+    return table(spark, d, "documents").select("doc_id", cases.priority_domain(F.col("text"), ["thtion"], ["eaux", "keit"], ["license"]).alias("domain"))
+
+
+@query("C15_row_checks", """
+SELECT l_orderkey, l_partkey, l_linenumber, array_to_string(list_filter([CASE WHEN NOT (l_quantity BETWEEN 1 AND 48) THEN 'quantity' END, CASE WHEN NOT (l_discount <= 0.08) THEN 'discount' END, CASE WHEN NOT (l_returnflag IN ('A', 'R', 'N')) THEN 'flag' END], lambda x: x IS NOT NULL), ',') AS violated FROM lineitem WHERE l_quantity NOT BETWEEN 1 AND 48 OR l_discount > 0.08 OR l_returnflag NOT IN ('A', 'R', 'N')""")
+def c15(spark, d):
+    from caseloom.operators.intake import violated
+
+    rules = {"quantity": F.col("l_quantity").between(1, 48), "discount": F.col("l_discount") <= 0.08, "flag": F.col("l_returnflag").isin("A", "R", "N")}
+    checked = table(spark, d, "lineitem").withColumn("violated", violated(rules)).where(F.size("violated") > 0)
+    return checked.select("l_orderkey", "l_partkey", "l_linenumber", F.array_join("violated", ",").alias("violated"))
+
+
+@query("C16_payload_checks", "SELECT event_id, (json_extract(props, '$.k'))::INT >= 0 AND (json_extract(props, '$.k'))::INT < value * 10 AND event_type <> '' AS valid FROM events")
+def c16(spark, d):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, d, "events").select("event_id", ((k >= 0) & (k < F.col("value") * 10) & (F.col("event_type") != "")).alias("valid"))
+
+
+@query("C17_attachment_window", "SELECT o.o_orderkey, l.l_partkey, l.l_linenumber, l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 48 HOUR AS accepted FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l_shipdate >= o_orderdate - INTERVAL 30 DAY AND l_shipdate <= o_orderdate + INTERVAL 30 DAY")
+def c17(spark, d):
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    near = F.col("l_shipdate").between(F.col("o_orderdate") - F.expr("INTERVAL 30 DAYS"), F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS"))
+    ok = F.col("l_shipdate").between(F.col("o_orderdate"), F.col("o_orderdate") + F.expr("INTERVAL 48 HOURS"))
+    return li.join(o, li.l_orderkey == o.o_orderkey).where(near).select("o_orderkey", "l_partkey", "l_linenumber", ok.alias("accepted"))
+
+
+@query("C18_record_predicate", "SELECT doc_id, source = 'src0' OR text LIKE 'Licensed%' OR n_chars > 10000 AS out_of_domain FROM documents")
+def c18(spark, d):
+    return table(spark, d, "documents").select("doc_id", ((F.col("source") == "src0") | F.col("text").startswith("Licensed") | (F.col("n_chars") > 10000)).alias("out_of_domain"))
+
+
+@query("C20_partial_index", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000")
+def c20(spark, d):
+    return table(spark, d, "orders").where("o_orderstatus = 'O' AND o_totalprice > 100000").select("o_orderkey", "o_orderdate")
+
+
+@query("C21_tenant_isolation", "SELECT doc_id, n_chars FROM documents WHERE source = 'src3'")
+def c21(spark, d):
+    return table(spark, d, "documents").where(F.col("source") == "src3").select("doc_id", "n_chars")
+
+
+@query("D1_unlinked_messages", "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' WHERE o_orderkey IS NULL AND c_acctbal <= 9000")
+def d1(spark, d):
+    c, o = table(spark, d, "customer").where("c_acctbal <= 9000"), table(spark, d, "orders").where("o_orderstatus = 'F'")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+
+
+@query("D2_message_links", "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
+def d2(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    return o.join(c, c.c_custkey == o.o_custkey).select("o_orderkey", "c_name", "o_totalprice")
+
+
+@query("D3_quoted_message", "SELECT a.conv_id, a.turn, b.role AS quoted_role, length(b.text)::INT AS quoted_chars FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1")
+def d3(spark, d):
+    t = table(spark, d, "conversations")
+    quoted = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("quoted_role"), F.length("text").alias("quoted_chars"))
+    return t.select("conv_id", "turn").join(quoted, ["conv_id", "turn"])
+
+
+@query("D4_last_within_horizon", """
+SELECT e.event_id, (SELECT max(p.event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'signup' AND p.ts < e.ts AND p.ts >= e.ts - INTERVAL 48 HOUR) AS last_open FROM events e WHERE e.event_type = 'purchase'""")
+def d4(spark, d):
+    from caseloom.operators.intake import last_within
+
+    e = table(spark, d, "events")
+    return last_within(e, "user_id", "ts", "event_id", F.col("event_type") == "signup", 48 * 3600).where("event_type = 'purchase'").select("event_id", F.col("last_id").alias("last_open"))
+
+
+@query("D5_case_snapshot_theta", """
+SELECT n_nationkey, max(s_suppkey) AS newest FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey OR s_name LIKE '%0' || n_nationkey GROUP BY 1""")
+def d5(spark, d):
+    # Both branches are equality joins: no nested loop.
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    by_key = n.join(s, n.n_nationkey == s.s_nationkey).select("n_nationkey", "s_suppkey")
+    tails = s.select("s_suppkey", F.explode(F.transform(F.sequence(F.lit(2), F.lit(4)), lambda k: F.substring("s_name", F.length("s_name") - k + 1, k))).alias("tail"))
+    by_name = n.join(tails, F.concat(F.lit("0"), F.col("n_nationkey")) == tails["tail"]).select("n_nationkey", "s_suppkey")
+    best = by_key.union(by_name).groupBy("n_nationkey").agg(F.max("s_suppkey").alias("newest"))
+    return n.select("n_nationkey").join(best, "n_nationkey", "left")
+
+
+@query("D6_dimension_lookup", "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def d6(spark, d):
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    return c.join(n, c.c_nationkey == n.n_nationkey, "left").join(r, n.n_regionkey == r.r_regionkey, "left").select("c_custkey", "n_name", "r_name")
+
+
+@query("D7_temporal_validity", """
+WITH a AS (SELECT o_custkey, o_orderkey, o_orderdate AS valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to FROM orders)
+SELECT c_custkey, o_orderkey FROM customer JOIN a ON o_custkey = c_custkey AND valid_from <= TIMESTAMP '1997-06-15' AND TIMESTAMP '1997-06-15' < coalesce(valid_to, TIMESTAMP '9999-12-31')""")
+def d7(spark, d):
+    nxt = F.lead("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    a = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("valid_from"), nxt.alias("valid_to"))
+    at = F.to_timestamp_ntz(F.lit("1997-06-15 00:00:00")) if dict(a.dtypes)["valid_from"] == "timestamp_ntz" else F.lit("1997-06-15").cast("timestamp")
+    a = a.where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (at < F.col("valid_to"))))
+    c = table(spark, d, "customer")
+    return c.join(a, c.c_custkey == a.o_custkey).select("c_custkey", "o_orderkey")
+
+
+@query("D13_positional_zip", "SELECT l.doc_id, quality, n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+def d13(spark, d):
+    return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select("doc_id", "quality", "n_chars")
+
+
+PLACES = ", ".join(f"({i}, '{n}', {a}, {b})" for i, (n, a, b) in enumerate(cases.CENTROIDS))
+
+
+@query("D14_nearest_place", f"""
+WITH p AS (SELECT o_orderkey, -6.95::DOUBLE + (o_orderkey % 97) / 1000.0::DOUBLE AS lat, 107.57::DOUBLE + (o_custkey % 89) / 500.0::DOUBLE AS lon FROM orders), c AS (SELECT * FROM (VALUES {PLACES}) v(i, name, clat, clon))
+SELECT o_orderkey, arg_min(name, (round(2 * asin(sqrt(power(sin(radians(clat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * power(sin(radians(clon - lon) / 2), 2))) * 6371, 9), i)) AS place FROM p, c GROUP BY 1""")
+def d14(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", (F.lit(-6.95) + (F.col("o_orderkey") % 97) / 1000.0).alias("lat"), (F.lit(107.57) + (F.col("o_custkey") % 89) / 500.0).alias("lon"))
+    return o.select("o_orderkey", cases.nearest_place(F.col("lat"), F.col("lon")).alias("place"))
+
+
+@query("D16_insert_guard", "SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey)")
+def d16(spark, d):
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    return o.join(li, o.o_orderkey == li.l_orderkey, "left_anti").select("o_orderkey")
+
+
+@query("D17_substring_join", "SELECT p_partkey, r_regionkey FROM part JOIN region ON contains(lower(p_name || ' ' || p_type), lower(substr(r_name, 2, 1)))")
+def d17(spark, d):
+    from caseloom.operators.intake import containing
+
+    p = table(spark, d, "part").select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("text"))
+    r = table(spark, d, "region").select("r_regionkey", F.lower(F.substring("r_name", 2, 1)).alias("needle"))
+    return containing(p, r, "text", "needle").select("p_partkey", "r_regionkey")
+
+
+@query("E1_case_counters", "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS closed, count(*) FILTER (o_orderstatus = 'O') AS opened, count(*) FILTER (o_orderstatus = 'P') AS pending FROM orders")
+def e1(spark, d):
+    s = F.col("o_orderstatus")
+    return table(spark, d, "orders").agg(F.count(F.lit(1)).alias("total"), F.count_if(s == "F").alias("closed"), F.count_if(s == "O").alias("opened"), F.count_if(s == "P").alias("pending"))
+
+
+@query("E2_savings", "SELECT round(greatest(count(*) - 1, 0) * 0.002, 3)::DOUBLE AS usd, greatest(count(*) - 1, 0) * 16000 * 2 // 1000 AS idr FROM orders")
+def e2(spark, d):
+    n = F.greatest(F.count(F.lit(1)) - 1, F.lit(0))
+    return table(spark, d, "orders").agg(F.round(n * 0.002, 3).alias("usd"), F.expr("greatest(count(1) - 1, 0) * 16000 * 2 div 1000").alias("idr"))
+
+
+@query("E3_next_revision", "SELECT o_orderkey, coalesce(max(l_linenumber), 0) + 1 AS next_revision FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def e3(spark, d):
+    top = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("top"))
+    o = table(spark, d, "orders")
+    return o.join(top, o.o_orderkey == top.l_orderkey, "left").select("o_orderkey", (F.coalesce("top", F.lit(0)) + 1).alias("next_revision"))
+
+
+@query("E4_evidence_hash", "SELECT conv_id, sha256(string_agg(text, ' ' ORDER BY turn)) AS spaced_hash, sha256(string_agg(text, chr(10) ORDER BY turn)) AS lined_hash FROM conversations GROUP BY 1")
+def e4(spark, d):
+    from caseloom.operators.intake import joined_texts
+
+    t = table(spark, d, "conversations")
+    spaced = joined_texts(t, "conv_id", "turn", "text", " ").select("conv_id", F.sha2("joined", 256).alias("spaced_hash"))
+    lined = joined_texts(t, "conv_id", "turn", "text", "\n").select("conv_id", F.sha2("joined", 256).alias("lined_hash"))
+    return spaced.join(lined, "conv_id")
+
+
+@query("E5_crosstab", "SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2")
+def e5(spark, d):
+    return table(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("E6_distinct_families", "SELECT lang, count(DISTINCT source) AS families FROM documents GROUP BY 1")
+def e6(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(F.count_distinct("source").alias("families"))
+
+
+@query("E7_family_overlap", "SELECT a.lang AS left_split, b.lang AS right_split, array_to_string(list_sort(list(DISTINCT a.source)), ',') AS families FROM (SELECT DISTINCT lang, source FROM documents) a JOIN (SELECT DISTINCT lang, source FROM documents) b ON a.source = b.source AND a.lang < b.lang GROUP BY 1, 2")
+def e7(spark, d):
+    from caseloom.operators.datasets import family_overlap
+
+    return family_overlap(table(spark, d, "documents"), "source", "lang")
+
+
+@query("E20_counter_registry", "SELECT event_type AS name, user_id % 5 AS label, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
+def e20(spark, d):
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("name"), (F.col("user_id") % 5).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
+@query("E21_vote_collapse", "SELECT l_orderkey, bool_or(l_returnflag = 'R') AS any_hard, bool_or(l_linestatus = 'O') AS any_blocking FROM lineitem GROUP BY 1")
+def e21(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("any_hard"), F.bool_or(F.col("l_linestatus") == "O").alias("any_blocking"))
+
+
+@query("E22_hit_counter", "SELECT p_partkey, coalesce(n, 0) + p_size AS hit_count FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
+def e22(spark, d):
+    hits = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    p = table(spark, d, "part")
+    return p.join(hits, p.p_partkey == hits.l_partkey, "left").select("p_partkey", (F.coalesce("n", F.lit(0)) + F.col("p_size")).alias("hit_count"))
+
+
+@query("E23_attempts", "SELECT user_id, event_type, max(event_id) AS last_event, count(*) AS attempts FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1, 2")
+def e23(spark, d):
+    return table(spark, d, "events").where(F.col("event_type").isin("error", "purchase")).groupBy("user_id", "event_type").agg(F.max("event_id").alias("last_event"), F.count(F.lit(1)).alias("attempts"))
+
+
+@query("F2_latest_revision", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem) WHERE rn = 1")
+def f2(spark, d):
+    return cases.latest(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("G1_recent_cases", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200")
+def g1(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(200)
+
+
+@query("G2_oldest_due", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 1")
+def g2(spark, d):
+    return table(spark, d, "orders").where("o_orderstatus = 'O'").orderBy("o_orderdate", "o_orderkey").limit(1).select("o_orderkey")
+
+
+@query("G5_priority_order", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '5-LOW' THEN 3 ELSE 2 END, o_orderkey)::INT AS place FROM orders")
+def g5(spark, d):
+    risk = F.regexp_extract("o_orderpriority", r"-(.*)$", 1)
+    w = Window.partitionBy("o_custkey").orderBy(scores.priority(risk), "o_orderkey")
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("place"))
+
+
+@query("G7_fixed_batches", "SELECT o_custkey, o_orderkey, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) - 1) // 5)::INT AS batch FROM orders")
+def g7(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderpriority", "o_orderkey")
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.floor((F.row_number().over(w) - 1) / 5).cast("int").alias("batch"))
+
+
+@query("G8_feed", "SELECT event_id, event_type FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 100")
+def g8(spark, d):
+    return table(spark, d, "events").where("event_type = 'error'").orderBy(F.desc("ts"), "event_id").limit(100).select("event_id", "event_type")
+
+
+@query("H1_intersect", "SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE lang = 'es'")
+def h1(spark, d):
+    t = table(spark, d, "documents")
+    return t.where("lang = 'en'").select("source").intersect(t.where("lang = 'es'").select("source"))
+
+
+@query("H3_jaccard", r"""
+WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '([a-z0-9_\-]+)', 1)) AS w FROM conversations)
+SELECT a.conv_id, a.turn, round(CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END, 6)::DOUBLE AS jaccard FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+def h3(spark, d):
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(text.ascii_tokens(F.col("text"))).alias("w"))
+    other = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
+    both = F.size(F.array_union("w", "v"))
+    return t.join(other, ["conv_id", "turn"]).select("conv_id", "turn", F.round(F.when(both == 0, 0.0).otherwise(F.size(F.array_intersect("w", "v")) / both), 6).alias("jaccard"))
+
+
+@query("H4_token_overlap", "SELECT a.vec_id, list_has_any(a.embedding[1:3], [x for x in a.embedding if x > 0.2]) AS overlaps FROM embeddings a")
+def h4(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.arrays_overlap(F.slice("embedding", 1, 3), F.filter("embedding", lambda x: x > 0.2)).alias("overlaps"))
+
+
+@query("H5_set_difference", "SELECT DISTINCT o_custkey AS custkey FROM orders EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def h5(spark, d):
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_custkey").alias("custkey")).distinct().exceptAll(o.where("o_orderstatus = 'P'").select("o_custkey").distinct())
+
+
+@query("H6_union_sets", "SELECT l_orderkey, len(list_distinct(list_concat(list(l_returnflag), list(l_linestatus))))::INT AS n_values FROM lineitem GROUP BY 1")
+def h6(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.size(F.array_union(F.collect_set("l_returnflag"), F.collect_set("l_linestatus"))).alias("n_values"))
+
+
+@query("H7_remaining", "SELECT l_orderkey, array_to_string(list_filter(['A', 'N', 'R'], lambda x: NOT list_contains(list(l_returnflag), x)), ',') AS remaining FROM lineitem GROUP BY 1")
+def h7(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_except(F.array(*map(F.lit, "ANR")), F.collect_set("l_returnflag")), ",").alias("remaining"))
