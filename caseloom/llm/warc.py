@@ -165,7 +165,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """(key, url, payload_bytes, payload_digest, record_type, refers_to) of the records in a manifest's files, digests verified."""
-    files = manifest.select("file", "shard", "seq").repartition("shard", "seq").select("file")
+    # One task for each file: a number given is not coalesced, however few bytes the manifest has.
+    files = manifest.select("file", "shard", "seq").repartitionByRange(max(1, manifest.count()), "shard", "seq").select("file")
     schema = "key long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
     def run(batches):
