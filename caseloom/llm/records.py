@@ -170,7 +170,8 @@ def read_records(manifest: DataFrame, folder: str, wide: bool = False) -> DataFr
     files is the only ordered step; it has one row for each file.
     """
     before = F.coalesce(F.sum("ids").over(Window.orderBy("shard", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.select("file", before.alias("base"), "shard", "seq").repartition("shard", "seq").select("file", "base")
+    files = manifest.select("file", before.alias("base"), "shard", "seq")
+    files = files.repartitionByRange(max(1, manifest.count()), "shard", "seq").select("file", "base")  # one task for each file
 
     def run(batches):
         fs, base = filesystem(folder)
