@@ -100,3 +100,73 @@ def split_hash(rows: DataFrame, split: str, ident: str, salt: str = "") -> DataF
     lead = [F.lit(salt)] if salt else []
     joined = F.concat_ws("\n", *lead, F.array_join("ids", "\n"))
     return rows.groupBy(split).agg(ids.alias("ids"), F.count(F.lit(1)).alias("n")).select(split, "n", F.sha2(joined, 256).alias("split_hash"))
+
+
+def audit_families(rows: DataFrame, family: str, split: str, key: str, text: str, least: int = 20, n: int = 6) -> DataFrame:
+    """(violation, n): families in several splits, long texts in several splits, n-grams in several splits.
+
+    An n-gram counts if it stands in two splits at least, whatever the order of the rows.
+    """
+    several = lambda by, name: by.groupBy("v").agg(F.count_distinct(split).alias("s")).where("s > 1").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("violation"), "n")
+    families = rows.select(F.col(family).alias("v"), split).distinct()
+    texts = rows.where(F.length(text) > least).select(tx.text_hash(F.col(text)).alias("v"), split).distinct()
+    grams = rows.select(F.explode(F.array_distinct(tx.ngrams(tx.word_tokens(F.col(text)), n))).alias("g"), split).select(F.xxhash64("g").alias("v"), split).distinct()
+    return several(families, "family").unionByName(several(texts, "duplicate_text")).unionByName(several(grams, "ngram"))
+
+
+def held_out_audit(held: DataFrame, train: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(check, n): held-out rows whose value is found in training, for (held value, training value) pairs."""
+    out = None
+    for name, (h, t) in checks.items():
+        hit = held.select(h.alias("v")).join(train.select(t.alias("v")).distinct(), "v", "left_semi").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
+
+def greedy_kept(pairs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Ids that a greedy pass in id order keeps: an id goes if it pairs with a smaller kept one.
+
+    Rounds of set operations: an id all of whose smaller partners are settled is
+    settled too.  Every round settles the least open id of each cluster at
+    least; clusters of near-duplicates are small, so few rounds are taken.
+    """
+    open_pairs = pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+    dropped = None
+    while not open_pairs.isEmpty():
+        # A smaller id with no open smaller partner stays; its larger partners go.
+        heads = open_pairs.select("a").distinct().join(open_pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = open_pairs.join(heads, "a").select("b").distinct()
+        dropped = gone if dropped is None else dropped.union(gone).distinct()
+        g = gone.withColumnRenamed("b", "x")
+        left = open_pairs.join(g, open_pairs.a == g.x, "left_anti").join(g, open_pairs.b == g.x, "left_anti").join(heads.withColumnRenamed("a", "x"), F.col("a") == F.col("x"), "left_anti")
+        # checkpoint() cuts the growing plan at the shared folder.
+        open_pairs, dropped = _cut(left), _cut(dropped)
+    kept = ids.select(key)
+    return kept if dropped is None else kept.join(dropped.withColumnRenamed("b", key), key, "left_anti")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="caseloom-"))
+    return df.checkpoint()
+
+
+def templated(dimension: DataFrame, templates: dict[str, str], column: str) -> DataFrame:
+    """Every row of ``dimension`` with every template: (columns, template, text); ``{x}`` takes the column's value."""
+    cells = F.array(*(F.struct(F.lit(k).alias("template"), F.replace(F.lit(t), F.lit("{x}"), F.col(column)).alias("text")) for k, t in templates.items()))
+    return dimension.withColumn("s", F.explode(cells)).select(*dimension.columns, "s.*")
+
+
+def longest_alias(text: Column, aliases: list[str]) -> Column:
+    """The longest alias that stands in the text between non-word characters; the first in order on ties."""
+    ordered = sorted(aliases, key=lambda a: (-len(a), a))
+    return F.coalesce(*(F.when(text.rlike(rf"(?<![\p{{L}}\p{{N}}_]){a}(?![\p{{L}}\p{{N}}_])"), F.lit(a)) for a in ordered))
+
+
+def valid_spans(spans: Column) -> Column:
+    """Normalised spans struct(start, end, label): B-/I- prefixes go, invalid ones are dropped."""
+    clean = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.regexp_replace(s["label"], "^[BI]-", "").alias("label")))
+    return F.filter(clean, lambda s: (s["start"] >= 0) & (s["start"] < s["end"]) & (s["label"] != ""))

@@ -59,8 +59,11 @@ def overlapping(left: DataFrame, right: DataFrame, key: list[str], a: tuple[str,
 
 def regex_entities(text: Column, patterns: list[tuple[str, str, float]]) -> Column:
     """array<struct(label, text, confidence)> of the matches of each pattern, in the order of the patterns."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(p), 0), lambda m, label=label, c=c: F.struct(F.lit(label).alias("label"), F.trim(m).alias("text"), F.lit(c).alias("confidence"))) for label, p, c in patterns]
-    return F.concat(*found)
+
+    def found(label: str, pattern: str, confidence: float) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.struct(F.lit(label).alias("label"), F.trim(m).alias("text"), F.lit(confidence).alias("confidence")))
+
+    return F.concat(*(found(*p) for p in patterns))
 
 
 # Default patterns of the (Indonesian) entity rules.

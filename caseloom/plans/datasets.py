@@ -1 +1,232 @@
-"""Queries."""
+"""Queries over dataset engineering (families D12, D15, H2, L7, M)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from caseloom.functions import text
+from caseloom.operators import datasets as ds
+
+from .registry import query, table
+
+WORD = r"([\p{L}\p{M}\p{N}_]+)"
+SPLIT_SQL = "CASE WHEN ('0x' || substr(sha256('42:' || {0}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.7 THEN 'train' WHEN ('0x' || substr(sha256('42:' || {0}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.85 THEN 'dev' ELSE 'test' END"
+
+
+@query("M1_hash_split", f"SELECT doc_id, {SPLIT_SQL.format('source')} AS split FROM documents")
+def m1(spark, d):
+    return table(spark, d, "documents").select("doc_id", ds.hash_split(F.col("source")).alias("split"))
+
+
+def _quota_sql(k: int) -> tuple[int, int, int]:
+    if k <= 2:
+        return (1, 0, 0) if k == 1 else (1, 0, 1)
+    s, q = (0.7, 0.15, 0.15), [1, 1, 1]
+    for _ in range(k - 3):
+        lack = [round(k * s[i] - q[i], 9) for i in range(3)]
+        q[max(range(3), key=lambda i: (lack[i], -i))] += 1
+    return tuple(q)
+
+
+QUOTAS = ", ".join(f"({k}, {a}, {b})" for k in range(1, 61) for a, b, _ in [_quota_sql(k)])
+
+
+@query("M2_stratified_split", f"""
+WITH f AS (SELECT DISTINCT lang, source FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('42:' || lang || ':' || source), source) AS rn, count(*) OVER (PARTITION BY lang) AS k FROM f), q AS (SELECT * FROM (VALUES {QUOTAS}) v(k, train, dev))
+SELECT lang, source, CASE WHEN rn <= train THEN 'train' WHEN rn <= train + dev THEN 'dev' ELSE 'test' END AS split FROM r JOIN q USING (k)""")
+def m2(spark, d):
+    return ds.stratified_split(table(spark, d, "documents").select("lang", "source").distinct(), "lang", "source").select("lang", "source", "split")
+
+
+@query("F10_quota_allocation", f"""
+WITH c AS (SELECT source AS category, count(*)::INT AS k FROM documents GROUP BY 1) SELECT category, train::INT AS train, dev::INT AS dev FROM c JOIN (VALUES {QUOTAS}) v(k, train, dev) USING (k)""")
+def f10(spark, d):
+    t = table(spark, d, "documents").select(F.col("source").alias("category"), F.col("doc_id").cast("string").alias("family"))
+    s = ds.stratified_split(t, "category", "family").groupBy("category").agg(F.count_if(F.col("split") == "train").cast("int").alias("train"), F.count_if(F.col("split") == "dev").cast("int").alias("dev"))
+    small = t.groupBy("category").agg(F.count(F.lit(1)).alias("k")).where("k <= 60")
+    return s.join(small, "category", "left_semi")
+
+
+@query("M3_family_audit", f"""
+WITH t AS (SELECT doc_id, source, text, {SPLIT_SQL.format('doc_id')} AS split FROM documents),
+w AS (SELECT split, regexp_extract_all(lower(text), '{WORD}', 1) AS w FROM t), g AS (SELECT DISTINCT split, unnest(CASE WHEN len(w) >= 6 THEN list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i + 5], ' ')) ELSE [] END) AS g FROM w)
+SELECT 'family' AS violation, count(*) AS n FROM (SELECT source FROM t GROUP BY 1 HAVING count(DISTINCT split) > 1)
+UNION ALL SELECT 'duplicate_text', count(*) FROM (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM t WHERE length(text) > 20 GROUP BY 1 HAVING count(DISTINCT split) > 1 )
+UNION ALL SELECT 'ngram', count(*) FROM (SELECT g FROM g GROUP BY 1 HAVING count(DISTINCT split) > 1)""")
+def m3(spark, d):
+    t = table(spark, d, "documents").withColumn("split", ds.hash_split(F.col("doc_id").cast("string")))
+    return ds.audit_families(t, "source", "split", "doc_id", "text")
+
+
+AUDIT_SQL = f"""WITH h AS (SELECT item_id AS id, text FROM benchmark), t AS (SELECT doc_id AS id, text FROM documents)
+SELECT 'id' AS check, count(*) AS n FROM h WHERE id IN (SELECT id FROM t) UNION ALL SELECT 'text', count(*) FROM h WHERE sha256(text) IN (SELECT sha256(text) FROM t)
+UNION ALL SELECT 'normalised', count(*) FROM h WHERE lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) IN (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) FROM t)"""
+
+
+@query("D12_held_out_semi_join", AUDIT_SQL)
+def d12(spark, d):
+    h, t = table(spark, d, "benchmark"), table(spark, d, "documents")
+    return ds.held_out_audit(h, t, {"id": (F.col("item_id"), F.col("doc_id")), "text": (F.sha2("text", 256), F.sha2("text", 256)), "normalised": (text.text_hash(F.col("text")), text.text_hash(F.col("text")))})
+
+
+def _contamination_sql(n: int) -> str:
+    grams = f"CASE WHEN len(w) >= {n} THEN list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) ELSE [] END"
+    return f"""WITH a AS (SELECT doc_id, unnest({grams}) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}', 1) AS w FROM documents)),
+b AS (SELECT item_id, unnest({grams}) AS g FROM (SELECT item_id, regexp_extract_all(lower(text), '{WORD}', 1) AS w FROM benchmark))
+SELECT doc_id, item_id, count(*) AS n_shared FROM a JOIN b USING (g) GROUP BY 1, 2"""
+
+
+@query("M4_held_out_ngrams", _contamination_sql(5))
+def m4(spark, d):
+    return ds.shared_ngrams(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", 5)
+
+
+@query("M5_contamination", _contamination_sql(4))
+def m5(spark, d):
+    return ds.shared_ngrams(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", 4)
+
+
+@query("H2_ngram_intersection", f"SELECT count(DISTINCT item_id) AS items, count(DISTINCT doc_id) AS docs FROM ({_contamination_sql(3)})")
+def h2(spark, d):
+    s = ds.shared_ngrams(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", 3)
+    return s.agg(F.count_distinct("item_id").alias("items"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("M6_pii_assertion", r"SELECT count(*) FILTER (regexp_matches(text, '\d{16}') OR regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') OR regexp_matches(text, '(?:\+62|62|0)8\d{8,11}')) AS hits, count(*) AS total FROM documents")
+def m6(spark, d):
+    return table(spark, d, "documents").agg(F.count_if(text.has_pii(F.col("text"))).alias("hits"), F.count(F.lit(1)).alias("total"))
+
+
+NEAR_SQL = rf"""
+WITH s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}', 1) AS w FROM documents) WHERE len(w) >= 3),
+k AS (SELECT min(doc_id) AS id, any_value(g) AS g FROM s GROUP BY md5(array_to_string(list_sort(g), '|'))),
+i AS (SELECT id, len(g) AS n, unnest(g) AS x FROM k), p AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS c, a.n + b.n AS t FROM i a JOIN i b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2, 4)"""
+
+
+@query("D15_near_duplicates", NEAR_SQL + " SELECT left_id, right_id, round(c / (t - c), 6)::DOUBLE AS jaccard FROM p WHERE c / (t - c) >= 0.85")
+def d15(spark, d):
+    p = ds.near_duplicates(table(spark, d, "documents"), "doc_id", "text")
+    return p.select("left_id", "right_id", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("M7_greedy_dedup")
+def m7(spark, d):
+    """Ids that the ordered greedy pass keeps: first copies, without near-duplicates of kept ones."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    grams = F.array_sort(F.array_distinct(text.ngrams(text.word_tokens(F.col("text")), 3)))
+    ids = docs.select("doc_id", F.when(F.size(grams) > 0, F.sha2(F.array_join(grams, "|"), 256)).otherwise(F.concat(F.lit("short "), "doc_id")).alias("h"))
+    ids = ids.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    return ds.greedy_kept(ds.near_duplicates(docs, "doc_id", "text"), ids, "doc_id")
+
+
+@query("M8_sample_dedupe", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha256(text), lang ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+def m8(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"), "lang")
+    return ds.first_seen(t, ["h", "lang"], "doc_id").select("doc_id")
+
+
+@query("F9_first_seen", "SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY 1, 2")
+def f9(spark, d):
+    return ds.first_seen(table(spark, d, "conversations"), ["conv_id", "role"], "turn").select("conv_id", "role", "turn")
+
+
+@query("M9_templated_scenarios", "SELECT c_custkey, persona, c_mktsegment || ' by ' || persona AS text FROM customer, (VALUES ('brief'), ('angry'), ('polite')) v(persona)")
+def m9(spark, d):
+    t = ds.templated(table(spark, d, "customer"), {k: "{x} by " + k for k in ("brief", "angry", "polite")}, "c_mktsegment")
+    return t.select("c_custkey", F.col("template").alias("persona"), "text")
+
+
+@query("M10_manifest_validation", "SELECT lang AS split, count(*) AS n, count(DISTINCT doc_id) = count(*) AS ids_unique, count(*) FILTER (doc_id IN (SELECT item_id FROM benchmark)) AS leaked FROM documents GROUP BY 1")
+def m10(spark, d):
+    ids = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(1).alias("hit"))
+    t = table(spark, d, "documents").join(ids, "doc_id", "left")
+    return t.groupBy(F.col("lang").alias("split")).agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("doc_id") == F.count(F.lit(1))).alias("ids_unique"), F.count("hit").alias("leaked"))
+
+
+@query("M11_priority_batches", "SELECT o_orderstatus, o_orderkey, ((row_number() OVER (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderpriority, o_orderkey) - 1) // 5)::INT AS batch FROM orders")
+def m11(spark, d):
+    w = Window.partitionBy("o_orderstatus", "o_custkey").orderBy("o_orderpriority", "o_orderkey")
+    return table(spark, d, "orders").select("o_orderstatus", "o_orderkey", F.floor((F.row_number().over(w) - 1) / 5).cast("int").alias("batch"))
+
+
+@query("M12_lexicon_check", "SELECT p_partkey, NOT contains(upper(p_name), 'SMALL') AND NOT contains(p_name, 'ring') AND (contains(p_name, 'widget') OR contains(p_name, 'bolt')) AS valid FROM part")
+def m12(spark, d):
+    name = F.col("p_name")
+    return table(spark, d, "part").select("p_partkey", (~F.upper(name).contains("SMALL") & ~text.any_word(name, ["ring"]) & text.any_word(name, ["widget", "bolt"])).alias("valid"))
+
+
+@query("M13_corpus_synthesis", "SELECT DISTINCT p_type || ' ' || t AS line FROM part, (VALUES ('near the market'), ('is broken'), ('since monday')) v(t) WHERE length(p_type || ' ' || t) > 10")
+def m13(spark, d):
+    kinds = table(spark, d, "part").select("p_type").distinct()
+    t = ds.templated(kinds, {str(i): "{x} " + s for i, s in enumerate(("near the market", "is broken", "since monday"))}, "p_type")
+    return t.where(F.length("text") > 10).select(F.col("text").alias("line")).distinct()
+
+
+@query("M14_strict_records", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'human_claim' WHEN value < 1 THEN 'no_label' WHEN user_id % 50 = 0 THEN 'internal' END AS reject_reason FROM events WHERE event_type = 'error' OR value < 1 OR user_id % 50 = 0")
+def m14(spark, d):
+    from caseloom.functions.scores import first_match
+
+    reason = first_match([(F.col("event_type") == "error", "human_claim"), (F.col("value") < 1, "no_label"), (F.col("user_id") % 50 == 0, "internal")], "")
+    return table(spark, d, "events").select("event_id", reason.alias("reject_reason")).where("reject_reason <> ''")
+
+
+@query("M15_longest_alias", r"""
+SELECT doc_id, CASE WHEN regexp_matches(text, '(^|[^\p{L}\p{N}_])with the([^\p{L}\p{N}_]|$)') THEN 'with the' WHEN regexp_matches(text, '(^|[^\p{L}\p{N}_])from([^\p{L}\p{N}_]|$)') THEN 'from' WHEN regexp_matches(text, '(^|[^\p{L}\p{N}_])que([^\p{L}\p{N}_]|$)') THEN 'que' END AS alias FROM documents""")
+def m15(spark, d):
+    return table(spark, d, "documents").select("doc_id", ds.longest_alias(F.col("text"), ["que", "from", "with the"]).alias("alias"))
+
+
+@query("M16_object_candidates", r"""
+WITH c AS (SELECT conv_id, turn, unnest(list_distinct(list_transform(string_split_regex(text, '[.,\n]+'), lambda x: trim(lower(x))))) AS clause FROM conversations)
+SELECT conv_id, turn, count(*) AS n_candidates FROM c WHERE clause <> '' AND len(string_split(clause, ' ')) <= 4 AND clause NOT LIKE '%the%' GROUP BY 1, 2""")
+def m16(spark, d):
+    c = F.explode(F.array_distinct(F.transform(F.split("text", r"[.,\n]+"), lambda x: F.trim(F.lower(x))))).alias("clause")
+    t = table(spark, d, "conversations").select("conv_id", "turn", c).where("clause <> ''")
+    return t.where((F.size(F.split("clause", " ")) <= 4) & ~F.col("clause").contains("the")).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_candidates"))
+
+
+@query("M18_span_normalisation", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity < l_partkey AND l_returnflag <> 'N' GROUP BY 1")
+def m18(spark, d):
+    s = F.struct(F.col("l_quantity").cast("long").alias("start"), F.col("l_partkey").alias("end"), F.when(F.col("l_returnflag") == "N", "B-").otherwise(F.concat(F.lit("I-"), "l_returnflag")).alias("label"))
+    t = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(s).alias("s")).select("l_orderkey", F.size(ds.valid_spans(F.col("s"))).cast("long").alias("n"))
+    return t.where("n > 0")
+
+
+@query("M19_subtoken_labels", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity <= 5 THEN -100 WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'R' THEN 2 ELSE 0 END AS label_id FROM lineitem")
+def m19(spark, d):
+    label = F.when(F.col("l_quantity") <= 5, -100).when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2).otherwise(0)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", label.alias("label_id"))
+
+
+@query("M20_first_occurrence", "SELECT doc_id, nullif(strpos(text, 'tion'), 0)::INT - 1 AS first_at FROM documents")
+def m20(spark, d):
+    at = F.locate("tion", F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.when(at > 0, at - 1).alias("first_at"))
+
+
+@query("M21_synonyms", "SELECT conv_id, turn, md5(array_to_string(list_transform(string_split(text, ' '), lambda w: CASE w WHEN 'the' THEN 'this' WHEN 'and' THEN 'plus' WHEN 'la' THEN 'una' ELSE w END), ' ')) AS text_md5 FROM conversations")
+def m21(spark, d):
+    short = F.array_join(F.transform(F.split("text", " "), lambda w: F.coalesce(F.try_element_at(F.create_map(*map(F.lit, ["the", "this", "and", "plus", "la", "una"])), w), w)), " ")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(short).alias("text_md5"))
+
+
+@query("M22_modular_records", "SELECT o_orderkey, (['north', 'south', 'east'])[(o_orderkey % 3 + 1)::INT] || '/' || (['low', 'high'])[(o_orderkey % 2 + 1)::INT] AS record FROM orders")
+def m22(spark, d):
+    pool = lambda names: F.get(F.array(*map(F.lit, names)), (F.col("o_orderkey") % len(names)).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", F.concat_ws("/", pool(["north", "south", "east"]), pool(["low", "high"])).alias("record"))
+
+
+@query("M23_threshold_precedence", "SELECT event_id, coalesce(CASE WHEN event_type = 'error' THEN value END, CASE WHEN user_id % 2 = 0 THEN 0.5::DOUBLE END, 0.25::DOUBLE) AS threshold FROM events")
+def m23(spark, d):
+    return table(spark, d, "events").select("event_id", F.coalesce(F.when(F.col("event_type") == "error", F.col("value")), F.when(F.col("user_id") % 2 == 0, 0.5), F.lit(0.25)).alias("threshold"))
+
+
+@query("M24_audit_wrapper", f"SELECT bool_and(n = 0) AS passed FROM ({AUDIT_SQL}) WHERE check = 'text'")
+def m24(spark, d):
+    return d12(spark, d).where("check = 'text'").agg(F.bool_and(F.col("n") == 0).alias("passed"))
+
+
+@query("L7_turn_samples", "SELECT conv_id, turn, unnest(range(turn + 1))::BIGINT AS bubble FROM conversations")
+def l7(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turn"))).alias("bubble"))

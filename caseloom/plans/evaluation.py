@@ -1 +1,177 @@
-"""Queries."""
+"""Queries over metrics, calibration, bootstrap and the simulated systems (families C19, E, J9, L)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from caseloom.functions import vectors
+from caseloom.operators import metrics
+from caseloom.operators.cases import CATEGORIES
+from caseloom.operators.datasets import split_hash
+
+from .registry import query, table
+
+GOLD_SQL = "SELECT l.doc_id, quality AS gold, CASE WHEN n_chars % 7 = 0 THEN 1 - quality ELSE quality END AS predicted, source, ((n_chars % 100) / 100.0)::DOUBLE AS confidence FROM labels l JOIN documents d ON d.doc_id = l.doc_id"
+
+
+def _gold(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", "source")
+    rows = table(spark, d, "labels").join(docs, "doc_id")
+    return rows.select("doc_id", F.col("quality").alias("gold"), F.when(F.col("n_chars") % 7 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("predicted"), "source", ((F.col("n_chars") % 100) / 100.0).alias("confidence"))
+
+
+CLASS_SQL = f"""
+WITH r AS ({GOLD_SQL}), c AS (SELECT unnest([0, 1, 2]) AS class),
+n AS (SELECT class, count(*) FILTER (gold = class AND predicted = class) AS tp, count(*) FILTER (gold <> class AND predicted = class) AS fp, count(*) FILTER (gold = class AND predicted <> class) AS fn FROM c, r GROUP BY 1),
+m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS rc FROM n)"""
+
+
+@query("E8_class_metrics", CLASS_SQL + "SELECT class, tp, fp, fn, round(p, 6)::DOUBLE AS precision, round(rc, 6)::DOUBLE AS recall, round(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END, 6)::DOUBLE AS f1 FROM m")
+def e8(spark, d):
+    m = metrics.per_class(_gold(spark, d), "gold", "predicted", [0, 1, 2])
+    return m.select("class", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query("E9_macro_f1", CLASS_SQL + "SELECT round(avg(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END), 6)::DOUBLE AS macro_f1 FROM m")
+def e9(spark, d):
+    return metrics.macro_f1(_gold(spark, d), "gold", "predicted", [0, 1, 2]).select(F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query("E10_system_metrics", "SELECT o_orderpriority AS system, round(avg((o_orderstatus = 'F')::INT), 6)::DOUBLE AS accuracy, round(coalesce(avg((o_orderstatus = 'O')::INT) FILTER (o_custkey % 3 = 0), 0), 6)::DOUBLE AS conflict_rate, round(avg(o_totalprice), 3) AS mean_cost, round(quantile_cont(o_totalprice, 0.95), 1) AS p95 FROM orders GROUP BY 1")
+def e10(spark, d):
+    o, c = table(spark, d, "orders"), F.col("o_custkey") % 3 == 0
+    rate = F.avg(F.when(c, (F.col("o_orderstatus") == "O").cast("double")))
+    return o.groupBy(F.col("o_orderpriority").alias("system")).agg(F.round(F.avg((F.col("o_orderstatus") == "F").cast("double")), 6).alias("accuracy"), F.round(F.coalesce(rate, F.lit(0.0)), 6).alias("conflict_rate"), F.round(F.avg("o_totalprice"), 3).alias("mean_cost"), F.round(F.percentile("o_totalprice", 0.95), 1).alias("p95"))
+
+
+@query("E11_calibration_error", f"WITH r AS ({GOLD_SQL}), b AS (SELECT least(greatest(ceil(confidence * 10) - 1, 0), 9) AS bin, count(*) AS n, avg(confidence) AS c, avg((gold = predicted)::INT) AS a FROM r GROUP BY 1) SELECT round(sum(n * abs(c - a)) / sum(n), 6)::DOUBLE AS ece FROM b")
+def e11(spark, d):
+    return metrics.ece(_gold(spark, d), "confidence", F.col("gold") == F.col("predicted")).select(F.round("ece", 6).alias("ece"))
+
+
+NLL = "ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) + list_max(z) - z[label % 4 + 1]"
+
+
+@query("E12_mean_nll", f"WITH t AS (SELECT label, list_transform(embedding[1:4]::DOUBLE[], lambda x: x / 0.1) AS z FROM embeddings) SELECT round(avg({NLL}), 6) AS nll FROM t")
+def e12(spark, d):
+    logits = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    return table(spark, d, "embeddings").agg(F.round(F.avg(vectors.nll(logits, F.col("label") % 4, 0.1)), 6).alias("nll"))
+
+
+@query("E13_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
+def e13(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(*(F.round(F.percentile("value", q / 100), 6).alias(f"p{q}") for q in (50, 95, 99)))
+
+
+@query("E14_stress_summary", "SELECT event_type AS mode, count(*) AS n, count(DISTINCT user_id) AS tickets, count(*) - count(DISTINCT user_id) AS duplicates, round(count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1000000 * 3600, 6)::DOUBLE AS per_hour FROM events GROUP BY 1")
+def e14(spark, d):
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    n, u = F.count(F.lit(1)), F.count_distinct("user_id")
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("mode")).agg(n.alias("n"), u.alias("tickets"), (n - u).alias("duplicates"), F.round(n / (us(F.max("ts")) - us(F.min("ts"))) * 1000000 * 3600, 6).alias("per_hour"))
+
+
+@query("E15_entity_metrics", """
+WITH g AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'A'), p AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'F'),
+n AS (SELECT count(*) FILTER (g.l_orderkey IS NOT NULL AND p.l_orderkey IS NOT NULL) AS tp, count(*) FILTER (g.l_orderkey IS NULL) AS fp, count(*) FILTER (p.l_orderkey IS NULL) AS fn FROM g FULL JOIN p ON g.l_orderkey = p.l_orderkey AND g.l_linenumber = p.l_linenumber)
+SELECT tp, fp, fn, round(tp / (tp + fp), 6)::DOUBLE AS precision, round(tp / (tp + fn), 6)::DOUBLE AS recall, round(2 * tp / (2 * tp + fp + fn), 6)::DOUBLE AS f1 FROM n""")
+def e15(spark, d):
+    li = table(spark, d, "lineitem")
+    m = metrics.entity_metrics(li.where("l_returnflag = 'A'"), li.where("l_linestatus = 'F'"), ["l_orderkey", "l_linenumber"])
+    return m.select("tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query("E16_token_metrics", "SELECT l_returnflag AS label, count(*) FILTER (l_linenumber <> 7 AND l_linestatus = 'F') AS tp, count(*) FILTER (l_linenumber <> 7) AS support FROM lineitem GROUP BY 1")
+def e16(spark, d):
+    used = F.col("l_linenumber") != 7  # ignored positions
+    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("label")).agg(F.count_if(used & (F.col("l_linestatus") == "F")).alias("tp"), F.count_if(used).alias("support"))
+
+
+@query("E17_head_averages", f"WITH r AS ({GOLD_SQL}), h AS (SELECT source, avg((gold = predicted)::INT) AS a FROM r GROUP BY 1) SELECT count(*) AS heads, round(avg(a), 6)::DOUBLE AS mean_accuracy FROM h")
+def e17(spark, d):
+    h = _gold(spark, d).groupBy("source").agg(F.avg((F.col("gold") == F.col("predicted")).cast("double")).alias("a"))
+    return h.agg(F.count(F.lit(1)).alias("heads"), F.round(F.avg("a"), 6).alias("mean_accuracy"))
+
+
+@query("E18_split_hash", "SELECT lang, count(*) AS n, sha256('salt' || chr(10) || string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS split_hash FROM documents GROUP BY 1")
+def e18(spark, d):
+    return split_hash(table(spark, d, "documents"), "lang", "doc_id", "salt")
+
+
+@query("C19_metric_gates", """
+WITH m AS (SELECT event_type || CASE WHEN event_type IN ('error', 'view') THEN '_latency' ELSE '_f1' END AS name, round(avg(value), 6) AS value FROM events GROUP BY 1)
+SELECT name, value, CASE WHEN name LIKE '%latency%' OR name LIKE '%error%' THEN value <= 25 ELSE value >= 25 END AS passed FROM m""")
+def c19(spark, d):
+    kind = F.col("event_type")
+    name = F.concat(kind, F.when(kind.isin("error", "view"), "_latency").otherwise("_f1"))
+    m = table(spark, d, "events").groupBy(name.alias("name")).agg(F.round(F.avg("value"), 6).alias("value")).withColumn("threshold", F.lit(25.0))
+    return metrics.gates(m, "name", "value", "threshold").select("name", "value", "passed")
+
+
+@query("J9_temperature", f"""
+WITH t AS (SELECT label, embedding[1:4]::DOUBLE[] AS l FROM embeddings), c AS (SELECT unnest(range(1, 201)) / 20.0::DOUBLE AS temp), z AS (SELECT temp, label, list_transform(l, lambda x: x * 10 / temp) AS z FROM t, c),
+a AS (SELECT temp, round(avg({NLL}), 9) AS nll FROM z GROUP BY 1) SELECT round(arg_min(temp, (nll, temp)), 4) AS temperature FROM a""")
+def j9(spark, d):
+    # The best of a fixed grid, scored in one aggregate.
+    logits = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") * 10)
+    rows = table(spark, d, "embeddings").select(logits.alias("l"), (F.col("label") % 4).alias("y"))
+    cells = rows.select("l", "y", F.explode(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: i / 20.0)).alias("t"))
+    by = cells.groupBy("t").agg(F.round(F.avg(vectors.nll(F.col("l"), F.col("y"), F.col("t"))), 9).alias("nll"))
+    return by.agg(F.round(F.min_by("t", F.struct("nll", "t")), 4).alias("temperature"))
+
+
+BOOT_SQL = """
+WITH f AS (SELECT (row_number() OVER (ORDER BY source) - 1)::INT AS fam, sum(n_chars) AS total, count(*) AS n, sum((n_chars > 1000)::INT) AS hits FROM documents GROUP BY source), k AS (SELECT count(*) AS k FROM f),
+r AS (SELECT replicate, floor((('0x' || substr(sha256('42:' || replicate || ':' || place), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) * k)::INT AS fam FROM (SELECT unnest(range(200)) AS replicate), (SELECT unnest(range(k)) AS place, k FROM k))"""
+
+
+def _families(spark, d):
+    f = table(spark, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("total"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") > 1000).alias("hits"))
+    return f.withColumn("at", (F.row_number().over(Window.orderBy("source")) - 1).cast("int"))
+
+
+@query("L11_cluster_bootstrap", BOOT_SQL + ", m AS (SELECT replicate, sum(total) / sum(n) AS mean FROM r JOIN f USING (fam) GROUP BY 1) SELECT round(quantile_cont(mean, 0.025), 4)::DOUBLE AS ci_lower, round(avg(mean), 4)::DOUBLE AS mean, round(quantile_cont(mean, 0.975), 4)::DOUBLE AS ci_upper FROM m")
+def l11(spark, d):
+    out = metrics.interval(metrics.bootstrap(_families(spark, d), "total", "n", 200))
+    return out.select(*(F.round(c, 4).alias(c) for c in out.columns))
+
+
+@query("L12_paired_bootstrap", BOOT_SQL + ", m AS (SELECT replicate, (sum(hits) - sum(n - hits)) / sum(n) AS diff FROM r JOIN f USING (fam) GROUP BY 1) SELECT round(quantile_cont(diff, 0.025), 6)::DOUBLE AS ci_lower, round(quantile_cont(diff, 0.975), 6)::DOUBLE AS ci_upper, round(greatest(least(1.0, 2 * least(avg((diff <= 0)::INT), avg((diff >= 0)::INT))), 0.0001), 6)::DOUBLE AS p_value FROM m")
+def l12(spark, d):
+    f = _families(spark, d).withColumn("delta", 2 * F.col("hits") - F.col("n"))
+    m = metrics.bootstrap(f, "delta", "n", 200)
+    side = lambda c: F.avg(c.cast("double"))
+    p = F.greatest(F.least(F.lit(1.0), 2 * F.least(side(F.col("mean") <= 0), side(F.col("mean") >= 0))), F.lit(0.0001))
+    return m.agg(F.round(F.percentile("mean", 0.025), 6).alias("ci_lower"), F.round(F.percentile("mean", 0.975), 6).alias("ci_upper"), F.round(p, 6).alias("p_value"))
+
+
+SAMPLES_SQL = "SELECT 'eval-' || lpad((i + 1)::VARCHAR, 4, '0') AS case_id, (i // 8)::INT AS family, (i % 8)::INT AS profile FROM (SELECT unnest(range(192)) AS i)"
+ACTION_SQL = "CASE WHEN profile IN (4, 5, 6) THEN 'RE_EVALUATE' WHEN profile IN (0, 7) THEN 'EXECUTE' WHEN profile IN (1, 2) THEN 'REQUEST_CLARIFICATION' ELSE 'REJECT_IGNORE' END"
+
+
+@query("L14_evaluation_samples", f"SELECT case_id, family, profile, {ACTION_SQL} AS action, profile IN (4, 5) AS is_conflict, profile = 6 AS is_prohibited FROM ({SAMPLES_SQL})")
+def l14(spark, d):
+    return metrics.evaluation_samples(spark, CATEGORIES).select("case_id", "family", "profile", "action", "is_conflict", "is_prohibited")
+
+
+#: Macro-F1, accuracy, conflicts executed, prohibited passed, mean cost, mean latency.
+TABLE = {
+    "P": (1.0, 1.0, 0.0, 0.0, 0.0010, 56.25), "B0": (0.4539, 0.4583, 0.0, 0.0, 0.0, 5.0), "B1": (0.7917, 0.75, 0.0, 0.0, 0.015, 1200.0), "B2": (0.7917, 0.75, 0.0, 0.0, 0.006, 350.0),
+    "B3": (0.4917, 0.625, 1.0, 0.0, 0.001, 50.0), "B4": (1.0, 1.0, 0.0, 0.0, 0.025, 1550.0), "A1": (0.4917, 0.625, 1.0, 0.0, 0.0012, 45.0), "A2": (0.7917, 0.75, 1.0, 0.0, 0.0008, 38.0),
+    "A3": (0.7917, 0.75, 0.0, 0.0, 0.0004, 30.0), "A4": (0.9, 0.875, 0.0, 1.0, 0.001, 40.0), "A5": (1.0, 1.0, 0.0, 0.0, 0.032, 1800.0),
+}
+TABLE_SQL = ", ".join(f"('{k}', {', '.join(f'{x}::DOUBLE' for x in v)})" for k, v in TABLE.items())
+
+
+@query("L13_simulated_systems", f"SELECT * FROM (VALUES {TABLE_SQL}) v(system, macro_f1, accuracy, conflict_executed, prohibited_passed, mean_cost, mean_latency)")
+def l13(spark, d):
+    t = metrics.system_table(metrics.run_systems(metrics.evaluation_samples(spark, CATEGORIES)))
+    return t.select("system", *(F.round(c, 4).alias(c) for c in ("macro_f1", "accuracy", "conflict_executed", "prohibited_passed", "mean_cost", "mean_latency")))
+
+
+@query("L15_verdicts", f"WITH t AS (SELECT * FROM (VALUES {TABLE_SQL}) v(system, f1, acc, ce, pp, cost, lat)) SELECT o.system, p.f1 > o.f1 AS better_f1, p.cost < o.cost AS cheaper, p.pp <= o.pp AS as_safe FROM t p, t o WHERE p.system = 'P' AND o.system <> 'P'")
+def l15(spark, d):
+    t = metrics.system_table(metrics.run_systems(metrics.evaluation_samples(spark, CATEGORIES))).select("system", *(F.round(c, 4).alias(c) for c in ("macro_f1", "mean_cost", "prohibited_passed")))
+    # One row: a broadcast of fixed size.
+    p = F.broadcast(t.where("system = 'P'").select(F.col("macro_f1").alias("f"), F.col("mean_cost").alias("c"), F.col("prohibited_passed").alias("s")))
+    return t.where("system <> 'P'").join(p).select("system", (F.col("f") > F.col("macro_f1")).alias("better_f1"), (F.col("c") < F.col("mean_cost")).alias("cheaper"), (F.col("s") <= F.col("prohibited_passed")).alias("as_safe"))

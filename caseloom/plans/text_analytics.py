@@ -1 +1,218 @@
-"""Queries."""
+"""Queries over retrieval, vectors, tokens and spans (families D, E, F, G, I, K, L)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from caseloom.functions import text, vectors
+from caseloom.operators import retrieval, spans
+
+from .registry import query, table
+
+WORD = r"([\p{L}\p{M}\p{N}_]+)"
+PAIRS = "SELECT a.vec_id AS query_id, b.vec_id AS entry_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id"
+
+
+@query("D8_similarity_join", f"SELECT query_id, entry_id, similarity, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id))::INT AS rank FROM ({PAIRS}) WHERE similarity >= 0.15) WHERE rank <= 5")
+def d8(spark, d):
+    e = table(spark, d, "embeddings")
+    a, b = e.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("entry_id"), "label", F.col("embedding").alias("y"))
+    pairs = a.join(b, "label").where("query_id <> entry_id").select("query_id", "entry_id", F.round(vectors.cosine(F.col("x"), F.col("y")), 6).alias("similarity")).where("similarity >= 0.15")
+    return retrieval.top_k(pairs, "query_id", "similarity", "entry_id", 5)
+
+
+@query("G3_vector_top_k", f"SELECT query_id, entry_id, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id))::INT AS rank FROM ({PAIRS})) WHERE rank <= 5 AND query_id % 20 = 0")
+def g3(spark, d):
+    e = table(spark, d, "embeddings")
+    a, b = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("entry_id"), "label", F.col("embedding").alias("y"))
+    pairs = a.join(b, "label").where("query_id <> entry_id").select("query_id", "entry_id", F.round(vectors.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+    return retrieval.top_k(pairs, "query_id", "similarity", "entry_id", 5).select("query_id", "entry_id", "rank")
+
+
+@query("D9_set_overlap", r"""
+WITH t AS (SELECT conv_id, turn, list_filter(list_distinct(regexp_extract_all(lower(text), '([a-z0-9_\-]+)', 1)), lambda w: length(w) > 6) AS w FROM conversations)
+SELECT a.conv_id, a.turn AS turn_a, b.turn AS turn_b FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn AND list_has_any(a.w, b.w)""")
+def d9(spark, d):
+    long = F.filter(F.array_distinct(text.ascii_tokens(F.col("text"))), lambda w: F.length(w) > 6)
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.explode(long).alias("w"))
+    return t.withColumnRenamed("turn", "turn_a").join(t.withColumnRenamed("turn", "turn_b"), ["conv_id", "w"]).where("turn_a < turn_b").select("conv_id", "turn_a", "turn_b").distinct()
+
+
+MESSAGE_SPANS = "SELECT conv_id, turn, (sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn) - length(text) - 2)::BIGINT AS s, (sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn) - 2)::BIGINT AS e FROM conversations"
+
+
+def _message_spans(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    end = F.sum(F.length("text") + 2).over(w) - 2
+    return table(spark, d, "conversations").select("conv_id", "turn", (end - F.length("text")).alias("s"), end.alias("e"))
+
+
+@query("F5_character_offsets", f"SELECT conv_id, turn, s AS char_start, e AS char_end FROM ({MESSAGE_SPANS})")
+def f5(spark, d):
+    return _message_spans(spark, d).select("conv_id", "turn", F.col("s").alias("char_start"), F.col("e").alias("char_end"))
+
+
+@query("D10_chunk_provenance", f"""
+WITH m AS ({MESSAGE_SPANS}), c AS (SELECT conv_id, unnest(range(0, max(e), 500)) AS cs FROM m GROUP BY conv_id)
+SELECT m.conv_id, cs AS chunk_start, turn FROM c JOIN m ON c.conv_id = m.conv_id AND s < cs + 600 AND cs < e""")
+def d10(spark, d):
+    m = _message_spans(spark, d)
+    c = m.groupBy("conv_id").agg(F.max("e").alias("n")).select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(500).cast("long"))).alias("cs")).withColumn("ce", F.col("cs") + 600)
+    return spans.overlapping(c, m, ["conv_id"], ("cs", "ce"), ("s", "e")).select("conv_id", F.col("cs").alias("chunk_start"), "turn")
+
+
+TOKENS = r"""SELECT conv_id, turn, token, (sum(length(token)) OVER w - length(token))::BIGINT AS s, (sum(length(token)) OVER w)::BIGINT AS e, i FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '([\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]|\s+)', 1)) AS token, generate_subscripts(regexp_extract_all(text, '([\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]|\s+)', 1), 1) AS i FROM conversations) WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)"""
+
+
+@query("D11_word_span_labels", f"""
+WITH t AS (SELECT * FROM ({TOKENS}) WHERE NOT regexp_matches(token, '^\\s')), z AS (SELECT * FROM (VALUES (0, 5, 'A'), (3, 30, 'B'), (40, 55, 'C')) v(zs, ze, label))
+SELECT conv_id, turn, s AS token_start, min_by(label, zs) AS label FROM t JOIN z ON s < ze AND zs < e GROUP BY ALL""")
+def d11(spark, d):
+    t = spans.tokens_with_offsets(table(spark, d, "conversations"), ["conv_id", "turn"])
+    marks = [(0, 5, "A"), (3, 30, "B"), (40, 55, "C")]
+    # The first span that a token overlaps; spans in order, so no join is needed.
+    label = F.coalesce(*(F.when((F.col("token_start") < e) & (F.col("token_end") > s), F.lit(x)) for s, e, x in marks))
+    return t.select("conv_id", "turn", "token_start", label.alias("label")).where("label IS NOT NULL")
+
+
+BIO_SQL = f"""
+WITH t AS (SELECT *, CASE WHEN regexp_matches(token, '^\\p{{Lu}}') THEN 'B-CAP' WHEN length(token) >= 6 THEN 'I-LONG' WHEN length(token) = 1 THEN 'O' ELSE 'I-CAP' END AS tag FROM ({TOKENS}) WHERE NOT regexp_matches(token, '^\\s')),
+l AS (SELECT *, nullif(regexp_extract(tag, '^[BI]-(.*)$', 1), '') AS label FROM t), p AS (SELECT *, lag(coalesce(label, '')) OVER (PARTITION BY conv_id, turn ORDER BY i) AS before FROM l),
+g AS (SELECT *, sum(CASE WHEN tag LIKE 'B-%' OR (tag LIKE 'I-%' AND label IS DISTINCT FROM before) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM p)
+SELECT conv_id, turn, label, min(s) AS span_start, max(e) AS span_end, count(*) AS n_tokens FROM g WHERE label IS NOT NULL GROUP BY conv_id, turn, run, label"""
+
+
+@query("F6_bio_runs", BIO_SQL)
+def f6(spark, d):
+    t = spans.tokens_with_offsets(table(spark, d, "conversations"), ["conv_id", "turn"])
+    tag = F.when(F.col("token").rlike(r"^\p{Lu}"), "B-CAP").when(F.length("token") >= 6, "I-LONG").when(F.length("token") == 1, "O").otherwise("I-CAP")
+    return spans.bio_spans(t.withColumn("tag", tag), ["conv_id", "turn"])
+
+
+@query("F7_merged_spans", """
+WITH s AS (SELECT l_orderkey, l_partkey AS s, l_partkey + l_quantity::BIGINT AS e, l_returnflag AS label FROM lineitem WHERE l_returnflag = 'A'),
+o AS (SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY s, e DESC ROWS UNBOUNDED PRECEDING) AS run FROM o)
+SELECT l_orderkey, min(s) AS span_start, max(e) AS span_end FROM g GROUP BY l_orderkey, run""")
+def f7(spark, d):
+    s = F.struct(F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"), F.col("l_returnflag").alias("label"), F.lit(1.0).alias("confidence"))
+    t = table(spark, d, "lineitem").where("l_returnflag = 'A'").groupBy("l_orderkey").agg(F.collect_list(s).alias("s"))
+    return t.select("l_orderkey", F.explode(spans.merged_spans(F.col("s"))).alias("m")).select("l_orderkey", F.col("m.start").alias("span_start"), F.col("m.end").alias("span_end"))
+
+
+@query("F8_continuation_repair", "SELECT event_id, CASE WHEN user_id % 3 = lag(user_id % 3) OVER (ORDER BY event_id) THEN 'I' ELSE 'B' END AS tag FROM events")
+def f8(spark, d):
+    # Neighbours are found by their ids (dense), so no global order is needed.
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 3).alias("word"))
+    before = e.select((F.col("event_id") + 1).alias("event_id"), F.col("word").alias("before"))
+    return e.join(before, "event_id", "left").select("event_id", F.when(F.col("word") == F.col("before"), "I").otherwise("B").alias("tag"))
+
+
+@query("F4_cumulative_text", "SELECT conv_id, turn, md5(string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) AS text_md5 FROM conversations")
+def f4(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(F.array_join(F.collect_list("text").over(w), " ")).alias("text_md5"))
+
+
+@query("I9_regex_entities", r"""
+SELECT doc_id, len(regexp_extract_all(text, ' of [A-Za-z]+'))::INT + len(regexp_extract_all(text, '[0-9]{2,}'))::INT AS n_entities, (regexp_extract_all(text, '[0-9]{2,}'))[1] AS first_number FROM documents""")
+def i9(spark, d):
+    e = spans.regex_entities(F.col("text"), [("LOCATION", " of [A-Za-z]+", 0.95), ("TIME", "[0-9]{2,}", 0.9)])
+    t = table(spark, d, "documents").select("doc_id", e.alias("e"))
+    return t.select("doc_id", F.size("e").alias("n_entities"), F.get(F.filter("e", lambda x: x["label"] == "TIME"), F.lit(0))["text"].alias("first_number"))
+
+
+@query("L6_chunks", rf"""
+WITH t AS (SELECT doc_id, len(regexp_extract_all(lower(text), '{WORD}', 1)) AS n FROM documents)
+SELECT doc_id, k::INT AS chunk_start, least(k + 448, n)::INT AS chunk_end FROM (SELECT doc_id, n, unnest(range(0, greatest(ceil((n - 448) / 384.0)::BIGINT, 0) * 384 + 1, 384)) AS k FROM t)""")
+def l6(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.size(text.word_tokens(F.col("text"))).alias("n"))
+    return t.select("doc_id", F.explode(spans.chunk_bounds(F.col("n"))).alias("c")).select("doc_id", F.col("c.start").alias("chunk_start"), F.col("c.end").alias("chunk_end"))
+
+
+@query("E19_document_frequency", rf"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}', 1)) AS term FROM documents)
+SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY 1""")
+def e19(spark, d):
+    return retrieval.corpus_statistics(table(spark, d, "documents"))[0].select("term", "df")
+
+
+BM25_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}', 1) AS w FROM documents), n AS (SELECT count(*) AS n_docs, avg(len(w)) AS avg_len FROM d),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{WORD}', 1)) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * qtf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))), 6)::DOUBLE AS lexical_score FROM p JOIN q USING (term) JOIN f USING (term), n GROUP BY ALL)"""
+
+
+def _bm25(spark, d):
+    s = retrieval.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return s.withColumn("lexical_score", F.round("lexical_score", 6))
+
+
+@query("J6_bm25", BM25_SQL + " SELECT item_id, count(*) AS n_hits, round(max(lexical_score), 4) AS best FROM s GROUP BY 1")
+def j6(spark, d):
+    return _bm25(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_hits"), F.round(F.max("lexical_score"), 4).alias("best"))
+
+
+@query("G4_bm25_top_k", BM25_SQL + " SELECT item_id, doc_id, rank FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY round(lexical_score, 4) DESC, doc_id))::INT AS rank FROM s) WHERE rank <= 10")
+def g4(spark, d):
+    return retrieval.top_k(_bm25(spark, d).withColumn("lexical_score", F.round("lexical_score", 4)), "item_id", "lexical_score", "doc_id", 10).select("item_id", "doc_id", "rank")
+
+
+@query("F1_score_ranks", BM25_SQL + " SELECT item_id, doc_id, (row_number() OVER (PARTITION BY item_id ORDER BY round(lexical_score, 4) DESC, doc_id))::INT AS rank FROM s")
+def f1(spark, d):
+    w = Window.partitionBy("item_id").orderBy(F.desc(F.round("lexical_score", 4)), "doc_id")
+    return _bm25(spark, d).select("item_id", "doc_id", F.row_number().over(w).alias("rank"))
+
+
+@query("J7_rerank", BM25_SQL + rf""",
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY lexical_score DESC, doc_id) AS r FROM s) WHERE r <= 20),
+b AS (SELECT c.item_id, c.doc_id, lexical_score, regexp_extract_all(lower(q.text), '{WORD}', 1) AS q, regexp_extract_all(lower(t.text), '{WORD}', 1) AS t FROM c JOIN benchmark q USING (item_id) JOIN documents t USING (doc_id))
+SELECT item_id, doc_id, round(len(list_intersect(list_distinct(q), t)) / greatest(len(list_distinct(q)), 1), 6)::DOUBLE AS coverage, contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' ') AS whole_phrase, round(lexical_score / max(lexical_score) OVER (PARTITION BY item_id), 4) AS lexical FROM b""")
+def j7(spark, d):
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    pool = retrieval.top_k(_bm25(spark, d), "item_id", "lexical_score", "doc_id", 20)
+    r = retrieval.rerank(pool, docs, items)
+    return r.select("item_id", "doc_id", F.round("coverage", 6).alias("coverage"), (F.col("phrase") == 1.0).alias("whole_phrase"), F.round("lexical", 4).alias("lexical"))
+
+
+CACHE_SQL = """
+WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] AS x, md5((vec_id % 3 = 0)::VARCHAR || (vec_id // 7)::VARCHAR) AS h FROM embeddings WHERE vec_id % 2 = 0), k AS (SELECT vec_id, label, embedding::DOUBLE[] AS y, md5((vec_id % 3 = 0)::VARCHAR || (vec_id // 7)::VARCHAR) AS h FROM embeddings WHERE vec_id % 2 = 1),
+e AS (SELECT q.vec_id, min(k.vec_id) AS entry_id FROM q JOIN k ON q.label = k.label AND q.h = k.h GROUP BY 1),
+n AS (SELECT q.vec_id, k.vec_id AS entry_id, list_cosine_similarity(x, y) AS s FROM q JOIN k ON q.label = k.label WHERE q.vec_id NOT IN (SELECT vec_id FROM e)),
+b AS (SELECT vec_id, entry_id, s FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, entry_id) AS r FROM n WHERE s >= 0.12) WHERE r = 1)
+SELECT q.vec_id, coalesce(e.entry_id, b.entry_id) AS entry_id, CASE WHEN e.entry_id IS NOT NULL THEN 'EXACT' WHEN b.s >= 0.25 THEN 'DUPLICATE' WHEN b.s IS NOT NULL THEN 'REUSE' ELSE 'MISS' END AS action, round(CASE WHEN e.entry_id IS NOT NULL THEN 1.0 ELSE coalesce(b.s, 0.0) END, 6)::DOUBLE AS similarity
+FROM q LEFT JOIN e USING (vec_id) LEFT JOIN b USING (vec_id)"""
+
+
+@query("K20_cache_lookup", CACHE_SQL)
+def k20(spark, d):
+    h = F.md5(F.concat((F.col("vec_id") % 3 == 0).cast("string"), F.floor(F.col("vec_id") / 7).cast("string")))
+    e = table(spark, d, "embeddings").withColumn("h", h)
+    found = retrieval.cache_lookup(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "vec_id", "label", "h", "embedding", 0.25, 0.12)
+    return found.select("vec_id", "entry_id", "action", F.round("similarity", 6).alias("similarity"))
+
+
+@query("G9_round_questions", """
+WITH f AS (SELECT user_id, list(DISTINCT event_type) AS seen FROM events WHERE event_id % 11 = 0 GROUP BY 1)
+SELECT user_id, array_to_string((list_filter(['signup', 'view', 'click', 'purchase', 'error'], lambda x: NOT list_contains(seen, x)))[1:2], ',') AS questions FROM f""")
+def g9(spark, d):
+    seen = table(spark, d, "events").where("event_id % 11 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("seen"))
+    wanted = F.array(*map(F.lit, ["signup", "view", "click", "purchase", "error"]))
+    return seen.select("user_id", F.array_join(F.slice(F.array_except(wanted, "seen"), 1, 2), ",").alias("questions"))
+
+
+@query("I14_question_lookup", """
+SELECT DISTINCT event_type AS field, CASE WHEN event_type = 'click' THEN 'category question' WHEN event_type = 'view' THEN 'generic question' WHEN contains(event_type, 'sign') THEN 'location question' WHEN contains(event_type, 'err') THEN 'time question' ELSE 'tell more about ' || event_type END AS question FROM events""")
+def i14(spark, d):
+    from caseloom.functions.scores import first_match
+
+    f = F.col("event_type")
+    known = first_match([(f == "click", "category question"), (f == "view", "generic question"), (f.contains("sign"), "location question"), (f.contains("err"), "time question")], "")
+    return table(spark, d, "events").select(f.alias("field"), F.when(known == "", F.concat(F.lit("tell more about "), f)).otherwise(known).alias("question")).distinct()
+
+
+@query("L10_span_union", "SELECT l_orderkey, min(l_partkey) AS union_start, max(l_partkey + l_quantity)::BIGINT AS union_end FROM lineitem GROUP BY 1")
+def l10(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("union_start"), F.max(F.col("l_partkey") + F.col("l_quantity")).cast("long").alias("union_end"))
