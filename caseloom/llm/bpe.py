@@ -1,6 +1,6 @@
 """Operator 2: byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A task collects the distinct pretokens of its rows (a window of about 32 MB of
+A task collects the distinct pretokens of its rows (a window of about 16 MB of
 text at a time), lays their bytes out in one linked array and replays the
 merges over all of them at once: an inverted index leads from the rank of a
 pair to the positions where it stands; the lowest rank present is applied at
@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .flat import chunks, flat, gather, strings
+from .flat import chunks, flat, gather, lean, strings
 from .pretokens import Pool, cuts
 from .store import free_name
 
-WINDOW_BYTES = 32 << 20
-POOL_WORDS = 600_000
+WINDOW_BYTES = 16 << 20
+POOL_WORDS = 300_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -45,7 +45,6 @@ class MergeReplay:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.whole = ranks
         n = max(ranks.values()) + 1
         token = [b""] * n
         for t, r in ranks.items():
@@ -215,7 +214,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
             offs = np.append(0, np.cumsum(counts)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offs), pa.array(got, pa.int32()))], names=[*part.schema.names, name])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -231,7 +230,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
             data, offs = bpe.decode(column.flatten().to_numpy(zero_copy_only=False), counts)
             yield pa.RecordBatch.from_arrays([*b.columns, strings(data, offs)], names=[*b.schema.names, name])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -254,4 +253,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id"
                 names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text).mapInArrow(lean(run), schema)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .flat import MARKS, chunks, flat, gather, hashes, mixed, spans
+from .flat import MARKS, chunks, flat, gather, hashes, lean, mixed, spans
 
 SLICE = 20_000
 WALKS, PER_WALK, SAMPLES = 6, 8, 2
@@ -211,6 +211,6 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
                     names=schema.names,
                 )
 
-        return docs.select(key, text).mapInArrow(run, schema)
+        return docs.select(key, text).mapInArrow(lean(run), schema)
 
     return reduce(DataFrame.unionByName, map(one, range(slices)))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .flat import LOWER, MARKS, chunks, flat, hashes, spans
+from .flat import LOWER, MARKS, chunks, flat, hashes, lean, spans
 
 WORDS = 1 << 16
 LEVELS = 24
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             )
 
     schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("y", T.IntegerType()), T.StructField("word", T.ArrayType(T.IntegerType())), T.StructField("structure", T.ArrayType(T.IntegerType()))])
-    got = rows.mapInArrow(run, schema).toArrow().sort_by("k")
+    got = rows.mapInArrow(lean(run), schema).toArrow().sort_by("k")
     y, word, structure = got["y"].to_numpy(), got["word"].combine_chunks(), got["structure"].combine_chunks()
     word, structure = (pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in (word, structure))
     w_at, w = word.offsets.to_numpy(), word.values.to_numpy()
@@ -193,7 +193,7 @@ def score(df: DataFrame, machine: Machine, text: str = "text", metadata: tuple[s
         for part in chunks(batches, text):
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(machine.score(*features(part, text, metadata)))], names=schema.names)
 
-    return df.select(*dict.fromkeys((*keep, text, *metadata))).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys((*keep, text, *metadata))).mapInArrow(lean(run), schema)
 
 
 def keep(df: DataFrame, machine: Machine, least: float = 0.3, text: str = "text", metadata: tuple[str, ...] = ("n_chars",)) -> DataFrame:
@@ -203,7 +203,7 @@ def keep(df: DataFrame, machine: Machine, least: float = 0.3, text: str = "text"
         for part in chunks(batches, text):
             yield part.filter(pa.array(machine.score(*features(part, text, metadata)) >= least))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def held_out(key: str = "doc_id", folds: int = 5):

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .flat import chunks, flat
+from .flat import chunks, flat, lean
 from .store import written
 
 BUCKETS = 1 << 15
@@ -80,7 +80,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
             some = np.flatnonzero(sums[name])
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some), pa.array(sums[name][some])], names=["lang", "bucket", "n"])
 
-    counts = rows.select(F.col(lang).alias(lang), text).mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.select(F.col(lang).alias(lang), text).mapInArrow(lean(run), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).orderBy(F.desc("total"), "lang").limit(LANGUAGES).collect()
     names = sorted(x["lang"] for x in got)
     table = np.full((len(names), BUCKETS), 0.05)
@@ -98,7 +98,7 @@ def likelihoods(df: DataFrame, model: tuple[list[str], np.ndarray], text: str =
     k = len(names)
 
     def run(batches):
-        for part in chunks(batches, text, 2 << 20):
+        for part in chunks(batches, text, 1 << 20):
             bucket, first = _trigrams(part.column(text))
             n = np.diff(first)
             ll = np.zeros((len(n), k))
@@ -108,7 +108,7 @@ def likelihoods(df: DataFrame, model: tuple[list[str], np.ndarray], text: str =
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * k), pa.array(ll.ravel()))
             yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in rest), pa.array(n), lists], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def _soft(k: int, score: Column) -> Column:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .flat import MARKS, chunks, flat, hashes, spans
+from .flat import MARKS, chunks, flat, hashes, lean, spans
 
 # Wordings of public license notices.
 TEMPLATES = {
@@ -204,4 +204,4 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, text: str = "te
                 names=schema.names,
             )
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text).mapInArrow(lean(run), schema)

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import windows
+from .flat import lean
 from .ranges import filesystem, key_shards
 from .store import new_folder, written
 
@@ -160,7 +161,7 @@ def write_records(df: DataFrame, folder: str, tokenizer: str, text: str = "text"
             done.append(now.commit())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*done, strict=True)) or [[]] * 6, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["shard", "seq", "file", "records", "ids", "bytes"])
 
-    return written(rows.mapInArrow(run, MANIFEST), "record-manifest")
+    return written(rows.mapInArrow(lean(run), MANIFEST), "record-manifest")
 
 
 def read_records(manifest: DataFrame, folder: str, wide: bool = False) -> DataFrame:
@@ -186,7 +187,7 @@ def read_records(manifest: DataFrame, folder: str, wide: bool = False) -> DataFr
                         start += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["key", "start", "n_tokens", "ids_crc32"])
 
-    out = files.mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
+    out = files.mapInArrow(lean(run), "key long, start long, n_tokens long, ids_crc32 long")
     return out.withColumn("key", F.nullif("key", F.lit(NO_KEY)))
 
 

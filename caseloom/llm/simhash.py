@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .flat import LOWER, chunks, flat, gather, spans
+from .flat import LOWER, chunks, flat, gather, lean, spans
 from .store import written
 
 DISTANCE = 3
@@ -63,11 +63,11 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", shingle
     schema = T.StructType([df.schema[key], T.StructField("fp", T.LongType())])
 
     def run(batches):
-        for part in chunks(batches, text, 2 << 20):
+        for part in chunks(batches, text, 1 << 20):
             fp = _fingerprints(*flat(part.column(text)), shingle, seed)
             yield pa.RecordBatch.from_arrays([part.column(key), pa.array(fp.view(np.int64))], names=[key, "fp"])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text).mapInArrow(lean(run), schema)
 
 
 def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -139,7 +139,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
             out = done()
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["u", "v"])
 
-    return rows.select("task.*", "fp").repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j").mapInArrow(run, "u long, v long")
+    return rows.select("task.*", "fp").repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j").mapInArrow(lean(run), "u long, v long")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:

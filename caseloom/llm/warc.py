@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .flat import lean
 from .ranges import filesystem, key_shards
 from .store import new_folder, written
 
@@ -160,7 +161,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
             done.append(now.commit())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*done, strict=True)) or [[]] * 5, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["shard", "seq", "file", "records", "bytes"])
 
-    return written(both.mapInArrow(run, MANIFEST), "archive-manifest")
+    return written(both.mapInArrow(lean(run), MANIFEST), "archive-manifest")
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
@@ -188,7 +189,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                         rows.append((None if key is None else int(key), fields["WARC-Target-URI"], size, found, fields["WARC-Type"], None if to is None else int(to)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=["key", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(lean(run), schema)
 
 
 def archived(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least_payload: int = 0) -> DataFrame:
