@@ -111,11 +111,19 @@ def likelihoods(df: DataFrame, model: tuple[list[str], np.ndarray], text: str =
     return df.mapInArrow(lean(run), schema)
 
 
-def _soft(k: int, score: Column) -> Column:
+def _once(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _soft(score: Column) -> Column:
     """Probabilities of an array of log scores."""
-    top = F.array_max(score)
-    e = F.transform(score, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+
+    def shares(s: Column) -> Column:
+        powers = _once(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+        return _once(powers, lambda e: _once(F.aggregate(e, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(e, lambda x: x / total)))
+
+    return _once(score, shares)
 
 
 def _sums(k: int) -> list[Column]:
@@ -133,7 +141,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "te
     rows = written(likelihoods(rows, model, text), "likelihoods")
     if not k:
         return rows.select(*out, "n_grams", F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
-    told = rows.where("n_grams > 0").select("_declared", "_suffix", "_host", "_domain", _soft(k, F.transform("ll", lambda x: x * weight)).alias("soft"))
+    told = rows.where("n_grams > 0").select("_declared", "_suffix", "_host", "_domain", _soft(F.transform("ll", lambda x: x * weight)).alias("soft"))
     whole = told.agg(F.count(F.lit(1)).alias("n"), *_sums(k)).first()
     total = [((whole[f"p{i}"] or 0.0) + 1.0) / (whole["n"] + k) for i in range(k)]
 
@@ -164,7 +172,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "te
     rows = rows.join(given("_declared", "declared_given"), "_declared", "left") if declared else rows.withColumn("declared_given", F.lit(None).cast("array<double>"))
     rows = rows.join(given("_suffix", "suffix_given"), "_suffix", "left") if suffix else rows.withColumn("suffix_given", F.lit(None).cast("array<double>"))
     score = F.array(*(F.col("ll")[i] * weight + F.log(F.coalesce(F.col("host_prior")[i], F.lit(total[i]))) + F.coalesce(F.col("declared_given")[i], F.lit(0.0)) + F.coalesce(F.col("suffix_given")[i], F.lit(0.0)) for i in range(k)))
-    rows = rows.withColumn("_soft", _soft(k, score)).withColumn("confidence", F.array_max("_soft"))
+    rows = rows.withColumn("_soft", _soft(score)).withColumn("confidence", F.array_max("_soft"))
     at = F.array_position("_soft", F.col("confidence")).cast("int")
     known = (F.col("n_grams") > 0) & (F.element_at("ll", at) / F.col("n_grams") >= -float(np.log(BUCKETS))) & (F.col("confidence") >= least)
     kept = F.coalesce(known, F.lit(False))
