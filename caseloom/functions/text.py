@@ -155,5 +155,13 @@ def any_word(text: Column, words: list[str]) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Runs of n tokens, joined by a space."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Runs of n tokens, joined by a space.
+
+    Shifted slices are zipped: ``tokens`` may be a long expression, and within a
+    lambda it would be evaluated again for every element.
+    """
+    k = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    out = F.slice(tokens, F.lit(1), k)
+    for j in range(1, n):
+        out = F.zip_with(out, F.slice(tokens, F.lit(j + 1), k), lambda x, y: F.concat_ws(" ", x, y))
+    return out

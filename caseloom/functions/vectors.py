@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,11 +42,17 @@ def unit_hash(text: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(logits: Column, temperature: float | Column = 1.0) -> Column:
-    scaled = F.transform(logits, lambda x: x / temperature)
-    top = F.array_max(scaled)
-    e = F.transform(scaled, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    def shares(scaled: Column) -> Column:
+        powers = bind(F.array_max(scaled), lambda top: F.transform(scaled, lambda x: F.exp(x - top)))
+        return bind(powers, lambda e: bind(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total)))
+
+    return bind(F.transform(logits, lambda x: x / temperature), shares)
 
 
 def nll(logits: Column, label: Column, temperature: float | Column = 1.0) -> Column:

@@ -130,7 +130,7 @@ def greedy_kept(pairs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     settled too.  Every round settles the least open id of each cluster at
     least; clusters of near-duplicates are small, so few rounds are taken.
     """
-    open_pairs = pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+    open_pairs = _cut(pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
     dropped = None
     while not open_pairs.isEmpty():
         # A smaller id with no open smaller partner stays; its larger partners go.
