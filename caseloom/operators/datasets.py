@@ -115,10 +115,10 @@ def audit_families(rows: DataFrame, family: str, split: str, key: str, text: str
 
 
 def held_out_audit(held: DataFrame, train: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """(check, n): held-out rows whose value is found in training, for (held value, training value) pairs."""
+    """(audit, n): held-out rows whose value is found in training, for (held value, training value) pairs."""
     out = None
     for name, (h, t) in checks.items():
-        hit = held.select(h.alias("v")).join(train.select(t.alias("v")).distinct(), "v", "left_semi").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
+        hit = held.select(h.alias("v")).join(train.select(t.alias("v")).distinct(), "v", "left_semi").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("audit"), "n")
         out = hit if out is None else out.unionByName(hit)
     return out
 

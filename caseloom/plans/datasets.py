@@ -60,7 +60,7 @@ def m3(spark, d):
 
 
 AUDIT_SQL = f"""WITH h AS (SELECT item_id AS id, text FROM benchmark), t AS (SELECT doc_id AS id, text FROM documents)
-SELECT 'id' AS check, count(*) AS n FROM h WHERE id IN (SELECT id FROM t) UNION ALL SELECT 'text', count(*) FROM h WHERE sha256(text) IN (SELECT sha256(text) FROM t)
+SELECT 'id' AS audit, count(*) AS n FROM h WHERE id IN (SELECT id FROM t) UNION ALL SELECT 'text', count(*) FROM h WHERE sha256(text) IN (SELECT sha256(text) FROM t)
 UNION ALL SELECT 'normalised', count(*) FROM h WHERE lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) IN (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) FROM t)"""
 
 
@@ -222,9 +222,9 @@ def m23(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(F.when(F.col("event_type") == "error", F.col("value")), F.when(F.col("user_id") % 2 == 0, 0.5), F.lit(0.25)).alias("threshold"))
 
 
-@query("M24_audit_wrapper", f"SELECT bool_and(n = 0) AS passed FROM ({AUDIT_SQL}) WHERE check = 'text'")
+@query("M24_audit_wrapper", f"SELECT bool_and(n = 0) AS passed FROM ({AUDIT_SQL}) WHERE audit = 'text'")
 def m24(spark, d):
-    return d12(spark, d).where("check = 'text'").agg(F.bool_and(F.col("n") == 0).alias("passed"))
+    return d12(spark, d).where("audit = 'text'").agg(F.bool_and(F.col("n") == 0).alias("passed"))
 
 
 @query("L7_turn_samples", "SELECT conv_id, turn, unnest(range(turn + 1))::BIGINT AS bubble FROM conversations")

@@ -1 +1,169 @@
-"""Queries."""
+"""Queries over sources, normalisers and sinks (families A, C1 to C4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from caseloom.operators import intake
+from caseloom.sources import files, payloads
+
+from .registry import query, table
+
+
+def _us(c):
+    return F.unix_micros(c.cast("timestamp"))
+
+
+@query("A1_trajectory_shape", "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns FROM conversations GROUP BY 1")
+def a1(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"))
+
+
+@query("A2_jsonl_rows", """SELECT event_id, '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}' AS line FROM events""")
+def a2(spark, d):
+    return table(spark, d, "events").select("event_id", F.to_json(F.struct("event_id", "user_id", "event_type")).alias("line"))
+
+
+@query("A3_corpus_lines", """SELECT event_id, CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'view' THEN 'raw ' || props ELSE event_type END AS text FROM events""")
+def a3(spark, d):
+    kind = F.col("event_type")
+    line = F.when(kind == "error", F.lit('{"split": "test", "text": "x"}')).when(kind == "view", F.concat(F.lit("raw "), "props")).otherwise(F.concat(F.lit('{"split": "train", "body": "'), kind, F.lit('"}')))
+    return table(spark, d, "events").select("event_id", files.corpus_line(line).alias("text"))
+
+
+@query("A4_held_out_items", "SELECT item_id, length(text)::INT AS n_chars FROM benchmark")
+def a4(spark, d):
+    body = F.to_json(F.struct(F.array(F.struct("item_id", "text")).alias("items")))
+    item = F.explode(F.from_json(body, "items array<struct<item_id:bigint,text:string>>")["items"]).alias("i")
+    return table(spark, d, "benchmark").select(item).select("i.item_id", F.length("i.text").alias("n_chars"))
+
+
+@query("A5_fixture_replay", "SELECT conv_id, turn, epoch_us(TIMESTAMP '2026-09-11' + turn * INTERVAL 2 SECOND) AS received_us FROM conversations")
+def a5(spark, d):
+    bubble = F.struct(F.col("turn").cast("string").alias("source_message_id"), "text", (F.col("turn") * 2).cast("int").alias("offset_seconds"))
+    f = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("conversation_id")).agg(F.collect_list(bubble).alias("bubbles")).withColumn("tenant_id", F.lit("research"))
+    m = payloads.replayed(f, F.lit("2026-09-11").cast("timestamp"))
+    return m.select(F.col("conversation_id").alias("conv_id"), F.col("source_message_id").cast("long").alias("turn"), F.unix_micros("received_at").alias("received_us"))
+
+
+def _payload():
+    kind, k = F.col("event_type"), F.col("user_id")
+    data = F.struct(F.col("event_id").cast("string").alias("id"), F.concat(F.lit("u"), k).alias("chatId"), F.when(kind != "view", kind).alias("body"), F.when((kind == "view") & (k % 2 == 0), F.lit(1.5)).alias("latitude"), (k % 7 == 0).alias("fromMe"))
+    return F.to_json(F.struct(F.when(kind == "error", "ack").otherwise("message.received").alias("event"), data.alias("data")))
+
+
+@query("A6_webhook", """SELECT event_id, 'u' || user_id AS conversation_id, CASE WHEN event_type = 'view' THEN '[Pin Lokasi]' ELSE event_type END AS text FROM events WHERE event_type <> 'error' AND (event_type <> 'view' OR user_id % 2 = 0)""")
+def a6(spark, d):
+    t = table(spark, d, "events").select("event_id", payloads.webhook(_payload(), "t").alias("m")).where("m IS NOT NULL")
+    return t.select("event_id", "m.conversation_id", "m.text")
+
+
+@query("A7_connector_keys", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 's' || user_id ELSE 'p' || user_id END AS source_id FROM events")
+def a7(spark, d):
+    u = F.col("user_id")
+    body = F.when(u % 3 == 0, F.to_json(F.struct(F.struct(F.concat(F.lit("s"), u).alias("_serialized")).alias("id")))).otherwise(F.to_json(F.struct(F.concat(F.lit("p"), u).alias("id"))))
+    return table(spark, d, "events").select("event_id", payloads.required(body, "source_message_id", "id").alias("source_id"))
+
+
+@query("A8_message_time", "SELECT event_id, CASE WHEN user_id % 4 = 3 THEN 0 ELSE epoch_us(ts) // 1000000 * 1000000 END AS received_us FROM events")
+def a8(spark, d):
+    s, u = F.floor(_us(F.col("ts")) / 1000000).cast("long"), F.col("user_id") % 4
+    value = F.when(u == 0, s.cast("string")).when(u == 1, (s * 1000).cast("string")).when(u == 2, F.concat(F.date_format(F.timestamp_seconds(s), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).otherwise("soon")
+    return table(spark, d, "events").select("event_id", F.unix_micros(payloads.message_time(value, F.timestamp_seconds(F.lit(0)))).alias("received_us"))
+
+
+@query("A9_social_time", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN epoch_us(ts) // 1000000 * 1000000 END AS published_us FROM events")
+def a9(spark, d):
+    s = F.floor(_us(F.col("ts")) / 1000000).cast("long").cast("string")
+    return table(spark, d, "events").select("event_id", F.unix_micros(payloads.social_time(F.when(F.col("user_id") % 3 == 0, s).otherwise("yesterday"))).alias("published_us"))
+
+
+@query("A10_social_item", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN page_id::VARCHAR WHEN 1 THEN substr(url, 1, 256) ELSE 'sha256:' || sha256('web|host|') END AS external_id, '(tanpa teks)' AS text FROM pages""")
+def a10(spark, d):
+    k = F.col("page_id") % 3
+    item = F.to_json(F.struct(F.when(k == 0, F.col("page_id").cast("string")).alias("id"), F.when(k == 1, F.col("url")).alias("link"), F.struct(F.lit("host").alias("username")).alias("user"), F.lit("  ").alias("text")))
+    p = payloads.social_post(F.lit("web"), F.lit("q"), item)
+    return table(spark, d, "pages").select("page_id", p.alias("p")).select("page_id", "p.external_id", "p.text")
+
+
+@query("A11_collect_first", "SELECT event_type AS platform, user_id, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def a11(spark, d):
+    posts = table(spark, d, "events").select(F.col("event_type").alias("platform"), F.col("user_id").alias("external_id"), "event_id")
+    return payloads.collected(posts, "event_id").select("platform", F.col("external_id").alias("user_id"), "event_id")
+
+
+@query("A12_envelope_parse", "SELECT event_id, CASE WHEN user_id % 3 < 2 THEN (json_extract(props, '$.k'))::INT END AS k FROM events")
+def a12(spark, d):
+    u = F.col("user_id") % 3
+    out = F.when(u == 0, F.col("props")).when(u == 1, F.concat(F.lit("starting\n"), "props", F.lit("\ndone"))).otherwise("no json here")
+    return table(spark, d, "events").select("event_id", F.get_json_object(payloads.envelope(out), "$.k").cast("int").alias("k"))
+
+
+@query("A14_log_offsets", "SELECT event_type AS topic, event_id, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1)::INT AS log_offset FROM events")
+def a14(spark, d):
+    w = Window.partitionBy("event_type").orderBy("event_id")
+    return table(spark, d, "events").select(F.col("event_type").alias("topic"), "event_id", (F.row_number().over(w) - 1).alias("log_offset"))
+
+
+@query("A16_digest_verification", "SELECT doc_id, doc_id % 5 <> 0 AS matches FROM documents")
+def a16(spark, d):
+    claimed = F.when(F.col("doc_id") % 5 == 0, F.lit("0" * 64)).otherwise(F.sha2("text", 256))
+    return table(spark, d, "documents").select("doc_id", (F.sha2("text", 256) == claimed).alias("matches"))
+
+
+@query("A17_export_counts", "SELECT lang AS split, source, count(*) AS records, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2")
+def a17(spark, d):
+    return table(spark, d, "documents").groupBy(F.col("lang").alias("split"), "source").agg(F.count(F.lit(1)).alias("records"), F.sum("n_chars").alias("chars"))
+
+
+@query("A18_lineage_stats", "SELECT count(*) AS raw_records, count(DISTINCT sha256(text)) AS clean_records, bit_xor(('0x' || substr(sha256(text), 1, 8))::BIGINT) AS mixed FROM documents")
+def a18(spark, d):
+    h = F.sha2("text", 256)
+    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("raw_records"), F.count_distinct(h).alias("clean_records"), F.bit_xor(F.conv(F.substring(h, 1, 8), 16, 10).cast("long")).alias("mixed"))
+
+
+@query("A19_metrics_text", """WITH c AS (SELECT event_type, user_id % 2 AS side, count(*) AS n, sum(user_id) AS total FROM events GROUP BY 1, 2) SELECT event_type || '_count{side="' || side || '"} ' || n AS line FROM c UNION ALL SELECT event_type || '_sum{side="' || side || '"} ' || total FROM c""")
+def a19(spark, d):
+    c = table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 2).alias("side")).agg(F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("total"))
+    return files.prometheus(c, "event_type", ["side"], "n", "total")
+
+
+@query("A20_report_rows", "SELECT '| ' || r_regionkey || ' | ' || r_name || ' |' AS line FROM region")
+def a20(spark, d):
+    return files.markdown(table(spark, d, "region").select("r_regionkey", "r_name"))
+
+
+@query("A22_registration", "SELECT n_name AS name, CASE WHEN n_nationkey >= 20 THEN 'insert' WHEN n_nationkey % 2 = 0 THEN 'same' ELSE 'skip' END AS action FROM nation")
+def a22(spark, d):
+    n = table(spark, d, "nation")
+    new = n.select(F.col("n_name").alias("name"), F.lit("1").alias("version"), F.lit("a").alias("digest"))
+    known = n.where("n_nationkey < 20").select(F.col("n_name").alias("name"), F.lit("1").alias("version"), F.when(F.col("n_nationkey") % 2 == 0, "a").otherwise("b").alias("digest"))
+    return payloads.registration(new, known).select("name", "action")
+
+
+@query("C1_self_sent", "SELECT event_id, user_id % 7 = 0 OR event_type = 'error' AS self_sent FROM events")
+def c1(spark, d):
+    flag = F.when(F.col("user_id") % 7 == 0, "TRUE").otherwise("no")
+    ident = F.concat(F.when(F.col("event_type") == "error", "true_").otherwise(""), F.col("event_id").cast("string"))
+    return table(spark, d, "events").select("event_id", intake.self_sent([flag], F.lit("a"), F.lit("b"), ident).alias("self_sent"))
+
+
+@query("C2_receipt_only", "SELECT event_id, event_type = 'error' OR (event_type = 'view' AND user_id % 2 = 0) AS receipt FROM events")
+def c2(spark, d):
+    kind = F.col("event_type")
+    ack = F.when(F.col("user_id") % 2 == 0, F.lit(1))
+    made = intake.receipt_only([], F.when(kind == "error", "ACK").otherwise("message"), F.lit("chat"), F.when(kind != "view", kind), ack, F.lit(None).cast("string"))
+    return table(spark, d, "events").select("event_id", made.alias("receipt"))
+
+
+@query("C3_group_chat", "SELECT event_id, user_id % 5 = 0 AS grouped FROM events")
+def c3(spark, d):
+    address = F.concat(F.lit("x"), F.when(F.col("user_id") % 5 == 0, "@g.us").otherwise("@c.us"))
+    return table(spark, d, "events").select("event_id", intake.group_chat([F.lit("0")], [address]).alias("grouped"))
+
+
+@query("C4_accepted", "SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'error' AND (event_type <> 'view' OR user_id % 2 = 0) GROUP BY 1")
+def c4(spark, d):
+    t = table(spark, d, "events").where(payloads.webhook(_payload(), "t").isNotNull())
+    return t.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

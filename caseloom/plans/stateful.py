@@ -1 +1,155 @@
-"""Queries."""
+"""Queries over the replayable stateful operators (families F3, K)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from caseloom.operators import intake, ledger
+
+from .registry import query, table
+
+BURSTS = """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+b(user_id, event_id, t, i, burst, first) AS (SELECT user_id, event_id, t, i, 0, t FROM e WHERE i = 1 UNION ALL
+SELECT e.user_id, e.event_id, e.t, e.i, CASE WHEN e.t > least(b.first + 86400000000, b.t + 21600000000) THEN b.burst + 1 ELSE b.burst END, CASE WHEN e.t > least(b.first + 86400000000, b.t + 21600000000) THEN e.t ELSE b.first END FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1)
+"""
+
+
+def _bursts(spark, d):
+    return intake.bursts(table(spark, d, "events"), ["user_id"], "ts", "event_id", 6 * 3600, 24 * 3600)
+
+
+@query("K1_burst_windows", BURSTS + "SELECT user_id, event_id, burst FROM b")
+def k1(spark, d):
+    return _bursts(spark, d).select("user_id", "event_id", "burst")
+
+
+@query("F3_burst_deadlines", BURSTS + "SELECT user_id, burst, count(*) AS n, least(max(t) + 21600000000, min(t) + 86400000000) AS due_us FROM b GROUP BY 1, 2")
+def f3(spark, d):
+    t = table(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    g = _bursts(spark, d).join(t, "event_id").groupBy("user_id", "burst")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.least(F.max("t") + 6 * 3600 * 1000000, F.min("t") + 24 * 3600 * 1000000).alias("due_us"))
+
+
+@query("K2_late_messages", "SELECT event_id FROM events WHERE event_type <> 'signup' AND ts <= TIMESTAMP '2024-01-15' AND event_id NOT IN (SELECT event_id FROM events WHERE value > 10)")
+def k2(spark, d):
+    e = table(spark, d, "events")
+    due = e.where((F.col("event_type") != "signup") & (F.unix_micros(F.col("ts").cast("timestamp")) <= F.unix_micros(F.lit("2024-01-15").cast("timestamp"))))
+    return due.join(e.where("value > 10").select("event_id"), "event_id", "left_anti").select("event_id")
+
+
+@query("K3_generations", BURSTS + "SELECT user_id, max(burst) + 1 AS generation FROM b GROUP BY 1")
+def k3(spark, d):
+    return _bursts(spark, d).groupBy("user_id").agg((F.max("burst") + 1).alias("generation"))
+
+
+@query("K4_case_association")
+def k4(spark, d):
+    """The case of every event of a user, by quote, key, recency or a new case."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    quoted = F.when(k % 10 == 0, F.col("event_id") - 150)
+    label = F.when(k % 7 == 0, F.concat(F.lit("key-"), k % 3))
+    return ledger.association(table(spark, d, "events"), "user_id", "ts", "event_id", quoted, label, F.col("event_type") == "error", 48 * 3600)
+
+
+@query("K5_snapshot_revisions", BURSTS + "SELECT user_id, burst, (row_number() OVER (PARTITION BY user_id ORDER BY burst))::INT AS revision FROM (SELECT DISTINCT user_id, burst FROM b)")
+def k5(spark, d):
+    fired = _bursts(spark, d).select("user_id", "burst").distinct()
+    return fired.select("user_id", "burst", F.row_number().over(Window.partitionBy("user_id").orderBy("burst")).alias("revision"))
+
+
+@query("K6_idempotent_ingest", "SELECT l_orderkey, l_linenumber, l_partkey, conflict FROM (SELECT *, row_number() OVER w AS rn, min(l_returnflag) OVER (PARTITION BY l_orderkey, l_linenumber) <> max(l_returnflag) OVER (PARTITION BY l_orderkey, l_linenumber) AS conflict FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey)) WHERE rn = 1")
+def k6(spark, d):
+    return intake.deduplicated(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_returnflag"], "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "conflict")
+
+
+@query("K7_inbox_dedupe", "SELECT user_id AS consumer, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def k7(spark, d):
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("consumer"), "event_type").agg(F.min("event_id").alias("event_id"))
+
+
+@query("K8_poison_branch", "SELECT event_id, CASE WHEN (json_extract(props, '$.k'))::INT > 90 THEN 'dlq' ELSE 'done' END AS branch FROM events")
+def k8(spark, d):
+    return table(spark, d, "events").select("event_id", F.when(F.get_json_object("props", "$.k").cast("int") > 90, "dlq").otherwise("done").alias("branch"))
+
+
+@query("K9_outbox_relay", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'cases.ready.v1' WHEN 'purchase' THEN 'commands.ticket.v1' ELSE event_type || '.events' END AS topic, user_id::VARCHAR AS key FROM events WHERE event_id % 3 <> 0")
+def k9(spark, d):
+    topics = {"signup": "cases.ready.v1", "purchase": "commands.ticket.v1"}
+    return table(spark, d, "events").where("event_id % 3 <> 0").select("event_id", ledger.topic(F.col("event_type"), topics).alias("topic"), F.col("user_id").cast("string").alias("key"))
+
+
+@query("K10_stuck_leases", "SELECT o_orderkey, CASE WHEN o_orderdate > TIMESTAMP '2000-01-01' + INTERVAL 600 SECOND THEN 'released' ELSE 'kept' END AS lease FROM orders WHERE o_orderstatus = 'P'")
+def k10(spark, d):
+    far = F.unix_micros(F.col("o_orderdate").cast("timestamp")) > F.unix_micros(F.lit("2000-01-01").cast("timestamp")) + 600 * 1000000
+    return table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", F.when(far, "released").otherwise("kept").alias("lease"))
+
+
+@query("K11_stale_revisions", "SELECT l_orderkey, l_partkey, l_linenumber < max(l_linenumber) OVER (PARTITION BY l_orderkey) AS stale FROM lineitem")
+def k11(spark, d):
+    top = F.max("l_linenumber").over(Window.partitionBy("l_orderkey"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_linenumber") < top).alias("stale"))
+
+
+@query("K12_category_anchor", "SELECT event_id, CASE WHEN lag(event_type) OVER w = 'error' AND value < 25 AND lag(event_type) OVER w IS NOT NULL THEN lag(event_type) OVER w ELSE event_type END AS category FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def k12(spark, d):
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, d, "events").select("event_id", F.when((before == "error") & (F.col("value") < 25), before).otherwise(F.col("event_type")).alias("category"))
+
+
+@query("K13_state_machine", "SELECT user_id, arg_max(event_type, event_id) AS state FROM events GROUP BY 1")
+def k13(spark, d):
+    return ledger.current_state(table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("state")), "user_id", "event_id").select("user_id", "state")
+
+
+@query("K14_send_ledger", "SELECT l_orderkey, l_partkey, conflict FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS rn, min(l_linestatus) OVER (PARTITION BY l_orderkey) <> max(l_linestatus) OVER (PARTITION BY l_orderkey) AS conflict FROM lineitem) WHERE rn = 1")
+def k14(spark, d):
+    return ledger.sent_once(table(spark, d, "lineitem"), "l_orderkey", "l_linestatus", "l_partkey").select("l_orderkey", "l_partkey", "conflict")
+
+
+@query("K15_ticket_store")
+def k15(spark, d):
+    """Tickets of users folded from their ordered events as commands."""
+    kind = F.col("event_type")
+    action = F.when(kind == "signup", "create").when(kind == "error", "close").when(kind == "purchase", "transfer").otherwise("update")
+    expected = F.when(F.get_json_object("props", "$.k").cast("int") > 97, 1)
+    return ledger.tickets(table(spark, d, "events"), "user_id", ["ts", "event_id"], action, expected)
+
+
+@query("K16_circuit_breaker")
+def k16(spark, d):
+    """Breaker state at every call of a user's events, failures being error events."""
+    return ledger.breaker(table(spark, d, "events"), "user_id", "ts", "event_id", F.col("event_type") != "error", failures=2, wait=6 * 3600)
+
+
+@query("K17_dead_letters", "SELECT user_id, count(*) AS attempts FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 3")
+def k17(spark, d):
+    return table(spark, d, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("attempts")).where("attempts >= 3")
+
+
+@query("K18_session_rounds", "SELECT user_id, least(count(*) FILTER (event_type = 'view'), 3) AS rounds, bool_or(value > 49) AS resolved, epoch_us(min(ts) + INTERVAL 72 HOUR) AS expires_us FROM events GROUP BY 1")
+def k18(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.least(F.count_if(F.col("event_type") == "view"), F.lit(3).cast("long")).alias("rounds"), F.bool_or(F.col("value") > 49).alias("resolved"), (F.unix_micros(F.min("ts").cast("timestamp")) + 72 * 3600 * 1000000).alias("expires_us"))
+
+
+@query("K19_append_only", "SELECT count(*) - count(DISTINCT event_id) AS rewritten FROM events")
+def k19(spark, d):
+    return table(spark, d, "events").agg((F.count(F.lit(1)) - F.count_distinct("event_id")).alias("rewritten"))
+
+
+@query("K21_bank_upsert", "SELECT user_id, max(event_id) AS latest, arg_max(value, event_id) FILTER (event_type = 'purchase') AS ticket_value FROM events GROUP BY 1")
+def k21(spark, d):
+    known = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("latest"), F.max_by("value", known).alias("ticket_value"))
+
+
+@query("K22_gateway_audit", "SELECT event_type AS action, CASE WHEN value > 25 THEN 'ALLOW' ELSE 'DENY' END AS outcome, count(*) AS n FROM events GROUP BY 1, 2")
+def k22(spark, d):
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("action"), F.when(F.col("value") > 25, "ALLOW").otherwise("DENY").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("K23_result_scatter", "SELECT d.doc_id, coalesce(quality, -1) AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def k23(spark, d):
+    t = table(spark, d, "labels").select("doc_id", "quality")
+    return table(spark, d, "documents").select("doc_id").join(t, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
