@@ -14,6 +14,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
@@ -26,6 +27,7 @@ MARKS = SPACE.copy()
 MARKS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
 
 CHUNK_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 
 
 @cache
@@ -35,13 +37,22 @@ def _libc():
         lib = ctypes.CDLL(None)
         lib.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
         lib.malloc_trim  # noqa: B018
+        pa.set_memory_pool(pa.system_memory_pool())
     except (OSError, AttributeError):  # another C library
         return None
     return lib
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task body whose worker, which Spark reuses, gives memory back when the task ends."""
+    """A task body of bounded memory.
+
+    Texts come in Arrow batches of ``BATCH_BYTES`` rather than of many rows, on
+    both sides of the pipe, and the worker, which Spark reuses, gives memory back
+    when the task ends.
+    """
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def body(batches):
         lib = _libc()

@@ -165,6 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     if n > sample:
         labels = labels.where(F.pmod(F.xxhash64("_k"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
     # At most about `sample` rows of two numbers.
+    docs = docs.select(key, text, *metadata)
     rows = docs.join(F.broadcast(labels), docs[key] == labels["_k"]).select("_k", "_y", text, *metadata)
 
     def run(batches):

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import chunks, flat, lean
-from .store import written
+from .store import free_name, written
 
 BUCKETS = 1 << 15
 SAMPLE = 20_000
@@ -131,16 +131,20 @@ def _sums(k: int) -> list[Column]:
 
 
 def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", declared: str | None = None, suffix: str | None = None, host: str | None = None, domain: str | None = None, least: float = 0.5, weight: float = WEIGHT) -> DataFrame:
-    """(all columns but the text, n_grams, language, confidence, kept)."""
+    """(all columns but the text, n_grams, language, confidence, kept); names that are taken get a trailing underscore."""
     names, _ = model
     k = len(names)
     out = [c for c in df.columns if c != text]
+    n_grams, language_name, confidence, kept_name = (free_name(df, c) for c in ("n_grams", "language", "confidence", "kept"))
     null = F.lit(None).cast("string")
     pick = lambda c: F.col(c).cast("string") if c else null
-    rows = df.select("*", F.lower(pick(declared)).alias("_declared"), pick(suffix).alias("_suffix"), pick(host).alias("_host"), pick(domain).alias("_domain"))
-    rows = written(likelihoods(rows, model, text), "likelihoods")
+    # The columns of the caller travel as one, so none of them clashes with those used here.
+    row = F.struct(*out) if out else F.struct(F.lit(0).alias("_none"))
+    rows = df.select(F.col(text).alias("text"), row.alias("_row"), F.lower(pick(declared)).alias("_declared"), pick(suffix).alias("_suffix"), pick(host).alias("_host"), pick(domain).alias("_domain"))
+    rows = written(likelihoods(rows, model), "likelihoods")
+    callers = [F.col("_row").getField(c).alias(c) for c in out]
     if not k:
-        return rows.select(*out, "n_grams", F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
+        return rows.select(*callers, F.col("n_grams").alias(n_grams), F.lit("und").alias(language_name), F.lit(0.0).alias(confidence), F.lit(False).alias(kept_name))
     told = rows.where("n_grams > 0").select("_declared", "_suffix", "_host", "_domain", _soft(F.transform("ll", lambda x: x * weight)).alias("soft"))
     whole = told.agg(F.count(F.lit(1)).alias("n"), *_sums(k)).first()
     total = [((whole[f"p{i}"] or 0.0) + 1.0) / (whole["n"] + k) for i in range(k)]
@@ -177,7 +181,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "te
     known = (F.col("n_grams") > 0) & (F.element_at("ll", at) / F.col("n_grams") >= -float(np.log(BUCKETS))) & (F.col("confidence") >= least)
     kept = F.coalesce(known, F.lit(False))
     language = F.when(kept, F.element_at(F.array(*map(F.lit, names)), at)).otherwise(F.lit("und"))
-    return rows.select(*out, "n_grams", language.alias("language"), "confidence", kept.alias("kept"))
+    return rows.select(*callers, F.col("n_grams").alias(n_grams), language.alias(language_name), F.col("confidence").alias(confidence), kept.alias(kept_name))
 
 
 def page_text(html: Column) -> Column:

@@ -22,8 +22,9 @@ from caseloom.llm.store import free_name, table, written
 
 def _without(docs: DataFrame, rejected: DataFrame, mark: str) -> DataFrame:
     """``docs`` without the rows named in ``rejected`` (doc_id, mark); a small table is broadcast by its written size."""
-    gone = written(rejected.select(F.col("doc_id").alias("_id"), F.col(mark).alias("_mark")).distinct(), "rejected")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left_anti")
+    ident, text_mark = free_name(docs, "ident"), free_name(docs, "text_mark")
+    gone = written(rejected.select(F.col("doc_id").alias(ident), F.col(mark).alias(text_mark)).distinct(), "rejected")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.xxhash64("text") == F.col(text_mark)), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     judged = written(simhash.near_duplicates(docs), "groups")
     stays = judged.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     total, distinct = stays.agg(F.count(F.lit(1)), F.count_distinct(F.struct("doc_id", "fp"))).first()
-    ids = stays.select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    ident = free_name(docs, "ident")
+    ids = stays.select(F.col("doc_id").alias(ident)).distinct()
+    out = docs.join(ids, F.col("doc_id").eqNullSafe(F.col(ident)), "left_semi")
     if total > distinct:  # rows that repeat a kept one
         mark = free_name(docs, "mark")
         out = out.withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).drop(mark)
