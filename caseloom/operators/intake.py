@@ -83,7 +83,12 @@ def containing(texts: DataFrame, needles: DataFrame, text: str, needle: str) ->
     if needles.count() <= CONTAINED_ROWS:
         return texts.join(F.broadcast(needles), F.col(text).contains(F.col(needle)))
     sizes = [x[0] for x in needles.select(F.length(needle)).distinct().collect()]
-    grams = F.flatten(F.array(*(F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes)))
+
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*map(of_size, sizes)))
     return texts.withColumn("_gram", F.explode(F.array_distinct(grams))).join(needles, F.col("_gram") == F.col(needle)).drop("_gram")
 
 

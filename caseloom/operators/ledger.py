@@ -17,9 +17,9 @@ def topic(kind: Column, topics: dict[str, str] = TOPICS) -> Column:
 def association(messages: DataFrame, key: str, at: str, ident: str, quoted: Column, case_key: Column, closed: Column, horizon: int) -> DataFrame:
     """Add case_no: the case of each message of a conversation.
 
-    First the case of the quoted message, then the last case of the same
-    explicit key, then the newest open case within ``horizon`` seconds, else a
-    new case, named by its first message.  A message depends on the links before
+    First the case of the quoted message, then that of the same explicit key (a
+    new one for a new key), then the newest open case within ``horizon``
+    seconds, else a new case, named by its first message.  A message depends on the links before
     it, so the messages of a conversation are folded in order.
     """
     us = F.unix_micros(F.col(at).cast("timestamp"))
@@ -33,7 +33,7 @@ def association(messages: DataFrame, key: str, at: str, ident: str, quoted: Colu
         by_quote = last(F.filter(links, lambda y: y["id"] == x["quoted"]))
         by_label = last(F.filter(links, lambda y: y["label"] == x["label"]))
         recent = last(F.filter(links, lambda y: ~y["closed"] & (y["t"] >= x["t"] - horizon * 1_000_000)))
-        return F.concat(links, F.array(link(x["id"], F.coalesce(by_quote, by_label, recent, x["id"]), x["t"], x["label"], x["closed"])))
+        return F.concat(links, F.array(link(x["id"], F.coalesce(by_quote, F.when(x["label"].isNotNull(), F.coalesce(by_label, x["id"])), recent, x["id"]), x["t"], x["label"], x["closed"])))
 
     folded = rows.select(key, F.explode(F.aggregate("m", start, step)).alias("o"))
     return folded.select(key, F.col("o.id").alias(ident), F.col("o.case_no").alias("case_no"))
