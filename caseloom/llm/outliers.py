@@ -41,6 +41,8 @@ SYMBOL = r"[#*$%&|<>]"
 P = 5
 FLOORS = (0.3, 0.15, 0.15, 0.8, 0.8)
 BINS = 256
+FEW_GROUPS = 10_000
+SALTS = 64
 
 
 def statistics(df: DataFrame, text: str = "text") -> DataFrame:
@@ -146,24 +148,34 @@ def _bin(distance: Column) -> Column:
     return F.floor(F.log1p(distance) * BINS).cast("int")
 
 
+def _meet(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    """Rows with the one row of their group: up to ``FEW_GROUPS`` groups go to every task; more are joined by
+    group and salt, so that the rows of a large group are dealt over ``SALTS`` parts."""
+    if few:
+        return rows.join(F.broadcast(groups), "grp")
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, ["grp", "salt"])
+
+
 def estimates(rows: DataFrame, share: float, steps: int) -> DataFrame:
-    """grp -> m_i, w_ij, scale, rows for rows (grp, x0..x4)."""
+    """grp -> m_i, w_ij, scale, rows for rows (grp, salt, x0..x4)."""
     mid = written(_medians(rows, _x, "c"), "medians")
-    off = _medians(rows.join(mid.drop("rows"), "grp"), lambda i: F.abs(_x(i) - F.col(f"c{i}")), "d")
+    few = mid.count() <= FEW_GROUPS
+    off = _medians(_meet(rows, mid.drop("rows"), few), lambda i: F.abs(_x(i) - F.col(f"c{i}")), "d")
     start = mid.drop("rows").join(off.drop("rows"), "grp")
     none = F.lit(0.0)
     now = start.select("grp", *(F.col(f"c{i}").alias(f"m{i}") for i in range(P)), *((1 / (1.4826 * F.col(f"d{i}") + FLOORS[i]) if i == j else none).alias(f"w{i}{j}") for i in range(P) for j in range(i + 1)))
     now = written(now, "estimates")
     for _ in range(steps):
-        near = rows.join(now, "grp").select("grp", *(f"x{i}" for i in range(P)), _bin(_distance()).alias("bin"))
+        near = _meet(rows, now, few).select("grp", "salt", *(f"x{i}" for i in range(P)), _bin(_distance()).alias("bin"))
         edge = _at_share(near.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n")), ["grp"], share).select("grp", F.col("bin").alias("edge"))
-        inner = near.join(edge, "grp").where("bin <= edge")
+        inner = _meet(near, edge, few).where("bin <= edge")
         # Sums about the medians, where cancellation is small.
-        inner = inner.join(mid.drop("rows"), "grp").select("grp", *((_x(i) - F.col(f"c{i}")).alias(f"x{i}") for i in range(P)))
+        inner = _meet(inner, mid.drop("rows"), few).select("grp", *((_x(i) - F.col(f"c{i}")).alias(f"x{i}") for i in range(P)))
         sums = inner.groupBy("grp").agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(_x(i)).alias(f"s{i}") for i in range(P)), *(F.sum(_x(j) * _x(i)).alias(f"q{j}{i}") for i in range(P) for j in range(i + 1)))
         fitted = _whitened(sums).join(mid.drop("rows"), "grp")
         now = written(fitted.select("grp", *((F.col(f"m{i}") + F.col(f"c{i}")).alias(f"m{i}") for i in range(P)), *(f"w{i}{j}" for i in range(P) for j in range(i + 1))), "estimates")
-    hist = rows.join(now, "grp").select("grp", _bin(_distance()).alias("bin")).groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"))
+    hist = _meet(rows, now, few).select("grp", _bin(_distance()).alias("bin")).groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"))
     half = _at_share(hist, ["grp"], 0.5)
     scale = F.greatest(F.expm1((F.col("bin") + 0.5) / BINS) / chi_square_at(0.5, P), F.lit(1.0))
     return written(now.join(half.select("grp", scale.alias("scale"), "rows"), "grp"), "estimates")
@@ -175,8 +187,8 @@ def quality(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str =
     stats = written(statistics(named).drop("text").withColumn("base_failed", base_failed()), "text-statistics")
     groups = [F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")), F.struct(F.lit(1).alias("level"), F.col("lang"), F.lit(None).cast("string").alias("source")), F.struct(F.lit(2).alias("level"), "lang", "source")]
     groups = [F.to_json(g, {"ignoreNullFields": "false"}) for g in groups]
-    fine = stats.where(~F.col("base_failed")).select(*(x.alias(f"x{i}") for i, x in enumerate(vector())), *(g.alias(f"g{k}") for k, g in enumerate(groups)))
-    rows = written(fine.select(F.explode(F.array("g0", "g1", "g2")).alias("grp"), *(f"x{i}" for i in range(P))), "vectors")
+    fine = stats.where(~F.col("base_failed")).select(*(x.alias(f"x{i}") for i, x in enumerate(vector())), *(g.alias(f"g{k}") for k, g in enumerate(groups)), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
+    rows = written(fine.select(F.explode(F.array("g0", "g1", "g2")).alias("grp"), "salt", *(f"x{i}" for i in range(P))), "vectors")
     fitted = estimates(rows, share, steps)
     # Each group takes the estimate of the most specific level with enough rows.
     large = fitted.where(F.col("rows") >= least_rows)

@@ -8,7 +8,7 @@ a bisection finds to suffice, so that shards are near equal in bytes.
 
 Groups of one size are alike, so the driver packs size classes with counts, not
 groups: sizes are rounded up to ``DIGITS`` binary digits, which makes less than
-2 ** DIGITS * 54 classes whatever the input, at most 0.2 % above the true size.
+2 ** (DIGITS - 1) * 55 classes whatever the input, at most 0.4 % above the true size.
 Each group then takes its place in its class from a two-level rank, and slots
 within a shard are numbered the same way; no step orders a shard, class or group
 in one task.

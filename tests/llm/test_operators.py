@@ -129,7 +129,9 @@ def test_op5_recall_at_the_bound():
     assert found / total >= 0.99
 
 
-def test_op6_statistics_and_verdicts(spark):
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_op6_statistics_and_verdicts(spark, monkeypatch, few):
+    monkeypatch.setattr(outliers, "FEW_GROUPS", few)
     import re
 
     rows = [(i, " ".join(np.random.default_rng(i).choice(WORDS, 120)) + f" u{i}", "en", "a") for i in range(300)]
