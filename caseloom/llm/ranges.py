@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ LEAST_BYTES = 8 << 20
 MOST_SHARDS = 50_000
 
 
-def key_shards(df: DataFrame, key: str, size: Column, least: int = LEAST_BYTES, most: int = MOST_SHARDS) -> tuple[Column, int]:
-    """(expression for the shard of a row, number of shards): ascending ranges of an integer key.
+def key_shards(df: DataFrame, key: str, size: Column, least: int = LEAST_BYTES, most: int = MOST_SHARDS) -> tuple[Callable[[DataFrame], DataFrame], int]:
+    """(adds ``shard`` to a table with the key, number of shards): ascending ranges of an integer key.
 
     Bytes are summed in ``BUCKETS`` equal parts of the key's span, and runs of
     parts are joined to shards of max(least, total / most) bytes.  Cuts depend on
@@ -21,35 +22,26 @@ def key_shards(df: DataFrame, key: str, size: Column, least: int = LEAST_BYTES,
     """
     low, high = df.agg(F.min(key), F.max(key)).first()
     if low is None:
-        return F.lit(0), 1
+        return lambda t: t.withColumn("shard", F.lit(0)), 1
     width = max(1, math.ceil((high - low + 1) / BUCKETS))
     part = F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("int")
     sums = df.where(F.col(key).isNotNull()).groupBy(part.alias("part")).agg(F.sum(size + F.lit(1)).alias("bytes")).collect()
     total = sum(x["bytes"] for x in sums)
     share = max(least, math.ceil(total / most))
-    cuts, held = [], 0
-    for part_at, size_at in sorted((x["part"], x["bytes"]) for x in sums):
-        if held and held + size_at > share * 1.05:
-            cuts.append(low + part_at * width)
-            held = 0
-        held += size_at
-    edges = F.array(*map(F.lit, cuts)) if len(cuts) < 64 else None
-    if edges is None:
-        return _search(F.col(key), cuts), len(cuts) + 1
-    shard = F.size(F.filter(edges, lambda x: x <= F.col(key))) if cuts else F.lit(0)
-    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(shard).cast("int"), len(cuts) + 1
-
-
-def _search(key: Column, cuts: list[int]) -> Column:
-    """Binary search of the cuts as a balanced tree of CASE expressions."""
-
-    def within(a: int, b: int) -> Column:
-        if a == b:
-            return F.lit(a)
-        mid = (a + b) // 2
-        return F.when(key < F.lit(cuts[mid]), within(a, mid)).otherwise(within(mid + 1, b))
-
-    return F.when(key.isNull(), F.lit(0)).otherwise(within(0, len(cuts))).cast("int")
+    shard_of, held, now = [], 0, 0
+    for at, n in sorted((x["part"], x["bytes"]) for x in sums):
+        if held and held + n > share * 1.05:
+            now, held = now + 1, 0
+        held += n
+        shard_of.append((at, now))
+    starts = [at for (at, s), (_, before) in zip(shard_of[1:], shard_of, strict=False) if s != before]
+    if len(starts) < 64:
+        edges = F.array(*map(F.lit, starts)).cast("array<int>")
+        shard = F.size(F.filter(edges, lambda x: x <= part))
+        return lambda t: t.withColumn("shard", F.when(F.col(key).isNull(), F.lit(0)).otherwise(shard).cast("int")), now + 1
+    # At most BUCKETS rows of two integers.
+    table = df.sparkSession.createDataFrame(shard_of, "_part int, shard int")
+    return lambda t: t.join(F.broadcast(table), part == F.col("_part"), "left").drop("_part").withColumn("shard", F.coalesce("shard", F.lit(0))), now + 1
 
 
 def filesystem(folder: str):

@@ -140,7 +140,7 @@ def write_records(df: DataFrame, folder: str, tokenizer: str, text: str = "text"
     """Write the ids of each whole text, in ascending key order; returns the committed manifest."""
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     shard, n = key_shards(rows, "key", F.coalesce(F.octet_length("text"), F.lit(0)))
-    rows = rows.withColumn("shard", shard).withColumn("key", F.coalesce("key", F.lit(NO_KEY))).repartitionByRange(n, "shard").sortWithinPartitions("shard", "key")
+    rows = shard(rows).withColumn("key", F.coalesce("key", F.lit(NO_KEY))).repartitionByRange(n, "shard").sortWithinPartitions("shard", "key")
 
     def run(batches):
         filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)

@@ -138,7 +138,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     marks = known.join(kept, "digest").where("key <> to.key").select("key", F.lit(0).alias("kind"), F.lit("").alias("url"), F.lit("").alias("html"), "digest", "to").distinct()
     none = F.lit(None)
     bodies = rows.select("key", F.lit(1).alias("kind"), "url", "html", none.cast("binary").alias("digest"), none.cast(kept.schema["to"].dataType).alias("to"))
-    both = marks.unionByName(bodies).select(shard.alias("shard"), "key", "kind", "url", "html", "digest", F.col("to.key").alias("to_key"), F.col("to.url").alias("to_url"))
+    both = shard(marks.unionByName(bodies)).select("shard", "key", "kind", "url", "html", "digest", F.col("to.key").alias("to_key"), F.col("to.url").alias("to_url"))
     both = both.repartitionByRange(n, "shard").sortWithinPartitions("shard", "key", "kind", "url", "html")
 
     def run(batches):

@@ -272,3 +272,18 @@ def test_op10_dense_and_chained_fingerprints(spark):
     got = {row.u: row.root for row in simhash.components(edges).collect()}
     assert {f: got.get(f, f) for f in signed} == {f: find(f) for f in signed}
     assert edges.count() < 40 * len(fps)
+
+
+@pytest.mark.parametrize("rows", [40, 400])
+def test_key_shards_follow_from_the_rows(spark, rows):
+    from pyspark.sql import functions as F
+
+    from caseloom.llm.ranges import key_shards
+
+    df = spark.createDataFrame([(i * 7 - 50, i % 5) for i in range(rows)] + [(None, 1), (-50, 3)], "key long, n long")
+    put, n = key_shards(df, "key", F.col("n"), least=8)
+    got = put(df).orderBy("key").collect()
+    shards = [r.shard for r in got]
+    assert len(got) == rows + 2 and shards == sorted(shards) and set(shards) == set(range(n))
+    put_again, m = key_shards(df.repartition(5), "key", F.col("n"), least=8)
+    assert m == n and sorted(map(str, put_again(df).collect())) == sorted(map(str, got))
