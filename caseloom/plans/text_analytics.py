@@ -216,3 +216,51 @@ def i14(spark, d):
 @query("L10_span_union", "SELECT l_orderkey, min(l_partkey) AS union_start, max(l_partkey + l_quantity)::BIGINT AS union_end FROM lineitem GROUP BY 1")
 def l10(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("union_start"), F.max(F.col("l_partkey") + F.col("l_quantity")).cast("long").alias("union_end"))
+
+
+@query("I11_seeded_thinning", """
+SELECT conv_id, turn, md5(array_to_string(list_filter(string_split(text, ' '), lambda w, i: ('0x' || substr(sha256('7:' || conv_id || '-' || turn || ':' || (i - 1)), 1, 6))::INT % 1000 >= 100), ' ')) AS text_md5 FROM conversations""")
+def i11(spark, d):
+    from caseloom.operators.inference import thinned
+
+    key = F.concat_ws("-", "conv_id", "turn")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(thinned(F.col("text"), key, 7)).alias("text_md5"))
+
+
+@query("L1_sql_dot_product", "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS dot FROM embeddings")
+def l1(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 6).alias("dot"))
+
+
+@query("L2_path_function", r"SELECT page_id, NOT regexp_matches(substr(url, 9), '(^|/)\.\.?(/|$)') AND NOT starts_with(substr(url, 9), '/') AND length(substr(url, 9)) > 0 AS valid FROM pages")
+def l2(spark, d):
+    return table(spark, d, "pages").select("page_id", text.valid_path(F.substring("url", 9, 10_000_000)).alias("valid"))
+
+
+@query("J13_half_even", "SELECT o_orderkey, round_even(o_totalprice / 1000, 0)::DOUBLE AS thousands FROM orders")
+def j13(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.bround(F.col("o_totalprice") / 1000, 0).alias("thousands"))
+
+
+@query("L9_resolved_spans")
+def l9(spark, d):
+    """Non-overlapping spans of a few conflicting ones in every turn."""
+    from caseloom.operators.inference import resolved_spans
+
+    n = F.length("text")
+    span = lambda a, b, label: F.struct(F.floor(n * a).cast("int").alias("start"), F.floor(n * b).cast("int").alias("end"), F.lit(label).alias("label"))
+    marks = F.array(span(0.0, 0.5, "OBJ"), span(0.1, 0.2, "TIME"), span(0.3, 0.7, "LOC"), span(0.8, 0.9, "OBJ"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.explode(resolved_spans(marks, F.col("text"))).alias("s"))
+    return t.select("conv_id", "turn", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.label").alias("label"))
+
+
+@query("M17_span_labelling")
+def m17(spark, d):
+    """Spans of several rule tables over each turn, made free of overlap."""
+    from caseloom.operators.inference import resolved_spans
+
+    t = spans.tokens_with_offsets(table(spark, d, "conversations"), ["conv_id", "turn"])
+    label = F.when(F.col("token").rlike("^[0-9]+$"), "TIME").when(F.col("token").rlike(r"^\p{Lu}"), "LOC").when(F.length("token") > 9, "OBJ")
+    found = t.withColumn("label", label).where("label IS NOT NULL").select("conv_id", "turn", F.struct(F.col("token_start").cast("int").alias("start"), F.col("token_end").cast("int").alias("end"), "label").alias("s"))
+    grouped = found.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list("s")).alias("s")).join(table(spark, d, "conversations"), ["conv_id", "turn"])
+    return grouped.select("conv_id", "turn", F.size(resolved_spans(F.col("s"), F.col("text"))).alias("n_spans"))
