@@ -3,8 +3,10 @@
 Groups (equal texts) are sorted by size, and each enters the bin whose remaining
 capacity is the tightest that holds it; a balanced tree over remaining
 capacities finds that bin.  With a capacity given, the number of bins is what
-the packing needs; with a number of bins given, the capacity is the least that
-a bisection finds to suffice, so that shards are near equal in bytes.
+the packing needs; with a number of bins given, a group
+larger than the mean of what is left has a bin of its own, and the capacity of
+the others is the least that a bisection finds to suffice, so that shards are as
+near equal in bytes as indivisible groups allow.
 
 Groups of one size are alike, so the driver packs size classes with counts, not
 groups: sizes are rounded up to ``DIGITS`` binary digits, which makes less than
@@ -28,6 +30,7 @@ from pyspark.sql.window import Window
 from .store import written
 
 DIGITS = 9
+UNEVEN = 0.02
 SALTS = 256
 
 
@@ -143,10 +146,8 @@ def pack(classes: list[tuple[int, int]], capacity: int, most: int | None = None)
     return out
 
 
-def level(classes: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
+def least(classes: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
     """The packing into at most ``bins`` bins of the least capacity that a bisection finds."""
-    if not classes:
-        return []
     low = max(max(s for s, _ in classes), math.ceil(sum(s * n for s, n in classes) / bins))
     step, best = max(1, low >> 14), None
     high = low
@@ -162,6 +163,36 @@ def level(classes: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int
     return best
 
 
+def level(classes: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
+    """A packing into at most ``bins`` bins near equal in size.
+
+    A group larger than the mean of what is left has a bin of its own, as no
+    packing makes that bin smaller; the others share the other bins.  Where the
+    least capacity leaves bins ``UNEVEN`` below the fullest, the fullest is closed
+    and the rest is levelled again.
+    """
+    left, out, at = dict(sorted(classes, reverse=True)), [], 0
+    while left:
+        total, top = sum(s * n for s, n in left.items()), max(left)
+        if top * (bins - at) > total:
+            shut = [(top, 1)]
+        else:
+            got = least(list(left.items()), bins - at)
+            fill = [0] * (bins - at)
+            for s, b, n in got:
+                fill[b] += s * n
+            if min(fill) >= (1 - UNEVEN) * max(fill):
+                return out + [(s, at + b, n) for s, b, n in got]
+            full = fill.index(max(fill))
+            shut = [(s, n) for s, b, n in got if b == full]
+        for s, n in shut:
+            out.append((s, at, n))
+            left[s] -= n
+        left = {s: n for s, n in left.items() if n}
+        at += 1
+    return out
+
+
 def rounded(size):
     """``size`` rounded up to DIGITS binary digits."""
     unit = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.floor(F.log2(size.cast("double"))) - F.lit(DIGITS - 1)))

@@ -76,6 +76,27 @@ def test_best_fit_decreasing_is_the_plain_one():
         sharding.pack([(8, 1)], 7)
 
 
+def _filled(classes, bins):
+    used = Counter()
+    for size, b, n in sharding.level(classes, bins):
+        used[b] += size * n
+    assert Counter({s: sum(n for x, _, n in sharding.level(classes, bins) if x == s) for s, _ in classes}) == Counter(dict(classes))
+    return sorted((used[b] for b in range(bins)), reverse=True)
+
+
+def test_op3_shards_are_level_beside_a_large_group(spark):
+    top, *rest = _filled([(50_000, 1), (10, 5_000), (7, 3_000), (3, 9_000)], 16)
+    assert top == 50_000 and min(rest) >= 0.98 * max(rest)
+    first, second, *rest = _filled([(60_000, 1), (20_000, 1), (100, 800)], 16)
+    assert (first, second) == (60_000, 20_000) and min(rest) >= 0.98 * max(rest)
+    assert _filled([(1, 17)], 16) == [2] + [1] * 15
+    assert _filled([(5, 3)], 16) == [5] * 3 + [0] * 13
+    rows = [(i, "copy " * 40) for i in range(100)] + [(i, f"{i:0100d}") for i in range(100, 500)]
+    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), bins=16).groupBy("shard").sum("size").collect()
+    top, *rest = sorted((r["sum(size)"] for r in got), reverse=True)
+    assert len(got) == 16 and top == 100 * 201 and min(rest) >= 0.9 * max(rest)
+
+
 def test_op4_records(spark):
     path, df = public_tokenizers.path("byte_bpe_50k.json"), frame(spark)
     t = Tokenizer.from_file(path)
