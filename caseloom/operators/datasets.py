@@ -15,16 +15,8 @@ def hash_split(family: Column, seed: int = 42, train: float = 0.7, dev: float =
     return F.when(u < train, "train").when(u < train + dev, "dev").otherwise("test")
 
 
-def stratified_split(families: DataFrame, category: str, family: str, seed: int = 42, train: float = 0.7, dev: float = 0.15) -> DataFrame:
-    """Add split: per category the families in hash order fill quotas of train, dev and test.
-
-    One family goes to train, two to train and test; from three on each split
-    gets one, and the rest goes by the largest deficit (ties: train, dev, test),
-    which for the remaining k - 3 is the largest-remainder share of k.
-    """
-    w = Window.partitionBy(category)
-    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), category, family), 256)
-    ranked = families.withColumn("_at", F.row_number().over(w.orderBy(order, family))).withColumn("_k", F.count(F.lit(1)).over(w))
+def split_quotas(families: DataFrame, category: str, train: float = 0.7, dev: float = 0.15) -> DataFrame:
+    """(category, _q): how many families of each category go to train and dev, and a last count for test, for any number of families."""
     shares = [train, dev, 1 - train - dev]
     # Quotas grow one family at a time; the fold's state is the three counts.
     state = F.array(F.lit(1), F.lit(1), F.lit(1))
@@ -36,7 +28,20 @@ def stratified_split(families: DataFrame, category: str, family: str, seed: int
 
     counts = families.groupBy(category).agg(F.count(F.lit(1)).alias("k"))
     quota = F.when(F.col("k") == 1, F.array(F.lit(1), F.lit(0), F.lit(0))).when(F.col("k") == 2, F.array(F.lit(1), F.lit(0), F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("k") - 3, F.lit(1)).cast("int")), state, lambda s, i: F.when(F.col("k") > 3, give(s, i, F.col("k"))).otherwise(s)))
-    quotas = counts.select(category, quota.alias("_q"))
+    return counts.select(category, quota.alias("_q"))
+
+
+def stratified_split(families: DataFrame, category: str, family: str, seed: int = 42, train: float = 0.7, dev: float = 0.15) -> DataFrame:
+    """Add split: per category the families in hash order fill quotas of train, dev and test.
+
+    One family goes to train, two to train and test; from three on each split
+    gets one, and the rest goes by the largest deficit (ties: train, dev, test),
+    which for the remaining k - 3 is the largest-remainder share of k.
+    """
+    w = Window.partitionBy(category)
+    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), category, family), 256)
+    ranked = families.withColumn("_at", F.row_number().over(w.orderBy(order, family))).withColumn("_k", F.count(F.lit(1)).over(w))
+    quotas = split_quotas(families, category, train, dev)
     split = F.when(F.col("_at") <= F.col("_q")[0], "train").when(F.col("_at") <= F.col("_q")[0] + F.col("_q")[1], "dev").otherwise("test")
     return ranked.join(quotas, category).withColumn("split", split).drop("_at", "_k", "_q")
 

@@ -42,10 +42,9 @@ def m2(spark, d):
 @query("F10_quota_allocation", f"""
 WITH c AS (SELECT source AS category, count(*)::INT AS k FROM documents GROUP BY 1) SELECT category, train::INT AS train, dev::INT AS dev FROM c JOIN (VALUES {QUOTAS}) v(k, train, dev) USING (k)""")
 def f10(spark, d):
-    t = table(spark, d, "documents").select(F.col("source").alias("category"), F.col("doc_id").cast("string").alias("family"))
-    s = ds.stratified_split(t, "category", "family").groupBy("category").agg(F.count_if(F.col("split") == "train").cast("int").alias("train"), F.count_if(F.col("split") == "dev").cast("int").alias("dev"))
-    small = t.groupBy("category").agg(F.count(F.lit(1)).alias("k")).where("k <= 60")
-    return s.join(small, "category", "left_semi")
+    """Quotas of every category, whatever its size; the SQL has those of up to 60 documents."""
+    q = ds.split_quotas(table(spark, d, "documents").select(F.col("source").alias("category")), "category")
+    return q.select("category", F.col("_q")[0].cast("int").alias("train"), F.col("_q")[1].cast("int").alias("dev"))
 
 
 @query("M3_family_audit", f"""
