@@ -1,4 +1,4 @@
-"""Operator 5: benchmark decontamination by CGK embedding and bit-sampling LSH.
+"""Operator 5: benchmark decontamination by verbatim segments and exact verification.
 
 Texts and benchmark items are sequences of words (lower case; split at ASCII
 white space and punctuation).  An item leaks into a text if some stretch of the
@@ -6,16 +6,15 @@ text is within ``floor((1 - similarity) * words of the item)`` word edits of it.
 
 * Windows.  An item with a budget of d edits is cut into d + 1 segments; one of
   them is free of edits in any leak, so every leak holds one verbatim.  Each
-  verbatim segment in the text places one window of the item's length.
-* CGK.  A random walk reads a sequence: at each of 3m steps it puts out the
-  current word, and a random bit for (step, word) says whether to go on.  Two
-  sequences that differ by few edits fall into step again, so their edit
-  distance shows as Hamming distance between the walks.
-* LSH.  Each repetition samples coordinates of a walk; a window is a candidate
-  of the items of equal length with which it shares a bucket.  The number of
-  repetitions follows from the target recall.
-* Verification.  Candidates are verified exactly (bit-parallel edit distance of
-  the item to any stretch around the window).
+  verbatim segment in the text places one window of the item's length, and windows
+  of one item that touch, with 2d words on either side, make one stretch.
+* Bound.  A stretch that holds a leak has at least (words of the item) - d words
+  that are words of the item; others are passed over.
+* Verification.  All other stretches are verified exactly (bit-parallel edit
+  distance of the item to any part of the stretch).
+
+No step samples, so every leak is found whatever the item's length; ``recall`` and
+``seed`` are accepted and change nothing.
 
 Items travel to tasks in slices of at most ``SLICE`` items, one pass for each
 slice.  Null and empty texts match nothing; items of fewer than ``min_words``
@@ -38,8 +37,8 @@ from pyspark.sql import types as T
 from .flat import MARKS, chunks, flat, gather, hashes, lean, mixed, spans
 
 SLICE = 20_000
-WALKS, PER_WALK, SAMPLES = 6, 8, 2
-_ODD = np.random.default_rng(5).integers(1, 1 << 62, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words of stretches that are counted at once.
+COUNTED = 1 << 20
 
 
 def _words(column) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +83,7 @@ def edits(item: list[int], text: list[int]) -> tuple[int, int]:
 
 
 class Items:
-    """Segments, walks and buckets of one slice of benchmark items."""
+    """Segments and words of one slice of benchmark items."""
 
     def __init__(self, ids: list, texts: list[str], similarity: float, recall: float, min_words: int, seed: int) -> None:
         word, first = _words(pa.array(texts, pa.string()))
@@ -93,11 +92,6 @@ class Items:
         self.words = [word[a : a + k] for a, k in zip(first[:-1], n, strict=True) if k >= min_words]
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.budget = np.floor((1 - similarity) * self.size + 1e-9).astype(np.int64)
-        self.repeats = repetitions(recall)
-        rng = np.random.default_rng(seed)
-        self.salt = rng.integers(1, 1 << 62, WALKS, dtype=np.uint64)
-        #: Sampled places as shares of the walk that the items' length scales.
-        self.share = rng.random((self.repeats, SAMPLES))
         segments = sorted({int(m // (d + 1)) for m, d in zip(self.size, self.budget, strict=True)})
         self.seeds = {}
         for q in segments:
@@ -113,34 +107,27 @@ class Items:
             bloom = np.zeros(1 << 20, bool)
             bloom[(key >> np.uint64(44)).astype(np.int64)] = True
             self.seeds[q] = key[order], item[order], off[order], bloom
-        every = np.arange(len(self.ids))
-        joined = np.concatenate([*self.words, np.zeros(1, np.uint64)]) if self.words else np.zeros(1, np.uint64)
-        starts = np.cumsum(self.size) - self.size
-        self.buckets = []
-        for bucket in self.keys(joined, starts, starts + self.size, self.size):
-            order = np.argsort(bucket, kind="stable")
-            self.buckets.append((bucket[order], every[order]))
-
-    def keys(self, word: np.ndarray, start: np.ndarray, stop: np.ndarray, size: np.ndarray):
-        """Bucket keys of the windows [start, stop) of items of ``size`` words, one array for each repetition."""
-        for w in range(WALKS):
-            mine = range(w, self.repeats, WALKS)
-            if not mine:
-                return
-            place = [(self.share[r] * (2 * size)[:, None]).astype(np.int64) for r in mine]
-            key = [mixed(size.astype(np.uint64) * _ODD[r]) for r in mine]
-            at = start.copy()
-            salt = self.salt[w]
-            for step in range(int(2 * size.max()) if len(size) else 0):
-                now = np.where(at < stop, word[np.minimum(at, len(word) - 1)], np.uint64(0))
-                for k, p in enumerate(place):
-                    for s in range(SAMPLES):
-                        hit = np.flatnonzero(p[:, s] == step)
-                        if len(hit):
-                            # Sums, as the samples of one key may come in either order.
-                            key[k][hit] += mixed((now[hit] + np.uint64(s + 1)) * _ODD[2048 + s])
-                at += ((now ^ salt) * _ODD[step % 2048] >> np.uint64(63)).astype(np.int64)
-            yield from key
+        of = np.repeat(np.arange(len(self.ids)), self.size)
+        self.own = np.unique(self._mark(np.concatenate(self.words), of)) if self.words else np.zeros(0, np.uint64)
+
+    @staticmethod
+    def _mark(word: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Key of a word of an item."""
+        return mixed(word + (item.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25))
+
+    def _enough(self, word: np.ndarray, item: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Whether stretches [start, stop) have as many words of their item as a leak must have."""
+        size, out = stop - start, np.zeros(len(item), bool)
+        upto = np.cumsum(size)
+        at = 0
+        while at < len(item):
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + COUNTED, "right")))
+            n = size[at:to]
+            mark = self._mark(word[gather(start[at:to], n)], np.repeat(item[at:to], n))
+            own = self.own[np.minimum(np.searchsorted(self.own, mark), len(self.own) - 1)] == mark
+            out[at:to] = np.add.reduceat(own, np.cumsum(n) - n, dtype=np.int64) >= (self.size - self.budget)[item[at:to]]
+            at = to
+        return out
 
     def matches(self, word: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, edits, first word of the window, its words) of the leaks in rows of words laid end to end."""
@@ -164,29 +151,28 @@ class Items:
         found = np.unique(np.stack([np.concatenate(row), np.concatenate(item), np.concatenate(start)], axis=1), axis=0)
         row, item, start = found.T
         start = np.maximum(start, first[row])
-        stop = np.minimum(start + self.size[item], first[row + 1])
-        pairs: set[tuple[int, int, int]] = set()
-        for bucket, (key, of) in zip(self.keys(word, start, stop, self.size[item]), self.buckets, strict=True):
-            a, b = np.searchsorted(key, bucket, "left"), np.searchsorted(key, bucket, "right")
-            of_window = np.repeat(np.arange(len(bucket)), b - a)
-            pairs.update(zip(row[of_window].tolist(), of[gather(a, b - a)].tolist(), start[of_window].tolist(), strict=True))
+        wide = 2 * self.budget[item]
+        low, high = np.maximum(start - wide, first[row]), np.minimum(start + self.size[item] + wide, first[row + 1])
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(row))
+        low, high = low[head], high[tail - 1]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for r, i, s in sorted(pairs):
+        for k in np.flatnonzero(self._enough(word, item[head], low, high)).tolist():
+            r, i = int(row[head[k]]), int(item[head[k]])
             m, d = int(self.size[i]), int(self.budget[i])
             if best.get((r, i), (m,))[0] == 0:
                 continue
-            a, b = max(s - 2 * d, int(first[r])), min(s + m + 2 * d, int(first[r + 1]))
-            got, end = edits(self.words[i].tolist(), word[a:b].tolist())
+            a = int(low[k])
+            got, end = edits(self.words[i].tolist(), word[a : int(high[k])].tolist())
             if got <= d and got < best.get((r, i), (m,))[0]:
+                begins = start[head[k] : tail[k]]
+                s = int(begins[np.argmin(np.abs(begins + m - a - end))])
                 best[r, i] = got, s - int(first[r]), a + end - int(first[r])
         return [(r, i, *v) for (r, i), v in best.items()]
 
 
-def repetitions(recall: float) -> int:
-    """Repetitions for ``recall`` where a sampled place agrees with a chance of at least 0.5."""
-    return min(WALKS * PER_WALK, math.ceil(math.log(1 - recall) / math.log(1 - 0.5**SAMPLES)))
-
-
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", similarity: float = 0.8, recall: float = 0.999, min_words: int = 5, seed: int = 7) -> DataFrame:
     """(key, item key, item_words, edits, first_word, end_word, similarity): each benchmark item in each text, at its best place."""
     slices = max(1, math.ceil(items.count() / SLICE))

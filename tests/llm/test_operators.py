@@ -150,6 +150,26 @@ def test_op5_recall_at_the_bound():
     assert found / total >= 0.99
 
 
+def test_op5_finds_every_long_leak_at_the_bound():
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(4)
+    items = [" ".join(f"w{r.randint(0, 5000)}" for _ in range(n)) for n in (100, 150, 200, 300) for _ in range(25)]
+    bench = decontaminate.Items(list(range(len(items))), items, 0.8, 0.999, 5, 7)
+    texts = []
+    for i, text in enumerate(items):
+        words = text.split()
+        # Edits at distinct words, an equal number apart: as many as the budget allows.
+        for k in range(len(words) - 3, 0, -5):
+            words[k : k + 1] = [[], ["new"], [words[k], "new"]][r.randrange(3)]
+        texts.append(prose(i, 40) + " " + " ".join(words) + " " + prose(i + 1, 40))
+    hits = bench.matches(*decontaminate._words(pa.array(texts)))
+    assert {(h[0], h[1]) for h in hits} == {(i, i) for i in range(len(items))}
+    assert all(h[2] <= len(items[h[1]].split()) // 5 and h[3] < h[4] for h in hits)
+
+
 @pytest.mark.parametrize("few", [10_000, 0])
 def test_op6_statistics_and_verdicts(spark, monkeypatch, few):
     monkeypatch.setattr(outliers, "FEW_GROUPS", few)
