@@ -91,7 +91,8 @@ def i10_typos(spark, d):
 WITH t AS (SELECT doc_id, source || ':conn:acct:' || substr(text, 1, 160) AS whole FROM documents)
 SELECT doc_id, CASE WHEN length(whole) <= 128 THEN whole ELSE substr(regexp_extract(whole, '^([^:]*:conn:acct)', 1) || ':' || sha256(whole), 1, 128) END AS message_id FROM t""")
 def i12(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.message_id(F.col("source"), F.lit("conn"), F.lit("acct"), F.substring("text", 1, 160)).alias("message_id"))
+    """Ids of whole texts; the SQL takes the first 160 characters."""
+    return table(spark, d, "documents").select("doc_id", text.message_id(F.col("source"), F.lit("conn"), F.lit("acct"), F.col("text")).alias("message_id"))
 
 
 @query("I13_reply_template", "SELECT o_orderkey, 'Case ' || o_orderkey || ' (' || o_orderpriority || ') is now ' || CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' ELSE 'pending' END || '.' AS reply FROM orders")
@@ -104,8 +105,9 @@ def i13(spark, d):
 WITH t AS (SELECT doc_id, text, substr(text, 1, 5) || substr(text, 11, 10) || substr(text, 31) AS cut FROM documents WHERE length(text) >= 40)
 SELECT doc_id, sha256(CASE WHEN length(trim(regexp_replace(cut, '\s+', ' ', 'g'))) >= 10 THEN trim(regexp_replace(cut, '\s+', ' ', 'g')) ELSE text END) AS masked_hash FROM t""")
 def i15(spark, d):
+    """Every document, spans ending with the text; the SQL has those of 40 characters or more."""
     spans = F.array(F.struct(F.lit(5).alias("start"), F.lit(10).alias("end")), F.struct(F.lit(20).alias("start"), F.lit(30).alias("end")))
-    rows = table(spark, d, "documents").where(F.length("text") >= 40)
+    rows = table(spark, d, "documents")
     return rows.select("doc_id", F.sha2(text.masked_spans(F.col("text"), spans), 256).alias("masked_hash"))
 
 

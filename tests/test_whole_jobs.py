@@ -1,5 +1,7 @@
 """Registered queries over inputs that an earlier form of them left out in part."""
 
+import hashlib
+
 import __spark_entry__ as entry
 
 
@@ -20,3 +22,16 @@ def test_f10_has_quotas_of_every_size(spark, tmp_path):
             q[lack.index(max(lack))] += 1
         want[s] = tuple(q[:2])
     assert got == want
+
+
+def test_i12_ids_tell_long_openings_apart(spark, tmp_path):
+    texts = ["same opening " * 20 + end for end in ("one", "two")]
+    got = run(spark, tmp_path, "I12_message_id", "documents", [(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    assert {r.doc_id: r.message_id for r in got} == {i: "s:conn:acct:" + hashlib.sha256(f"s:conn:acct:{t}".encode()).hexdigest() for i, t in enumerate(texts)}
+
+
+def test_i15_masks_short_texts(spark, tmp_path):
+    texts = ["", "short", "0123456789abcdefghij", "0123456789abcdefghijABCDE", None]
+    want = ["", "short", "01234abcdefghij", "01234abcdefghij", None]
+    got = run(spark, tmp_path, "I15_landmark_masking", "documents", list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.masked_hash for r in got} == {i: None if w is None else hashlib.sha256(w.encode()).hexdigest() for i, w in enumerate(want)}
