@@ -14,7 +14,8 @@ and ``steps`` steps are taken.  Which rows are nearest follows from a histogram
 of distances (256 bins for each factor e), so that no group is sorted; bins
 that tie at the edge are taken whole.  Every step is partial sums by group and
 an equality join with one row for each group.  Covariances get a floor on the diagonal (``FLOORS``),
-as statistics that are zero for most texts would make them singular.  The final
+as statistics that are zero for most texts would make them singular; each statistic can
+pass the cut alone within the base rules.  The final
 scatter is scaled so that the median distance of the group is that of a chi-square.
 
 Windows of five words are compared by a 64-bit hash; two different windows of a
@@ -39,7 +40,7 @@ WORD = r"[^\x20\x09-\x0D]"
 GAP = r"[\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 P = 5
-FLOORS = (0.3, 0.15, 0.15, 0.8, 0.8)
+FLOORS = (0.3, 0.15, 0.15, 0.3, 0.5)
 BINS = 256
 FEW_GROUPS = 10_000
 SALTS = 64
@@ -181,7 +182,7 @@ def estimates(rows: DataFrame, share: float, steps: int) -> DataFrame:
     return written(now.join(half.select("grp", scale.alias("scale"), "rows"), "grp"), "estimates")
 
 
-def quality(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source", share: float = 0.75, steps: int = 4, cut: float = 1 - 1e-9, least_rows: int = 100) -> DataFrame:
+def quality(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source", share: float = 0.75, steps: int = 4, cut: float = 1 - 1e-6, least_rows: int = 100) -> DataFrame:
     """(key, statistics, base_failed, distance, kept)."""
     named = df.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
     stats = written(statistics(named).drop("text").withColumn("base_failed", base_failed()), "text-statistics")

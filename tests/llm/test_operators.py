@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -197,6 +198,17 @@ def test_op6_statistics_and_verdicts(spark, monkeypatch, few):
     assert outliers.quality(empty(spark)).count() == 0
 
 
+def test_op6_rejects_for_repeated_lines_alone(spark):
+    rows = [(i, " ".join(np.random.default_rng(i).choice(WORDS, 120)) + f" u{i}", "en", "a") for i in range(300)]
+    lines = [x for k in range(40) for x in (f"line{k} of{k} its{k} own{k}", "again")]
+    rows += [(300, "\n".join(lines), "en", "a"), (301, "\n".join(x for x in lines if x != "again"), "en", "a")]
+    got = {r.doc_id: r for r in outliers.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert (got[300].n_dup_lines, got[300].n_repeat_words, got[300].base_failed, got[300].kept) == (39, 0, False, False)
+    assert got[301].kept and all(got[i].kept for i in range(300))
+    bounds = [math.log1p(100) / outliers.FLOORS[3], math.log1p(20) / outliers.FLOORS[4]]
+    assert all(b * b > outliers.chi_square_at(1 - 1e-6, 5) for b in bounds)
+
+
 def test_chi_square():
     assert outliers.chi_square(11.0705, 5) == pytest.approx(0.95, abs=1e-5)
     assert outliers.chi_square_at(0.5, 5) == pytest.approx(4.35146, abs=1e-4)
