@@ -8,15 +8,21 @@ aligned: words that are unique in both sequences are anchors, the longest
 increasing subsequence of anchors is kept, and the gaps between them are aligned
 in the same way.  A gap without anchors is settled by its exact longest common
 subsequence (bit-parallel).  Coverage is the share of template words aligned.
-
-After a match the scan goes on behind it, so repeated notices are all found and
-cost is linear in the text.  Of overlapping notices the best stays.  Null and empty texts match nothing; repeated rows give
-repeated results; other columns are ignored.
+The words that tell licenses and versions apart (braces in a template) must all be
+aligned, side by side, whatever the coverage.
+
+After a match the scan goes on behind it, so repeated notices are all found; after
+a failure it goes on a quarter of the template further, which a stretch of one and a
+half lengths covers, so cost is linear in the text.  Of overlapping notices the best
+stays (ties: the first name).  Null and empty texts match nothing; very long texts are
+read whole; repeated rows give repeated results; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_left
 from collections import Counter
 
@@ -28,22 +34,41 @@ from pyspark.sql import types as T
 
 from .flat import MARKS, chunks, flat, hashes, lean, spans
 
-# Wordings of public license notices.
+# Wordings of public license notices.  Words in braces decide: they tell one license
+# or version from another, and must all be aligned, one next to the other.
 TEMPLATES = {
-    "all-rights-reserved": "All rights reserved.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-    "bsd-notice": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
-    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "mit": "Released under the MIT License.",
-    "mit-notice": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "agpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the {GNU Affero General Public License} as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    "all-rights-reserved": "{All rights reserved}.",
+    "apache-2.0": "Licensed under the {Apache License}, Version {2.0}.",
+    "apache-2.0-notice": """Licensed under the {Apache License}, Version {2.0} (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "boost-1.0": "Distributed under the {Boost Software License}, Version {1.0}.",
+    "bsd-2-clause": "Released under the BSD {2-Clause} License.",
+    "bsd-3-clause": "Released under the BSD {3-Clause} License.",
+    "bsd": "Released under the {BSD License}.",
+    "bsd-2-clause-notice": """{Redistribution and use in source and binary forms}, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "bsd-3-clause-notice": """{Redistribution and use in source and binary forms}, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to {endorse or promote products} derived from this software without specific prior written permission.""",
+    "cc0-1.0": "To the extent possible under law, the author has {waived all copyright and related} or neighboring rights to this work.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the {Eclipse Public License 2.0}.",
+    "gpl-2.0": "This work is licensed under the {GNU General Public License}, version {2}.",
+    "gpl-2.0-notice": """This program is free software; you can redistribute it and/or modify it under the terms of the {GNU General Public License} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "gpl-3.0": "This work is licensed under the {GNU General Public License}, version {3}.",
+    "gpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the {GNU General Public License} as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "isc": """{Permission to use, copy, modify}, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "lgpl-2.1-notice": """This library is free software; you can redistribute it and/or modify it under the terms of the {GNU Lesser General Public License} as published by the Free Software Foundation; either version {2.1} of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "lgpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the {GNU Lesser General Public License} as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "mit": "Released under the {MIT License}.",
+    "mit-notice": """Permission is hereby granted, free of charge, to any person obtaining a copy of {this software and associated documentation files} (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+    "mpl-1.1": """The contents of this file are subject to the {Mozilla Public License} Version {1.1} (the "License"); you may not use this file except in compliance with the License.""",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the {Mozilla Public License}, v. {2.0}.",
+    "unlicense": "This is {free and unencumbered software released into the public domain}.",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the {authors be held liable for any damages} arising from the use of this software.""",
 }
+for _parts in ("", "-NonCommercial", "-ShareAlike", "-NoDerivatives", "-NonCommercial-ShareAlike", "-NonCommercial-NoDerivatives"):
+    for _version in ("3.0", "4.0"):
+        _code = "BY" + _parts.replace("-NonCommercial", "-NC").replace("-ShareAlike", "-SA").replace("-NoDerivatives", "-ND")
+        _name = f"cc-{_code.lower()}-{_version}"
+        TEMPLATES[_name] = f"Licensed under {{CC {_code} {_version}}}."
+        TEMPLATES[_name + "-notice"] = f"This work is licensed under a {{Creative Commons Attribution{_parts} {_version}}} License."
 
 COVERAGE = 0.8
 
@@ -123,7 +148,8 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 class Templates:
     def __init__(self, texts: dict[str, str], coverage: float) -> None:
         self.names = sorted(texts)
-        word, first = words(pa.array([texts[n] for n in self.names], pa.string()))
+        word, first = words(pa.array([texts[n] for n in self.names], pa.string()))  # braces are punctuation
+        self.decide = [deciding(texts[n]) for n in self.names]
         self.words = [word[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
         self.vocabulary = np.unique(word)
         self.bloom = np.zeros(1 << 20, bool)
@@ -147,10 +173,11 @@ class Templates:
             pos, of = hit[use], row[use]
             stop = np.minimum(pos + self.reach[t], first[of + 1])
             enough = np.searchsorted(pos, stop) - np.arange(len(pos)) >= self.distinct[t]
-            behind = -1
+            behind, step = -1, max(1, len(self.words[t]) // 4)
             for p, r in zip(pos[enough].tolist(), of[enough].tolist(), strict=True):
                 if p < behind:
                     continue
+                behind = p + step if p + step < first[r + 1] else p
                 found = self._at(word, p, int(first[r]), int(first[r + 1]), t)
                 if found:
                     out.append((r, t, found[0], found[1] - int(first[r]), found[2] - int(first[r])))
@@ -180,9 +207,24 @@ class Templates:
         pairs = align(template, text)
         if len(pairs) < self.least[t]:
             return None
+        place = dict(pairs)
+        if any(place.get(i) is None or i > a and place[i] != place[i - 1] + 1 for a, b in self.decide[t] for i in range(a, b)):
+            return None
         return len(pairs), begin + pairs[0][1], begin + pairs[-1][1] + 1
 
 
+def deciding(template: str) -> list[tuple[int, int]]:
+    """Ranges of word numbers that stand in braces."""
+    size = lambda part: int(words(pa.array([part], pa.string()))[1][-1])
+    out, at = [], 0
+    for k, part in enumerate(re.split(r"[{}]", template)):
+        n = size(part)
+        if k % 2 and n:
+            out.append((at, at + n))
+        at += n
+    return out
+
+
 def words(column) -> tuple[np.ndarray, np.ndarray]:
     buf, offs = flat(pc.utf8_lower(column.cast(pa.large_string())))
     starts, ends, first = spans(buf, offs, MARKS)
