@@ -4,7 +4,7 @@
 (contractions, letters, numbers, other, white space) start, by array passes over
 character classes; the classes of all code points come from the ``regex``
 module at start-up.  ``Pool`` numbers distinct pretokens of the rows that one
-task has seen.
+task has seen, told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import regex
 from .flat import gather, hashes
 
 S, L, N, O = 0, 1, 2, 3
+#: Bytes of pretokens that are compared one by one.
+LONG = 48
 
 
 @cache
@@ -85,41 +87,85 @@ def cuts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Pool:
-    """Numbers distinct pretokens; bytes of the new ones are kept until ``take_new``.
+    """Numbers distinct pretokens; bytes of the new ones are handed over by ``take_new``.
 
-    Pretokens are told apart by a 64-bit key: among a million of them a clash has
-    a chance of 3e-8, and one between different lengths stops the task.
+    Pretokens meet by a 64-bit key, and their bytes are compared: those that share a
+    key with another pretoken are numbered by their bytes instead.
     """
 
     def __init__(self) -> None:
         self.number: dict[int, int] = {}
-        self.bytes: list[np.ndarray] = []
+        self.odd: dict[bytes, int] = {}
+        self.count = self.taken = 0
+        self.held: list[np.ndarray] = []
+        self.data, self.ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         self.lens: list[np.ndarray] = []
 
     def __len__(self) -> int:
-        return len(self.number)
+        return self.count
+
+    def _settle(self) -> None:
+        """Join what was added to the one buffer of all pretokens."""
+        if self.held:
+            self.data = np.concatenate([self.data, *self.held])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(self.lens))])
+            self.held, self.lens = [], []
+
+    def _add(self, data: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        self.held.append(data)
+        self.lens.append(lens)
+        self.count += len(lens)
+        return np.arange(self.count - len(lens), self.count)
 
     def codes(self, buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The number of each pretoken [start, next start)."""
         ends = np.append(starts[1:], len(buf))
+        lens = ends - starts
         h = hashes(buf, starts, ends)
         code, uniq = pd.factorize(h)
         first = np.empty(len(uniq), np.int64)
         first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-        if not (ends - starts == (ends - starts)[first][code]).all():
-            raise ValueError("two pretokens share a 64-bit key")
-        base, get = len(self), self.number.get
+        # Occurrences whose bytes differ from those of the first with their key.
+        odd = lens != lens[first][code]
+        odd |= _differ(buf, starts, buf, starts[first][code], np.where(odd, 0, lens))
+        get = self.number.get
         known = np.fromiter((get(x, -1) for x in uniq.tolist()), np.int64, len(uniq))
+        old = np.flatnonzero(known >= 0)
+        if len(old):  # the same for pretokens of earlier calls
+            self._settle()
+            at, n = self.ends[known[old]], np.diff(self.ends)[known[old]]
+            mine = first[old]
+            clash = n != lens[mine]
+            clash |= _differ(buf, starts[mine], self.data, at, np.where(clash, 0, n))
+            if clash.any():
+                odd |= np.isin(code, old[clash])
         new = np.flatnonzero(known < 0)
-        known[new] = np.arange(base, base + len(new))
+        a, n = starts[first[new]], lens[first[new]]
+        known[new] = self._add(buf[gather(a, n)], n)
         self.number.update(zip(uniq[new].tolist(), known[new].tolist(), strict=True))
-        a, n = starts[first[new]], (ends - starts)[first[new]]
-        self.bytes.append(buf[gather(a, n)])
-        self.lens.append(n)
-        return known[code]
+        out = known[code]
+        for i in np.flatnonzero(odd).tolist():
+            word = buf[starts[i] : ends[i]]
+            if (key := word.tobytes()) not in self.odd:
+                self.odd[key] = int(self._add(word.copy(), lens[i : i + 1])[0])
+            out[i] = self.odd[key]
+        return out
 
     def take_new(self) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, lengths) of pretokens numbered since the last call, in order."""
-        out = np.concatenate(self.bytes or [np.zeros(0, np.uint8)]), np.concatenate(self.lens or [np.zeros(0, np.int64)])
-        self.bytes, self.lens = [], []
-        return out
+        self._settle()
+        at, self.taken = self.taken, self.count
+        return self.data[self.ends[at] :], np.diff(self.ends[at:])
+
+
+def _differ(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Whether pieces of ``a`` and ``b`` of the same lengths differ."""
+    out = np.zeros(len(lens), bool)
+    for i in np.flatnonzero(lens > LONG).tolist():
+        out[i] = not np.array_equal(a[a_at[i] : a_at[i] + lens[i]], b[b_at[i] : b_at[i] + lens[i]])
+    left, k = np.flatnonzero((lens > 0) & (lens <= LONG)), 0
+    while len(left):
+        out[left] |= a[a_at[left] + k] != b[b_at[left] + k]
+        k += 1
+        left = left[lens[left] > k]
+    return out
