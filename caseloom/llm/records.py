@@ -16,8 +16,13 @@ A task writes to a name of its own and then renames it; the manifest, itself
 committed by Spark's writer, names the files of the attempts that counted.  An
 executor that is lost leaves at most files that no manifest names.
 
-Null and empty texts hold the end id only; rows without a key come first.  Rows that repeat a key are all
-written.  Other columns are ignored.
+Ids are those of an untouched ``Tokenizer.from_file``: the strings of added tokens in
+a text become their ids, as the library has it; such texts go to it whole.
+
+Null and empty texts hold the end id only; rows without a key come first.  Keys
+may span all 64-bit integers, but the least stands for null.  Rows that repeat a key are all
+written, in any order among themselves.  An empty table writes no file.  Very long texts make one record
+each.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,7 +84,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        #: Texts with one of these are left to the library.
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         pre = spec.get("pre_tokenizer") or {}
         #: Matches of the byte-level pattern are encoded one by one, so each distinct one needs the library once only.
@@ -97,7 +104,8 @@ class Encoder:
     def encode(self, batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """(rows, ids laid end to end, ids of each row)."""
         if self.by_word:
-            yield from windows(batches, text, self.replay)
+            for part, ids, counts in windows(batches, text, self.replay):
+                yield part, *self._with_added(part.column(text), ids, counts)
             return
         from .flat import chunks
 
@@ -106,6 +114,21 @@ class Encoder:
             yield part, np.array([x for w in got for x in w], np.int32), np.array([len(w) for w in got], np.int64)
 
 
+    def _with_added(self, texts, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids with those of texts that hold an added token replaced by the library's."""
+        has = np.zeros(len(counts), bool)
+        for token in self.added:
+            has |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        if not has.any():
+            return ids, counts
+        ends, parts, counts, at = np.cumsum(counts), [], counts.copy(), 0
+        for i in np.flatnonzero(has).tolist():
+            own = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, ids.dtype)
+            parts += [ids[at : ends[i] - counts[i]], own]
+            at, counts[i] = ends[i], len(own)
+        return np.concatenate([*parts, ids[at:]]), counts
+
+
 @cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -139,7 +162,7 @@ class _File:
 def write_records(df: DataFrame, folder: str, tokenizer: str, text: str = "text", key: str = "doc_id", end_id: int | None = 0, roll: int = ROLL_BYTES) -> DataFrame:
     """Write the ids of each whole text, in ascending key order; returns the committed manifest."""
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    shard, n = key_shards(rows, "key", F.coalesce(F.octet_length("text"), F.lit(0)))
+    shard, n = key_shards(rows, "key", F.coalesce(F.octet_length("text"), F.lit(0)), F.xxhash64("text"))
     rows = shard(rows).withColumn("key", F.coalesce("key", F.lit(NO_KEY))).repartitionByRange(n, "shard").sortWithinPartitions("shard", "key")
 
     def run(batches):
