@@ -12,9 +12,14 @@ repeated attempt gives the same file again.
 Of records with equal payloads (of at least ``least_payload`` bytes) that with the
 largest key is the response; the others are revisit records that refer to it.
 
-Null html is an empty payload, null url an empty target.  Rows without a key
+Record ids are made from the kind, key, address and payload digest, and from an
+ordinal where rows repeat all of them, so no two records share one.  Addresses keep
+their characters; what a header line cannot hold is percent-encoded.
+
+Null html is an empty payload, null url an empty target (``about:blank``).  Rows without a key
 come first and, like rows that repeat the key of a response, are responses
-themselves.  Other columns are ignored.
+themselves.  Keys may span all 64-bit integers.  Very long pages are one record each; an empty table
+writes no file.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,10 +39,11 @@ from .flat import lean
 from .ranges import filesystem, key_shards
 from .store import new_folder, written
 
-ROLL_BYTES = 1 << 30
+ROLL_BYTES = 128 << 20
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "shard int, seq int, file string, records long, bytes long"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_PRINTABLE = "".join(map(chr, range(0x21, 0x7F)))
 _NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:page-archive")
 
 
@@ -49,20 +56,28 @@ def _header(kind: str, name: str, fields: list[tuple[str, object]], block: bytes
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in lines), "\r\n"]).encode()
 
 
-def record(key: int | None, url: str, payload: bytes, refers_to: tuple[int, str] | None = None) -> bytes:
-    """The bytes of a response record, or of a revisit record if ``refers_to`` gives the response's key and url."""
+def target(url: str | None) -> str:
+    """The address as a header's value: printable ASCII stays, all else is percent-encoded."""
+    return quote(url, safe=_PRINTABLE) if url else "about:blank"
+
+
+def record(key: int | None, url: str | None, payload: bytes, refers_to: tuple[int, str] | None = None, ordinal: int = 0) -> bytes:
+    """The bytes of a response record, or of a revisit record if ``refers_to`` gives the response's key and url.
+
+    ``ordinal`` counts rows with the same key, address and payload.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    url = " ".join(url.split()) or "about:blank"
-    fields: list[tuple[str, object]] = [("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("Content-Type", "application/http; msgtype=response")]
+    url, sha = target(url), digest(payload)
+    name = lambda kind, k, u, n=0: f"{kind} {k} {u} {sha}" + (f" {n}" if n else "")
+    fields: list[tuple[str, object]] = [("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{sha}"), ("Content-Type", "application/http; msgtype=response")]
     if key is not None:
         fields.append(("Page-Key", key))
     if refers_to is None:
         block = http + payload
-        return _header("response", f"response {key} {url}", fields, block) + block + b"\r\n\r\n"
-    to, to_url = refers_to
-    to_url = " ".join((to_url or "").split()) or "about:blank"
-    fields += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(_NAMES, f'response {to} {to_url}')}>"), ("WARC-Refers-To-Target-URI", to_url), ("WARC-Refers-To-Date", DATE), ("Refers-To-Page-Key", to)]
-    return _header("revisit", f"revisit {key} {url}", fields, http) + http + b"\r\n\r\n"
+        return _header("response", name("response", key, url, ordinal), fields, block) + block + b"\r\n\r\n"
+    to, to_url = refers_to[0], target(refers_to[1])
+    fields += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(_NAMES, name('response', to, to_url))}>"), ("WARC-Refers-To-Target-URI", to_url), ("WARC-Refers-To-Date", DATE), ("Refers-To-Page-Key", to)]
+    return _header("revisit", name("revisit", key, url, ordinal), fields, http) + http + b"\r\n\r\n"
 
 
 def packed(data: bytes) -> bytes:
@@ -131,19 +146,19 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     rows = pages.select(F.col(key).cast("long").alias("key"), F.coalesce(url, F.lit("")).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
     size = F.octet_length("html")
     sums = written(rows.select("key", "url", size.alias("size"), F.unhex(F.sha1("html")).alias("digest")), "payload-digests")
-    shard, n = key_shards(sums, "key", F.col("size"))
+    shard, n = key_shards(sums, "key", F.col("size"), F.xxhash64("digest"))
     # The html is shuffled once, to its shard; revisit marks join it there by order.
     known = sums.where((F.col("size") >= least_payload) & F.col("key").isNotNull())
     kept = known.groupBy("digest").agg(F.max(F.struct("key", "url")).alias("to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "to")
     marks = known.join(kept, "digest").where("key <> to.key").select("key", F.lit(0).alias("kind"), F.lit("").alias("url"), F.lit("").alias("html"), "digest", "to").distinct()
     none = F.lit(None)
     bodies = rows.select("key", F.lit(1).alias("kind"), "url", "html", none.cast("binary").alias("digest"), none.cast(kept.schema["to"].dataType).alias("to"))
-    both = shard(marks.unionByName(bodies)).select("shard", "key", "kind", "url", "html", "digest", F.col("to.key").alias("to_key"), F.col("to.url").alias("to_url"))
+    both = shard(marks.unionByName(bodies), F.xxhash64(F.coalesce("digest", F.unhex(F.sha1("html"))))).select("shard", "key", "kind", "url", "html", "digest", F.col("to.key").alias("to_key"), F.col("to.url").alias("to_url"))
     both = both.repartitionByRange(n, "shard").sortWithinPartitions("shard", "key", "kind", "url", "html")
 
     def run(batches):
         filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
-        now, done, of, marked = None, [], None, {}
+        now, done, of, marked, last, again = None, [], None, {}, None, 0
         for batch in batches:
             for s, k, kind, address, body, dig, to, to_url in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "kind", "url", "html", "digest", "to_key", "to_url")), strict=True):
                 if k != of or k is None:
@@ -156,7 +171,9 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
                     if now is not None:
                         done.append(now.commit())
                     now = _Archive(folder, s, now.seq + 1 if now is not None and now.shard == s else 0)
-                now.add(record(k, address, payload, marked.get(hashlib.sha1(payload).digest()) if marked else None))
+                again = again + 1 if (k, address, body) == last else 0
+                last = (k, address, body)
+                now.add(record(k, address, payload, marked.get(hashlib.sha1(payload).digest()) if marked else None, again))
         if now is not None:
             done.append(now.commit())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*done, strict=True)) or [[]] * 5, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["shard", "seq", "file", "records", "bytes"])
