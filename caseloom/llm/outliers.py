@@ -50,7 +50,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.select("*", t.alias("_t"))
-    trimmed = F.expr(r"btrim(_t, ' \t\n\u000B\f\r')")
+    trimmed = F.expr(r"btrim(_t, ' \t\n\u000B\u000C\r')")
     df = df.select("*", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP + "+")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)).alias("_l"))
     window = "transform(sequence(1, size(_w) - 4), i -> xxhash64(element_at(_w, i), element_at(_w, i + 1), element_at(_w, i + 2), element_at(_w, i + 3), element_at(_w, i + 4)))"
     df = df.select("*", F.expr(f"CASE WHEN size(_w) > 5 THEN {window} ELSE cast(array() AS array<bigint>) END").alias("_h"))
