@@ -1,30 +1,43 @@
-"""Operator 5: benchmark decontamination by verbatim segments and exact verification.
+"""Operator 5: benchmark decontamination by CGK embedding and bit-sampling LSH.
 
 Texts and benchmark items are sequences of words (lower case; split at ASCII
 white space and punctuation).  An item leaks into a text if some stretch of the
 text is within ``floor((1 - similarity) * words of the item)`` word edits of it.
 
-* Windows.  An item with a budget of d edits is cut into d + 1 segments; one of
-  them is free of edits in any leak, so every leak holds one verbatim.  Each
-  verbatim segment in the text places one window of the item's length, and windows
-  of one item that touch, with 2d words on either side, make one stretch.
-* Bound.  A stretch that holds a leak has at least (words of the item) - d words
-  that are words of the item; others are passed over.
-* Verification.  All other stretches are verified exactly (bit-parallel edit
-  distance of the item to any part of the stretch).
-
-No step samples, so every leak is found whatever the item's length; ``recall`` and
-``seed`` are accepted and change nothing.
-
-Items travel to tasks in slices of at most ``SLICE`` items, one pass for each
-slice.  Null and empty texts match nothing; items of fewer than ``min_words``
-words carry no evidence and match nothing.  Repeated rows give repeated
-results.  Further columns of either table are ignored.
+* Windows.  Items are cut into equal pieces, of which one has no more than its share of
+  the edits; a window has the length of the pieces (a length of ``LENGTHS``), and
+  every word of a text starts one.  Short windows keep walks in step.
+* Embedding.  A CGK walk reads a window for twice its words in steps; at each step it
+  emits the word it stands at, and goes on or stays by a hash bit of that word and the
+  step.  Windows that few edits part come back into step and then emit the same
+  words, so few edits mean few differing places.
+* Sampling.  A key is the words emitted at ``SAMPLED`` random steps of a walk.  Keys of
+  the pieces are an index for each repetition, and windows meet pieces by equality of a
+  key.  As many repetitions are made as the measured agreement (``AGREEMENT``) needs
+  for the recall asked for, whatever their number.
+* Bound.  A window that has fewer words of the benchmark than that of a leak must have
+  is not walked.  A candidate stretch that has fewer words of its item than a leak
+  must have is passed over.
+* Verification.  All other candidates are verified exactly (bit-parallel edit
+  distance of the item to any part of the stretch), so no leak is reported that is none.
+
+Items whose budget is no edit (fewer than five words at 0.8) are found by their
+exact words.  Items without a word match nothing.
+
+The benchmark is written once as a table of slices in the shared folder, and tasks
+read the slice they need from there: one pass over the texts for each ``SLICE`` items,
+and nothing of the benchmark passes through the driver.
+
+Null and empty texts match nothing; very long texts are read whole, a chunk of rows at a
+time.  Of equally good places of an item in a text the first found counts.  Repeated
+rows give repeated results, items that repeat a key are items of their own, empty
+tables give no rows.  Further columns of either table are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -33,12 +46,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .flat import MARKS, chunks, flat, gather, hashes, lean, mixed, spans
+from .ranges import filesystem
+from .store import new_folder
 
 SLICE = 20_000
 #: Words of stretches that are counted at once.
 COUNTED = 1 << 20
+#: Stands after the last word; a walk that reaches it emits it.
+GUARD = np.array([0x5BD1E9955BD1E995], np.uint64)
 
 
 def _words(column) -> tuple[np.ndarray, np.ndarray]:
@@ -82,33 +100,97 @@ def edits(item: list[int], text: list[int]) -> tuple[int, int]:
     return best
 
 
+#: Lengths of windows, in words.
+LENGTHS = (5, 8, 10, 12)
+#: Chance that a key of a leak agrees at the bound of its edits, for a repetition.  Measured (see
+#: the tests): on random words and edits it is 0.25 to 0.45; less is taken, as repetitions share walks.
+AGREEMENT = 0.15
+SAMPLED = 3
+#: Repetitions that sample one walk.
+SHARED = 3
+
+
+class Walks:
+    """Keys of windows: CGK walks, and the steps sampled of each."""
+
+    def __init__(self, recall: float, seed: int) -> None:
+        rng = np.random.default_rng(seed)
+        self.repetitions = math.ceil(math.log(1 - recall) / math.log(1 - AGREEMENT))
+        walks = math.ceil(self.repetitions / SHARED)
+        #: A walk of its own for each group of repetitions, and a multiplier for each of the words sampled.
+        self.salt = rng.integers(1, 1 << 63, walks, dtype=np.uint64)
+        self.factor = rng.integers(1, 1 << 63, SAMPLED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.place = rng.random((self.repetitions, 2 * max(LENGTHS)))
+
+    def steps(self, c: int, r: int) -> np.ndarray:
+        """The steps of repetition ``r`` that are sampled for windows of ``c`` words: a uniform choice of the first 2c."""
+        return np.sort(np.argsort(self.place[r, : 2 * c])[:SAMPLED])
+
+    def keys(self, word: np.ndarray, at: np.ndarray, c: int) -> Iterator[np.ndarray]:
+        """The key of each window that starts at ``at``, for one repetition after another.  ``word`` ends in 2c or more guards."""
+        part = [word * f for f in self.factor]
+        for w, salt in enumerate(self.salt):
+            mine = range(w * SHARED, min((w + 1) * SHARED, self.repetitions))
+            wanted = [self.steps(c, r).tolist() for r in mine]
+            turn = (mixed(word ^ salt) >> np.uint64(32)).astype(np.uint32)
+            key = [np.zeros(len(at), np.uint64) for _ in mine]
+            place = at.copy()
+            for t in range(max(x[-1] for x in wanted) + 1):
+                for k, steps in enumerate(wanted):
+                    if t in steps:
+                        key[k] += part[steps.index(t)][place]
+                place += ((turn >> np.uint32(t)) & np.uint32(1)).astype(np.uint8)[place]
+            yield from key
+
+
+def windows_of(m: int, d: int) -> tuple[int, int, int]:
+    """(pieces, words of a window, edits) for items of ``m`` words and ``d`` edits: the cut with the least share of
+    edits in the window of the piece that has the fewest; ties: the longest window, then the fewest pieces."""
+    cuts = [(max([c for c in LENGTHS if c <= m // p], default=0), p) for p in range(1, max(1, m // LENGTHS[1]) + 1)]
+    c, p = min((x for x in cuts if x[0]), key=lambda x: ((d // x[1]) / x[0], -x[0], x[1]))
+    return p, c, d // p
+
+
 class Items:
-    """Segments and words of one slice of benchmark items."""
+    """Pieces, keys and words of one slice of benchmark items."""
 
-    def __init__(self, ids: list, texts: list[str], similarity: float, recall: float, min_words: int, seed: int) -> None:
+    def __init__(self, ids: list, texts: list[str], similarity: float, recall: float = 0.999, seed: int = 7) -> None:
         word, first = _words(pa.array(texts, pa.string()))
         n = np.diff(first)
-        self.ids = [i for i, k in zip(ids, n, strict=True) if k >= min_words]
-        self.words = [word[a : a + k] for a, k in zip(first[:-1], n, strict=True) if k >= min_words]
+        self.ids = [i for i, k in zip(ids, n, strict=True) if k]
+        self.words = [word[a : a + k] for a, k in zip(first[:-1], n, strict=True) if k]
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.budget = np.floor((1 - similarity) * self.size + 1e-9).astype(np.int64)
-        segments = sorted({int(m // (d + 1)) for m, d in zip(self.size, self.budget, strict=True)})
-        self.seeds = {}
-        for q in segments:
-            key, item, off = [], [], []
-            for i, (m, d) in enumerate(zip(self.size.tolist(), self.budget.tolist(), strict=True)):
-                if m // (d + 1) == q:
-                    at = np.array([s * m // (d + 1) for s in range(d + 1)])
-                    key.append(_grams(self.words[i], q)[at])
-                    item.append(np.full(d + 1, i))
-                    off.append(at)
-            key, item, off = map(np.concatenate, (key, item, off))
+        self.walks = Walks(recall, seed)
+        #: By (words of a window, edits), for each repetition: sorted keys of pieces, items, places of the pieces in them, filter.
+        self.index: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.whole: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        cut: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for i, (m, d) in enumerate(zip(self.size.tolist(), self.budget.tolist(), strict=True)):
+            if d:
+                parts, c, e = windows_of(m, d)
+                cut.setdefault((c, e), []).extend((i, k * m // parts) for k in range(parts))
+        for (c, e), pieces in sorted(cut.items()):
+            item, start = np.array(pieces, np.int64).T
+            # A walk may run into what follows the piece, as it does in a text.
+            data = [np.append(self.words[i][a : a + 2 * c], GUARD.repeat(2 * c)) for i, a in pieces]
+            size = np.array([len(x) for x in data])
+            rows = []
+            for key in self.walks.keys(np.concatenate(data), np.cumsum(size) - size, c):
+                order = np.argsort(key, kind="stable")
+                rows.append((key[order], item[order], start[order], _bloom(key)))
+            self.index[c, e] = rows
+        for m in sorted(set(self.size[self.budget == 0].tolist())):
+            mine = np.flatnonzero((self.budget == 0) & (self.size == m))
+            key = np.array([_grams(self.words[i], m)[0] for i in mine.tolist()], np.uint64)
             order = np.argsort(key, kind="stable")
-            bloom = np.zeros(1 << 20, bool)
-            bloom[(key >> np.uint64(44)).astype(np.int64)] = True
-            self.seeds[q] = key[order], item[order], off[order], bloom
+            self.whole[m] = key[order], mine[order]
         of = np.repeat(np.arange(len(self.ids)), self.size)
-        self.own = np.unique(self._mark(np.concatenate(self.words), of)) if self.words else np.zeros(0, np.uint64)
+        every = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
+        self.vocabulary = np.unique(every)
+        self.known = _bloom(self.vocabulary)
+        self.own, self.times = np.unique(self._mark(every, of), return_counts=True)
+        self.marked = _bloom(self.own)
 
     @staticmethod
     def _mark(word: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -116,7 +198,7 @@ class Items:
         return mixed(word + (item.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25))
 
     def _enough(self, word: np.ndarray, item: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Whether stretches [start, stop) have as many words of their item as a leak must have."""
+        """Whether stretches [start, stop) share as many words with their item (each as often as both have it) as a leak must."""
         size, out = stop - start, np.zeros(len(item), bool)
         upto = np.cumsum(size)
         at = 0
@@ -124,79 +206,135 @@ class Items:
             to = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + COUNTED, "right")))
             n = size[at:to]
             mark = self._mark(word[gather(start[at:to], n)], np.repeat(item[at:to], n))
-            own = self.own[np.minimum(np.searchsorted(self.own, mark), len(self.own) - 1)] == mark
-            out[at:to] = np.add.reduceat(own, np.cumsum(n) - n, dtype=np.int64) >= (self.size - self.budget)[item[at:to]]
+            own = np.flatnonzero(self.marked[(mark >> np.uint64(44)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(self.own, mark[own]), len(self.own) - 1)
+            real = self.own[place] == mark[own]
+            own, place = own[real], place[real]
+            of = np.repeat(np.arange(to - at), n)[own]
+            least = (self.size - self.budget)[item[at:to]]
+            # Most fail by the plain count.
+            some = np.bincount(of, minlength=to - at) >= least
+            both, times = np.unique((of * len(self.own) + place)[some[of]], return_counts=True)
+            shared = np.bincount(both // len(self.own), np.minimum(times, self.times[both % len(self.own)]), to - at)
+            out[at:to] = some & (shared >= least)
             at = to
         return out
 
-    def matches(self, word: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, edits, first word of the window, its words) of the leaks in rows of words laid end to end."""
+    def candidates(self, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, where the item would start) of windows that share a key with a piece."""
         row, item, start = [], [], []
-        for q, (key, of, off, bloom) in self.seeds.items():
-            g = _grams(word, q)
-            hit = np.flatnonzero(bloom[(g >> np.uint64(44)).astype(np.int64)])
-            if not len(hit):
+        if self.index:
+            known = _held(self.known, self.vocabulary, word)
+            upto = np.append(0, np.cumsum(known))
+        for (c, e), repetitions in self.index.items():
+            end = np.minimum(np.arange(c + e, len(word) + c + e), len(word))
+            at = np.flatnonzero(upto[end] - upto[:-1] >= c - e)
+            if not len(at):
                 continue
-            a, b = np.searchsorted(key, g[hit], "left"), np.searchsorted(key, g[hit], "right")
-            seed = gather(a, b - a)
-            t = np.repeat(hit, b - a)
-            r = np.searchsorted(first, t, "right") - 1
-            inside = t + q <= first[r + 1]
-            t, r, seed = t[inside], r[inside], seed[inside]
-            row.append(r)
-            item.append(of[seed])
-            start.append(t - off[seed])
-        if not row or not sum(map(len, row)):
-            return []
-        found = np.unique(np.stack([np.concatenate(row), np.concatenate(item), np.concatenate(start)], axis=1), axis=0)
-        row, item, start = found.T
-        start = np.maximum(start, first[row])
-        wide = 2 * self.budget[item]
-        low, high = np.maximum(start - wide, first[row]), np.minimum(start + self.size[item] + wide, first[row + 1])
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(row))
-        low, high = low[head], high[tail - 1]
+            row_of = np.searchsorted(first, at, "right") - 1
+            guarded = np.append(word, GUARD.repeat(2 * c))
+            for (key, of, off, bloom), mine in zip(repetitions, self.walks.keys(guarded, at, c), strict=True):
+                hit = np.flatnonzero(bloom[(mine >> np.uint64(44)).astype(np.int64)])
+                a, b = np.searchsorted(key, mine[hit], "left"), np.searchsorted(key, mine[hit], "right")
+                piece = gather(a, b - a)
+                w = np.repeat(hit, b - a)
+                row.append(row_of[w])
+                item.append(of[piece])
+                start.append(at[w] - off[piece])
+        if not row:
+            return (np.zeros(0, np.int64),) * 3
+        return np.concatenate(row), np.concatenate(item), np.concatenate(start)
+
+    def matches(self, word: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(row, item, edits, first word, end word) of the leaks in rows of words laid end to end."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for k in np.flatnonzero(self._enough(word, item[head], low, high)).tolist():
-            r, i = int(row[head[k]]), int(item[head[k]])
-            m, d = int(self.size[i]), int(self.budget[i])
-            if best.get((r, i), (m,))[0] == 0:
-                continue
-            a = int(low[k])
-            got, end = edits(self.words[i].tolist(), word[a : int(high[k])].tolist())
-            if got <= d and got < best.get((r, i), (m,))[0]:
-                begins = start[head[k] : tail[k]]
-                s = int(begins[np.argmin(np.abs(begins + m - a - end))])
-                best[r, i] = got, s - int(first[r]), a + end - int(first[r])
+        for m, (key, of) in self.whole.items():
+            mine = _grams(word, m)
+            a, b = np.searchsorted(key, mine, "left"), np.searchsorted(key, mine, "right")
+            t = np.repeat(np.arange(len(mine)), b - a)
+            i = of[gather(a, b - a)]
+            r = np.searchsorted(first, t, "right") - 1
+            for r_, i_, t_ in zip(r.tolist(), i.tolist(), t.tolist(), strict=True):
+                if t_ + m <= first[r_ + 1] and (r_, i_) not in best and np.array_equal(word[t_ : t_ + m], self.words[i_]):
+                    best[r_, i_] = 0, t_ - int(first[r_]), t_ + m - int(first[r_])
+        row, item, start = self.candidates(word, first)
+        if len(row):
+            code = np.unique(item * np.int64(len(word) + 1) + np.maximum(start, first[row]))
+            item, start = code // (len(word) + 1), code % (len(word) + 1)
+            row = np.searchsorted(first, start, "right") - 1
+            wide = 2 * self.budget[item]
+            low, high = np.maximum(start - wide, first[row]), np.minimum(start + self.size[item] + wide, first[row + 1])
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(row))
+            low, high = low[head], high[tail - 1]
+            for k in np.flatnonzero(self._enough(word, item[head], low, high)).tolist():
+                r, i = int(row[head[k]]), int(item[head[k]])
+                m, d = int(self.size[i]), int(self.budget[i])
+                if best.get((r, i), (m,))[0] == 0:
+                    continue
+                a = int(low[k])
+                got, end = edits(self.words[i].tolist(), word[a : int(high[k])].tolist())
+                if got <= d and got < best.get((r, i), (m,))[0]:
+                    begins = start[head[k] : tail[k]]
+                    s = int(begins[np.argmin(np.abs(begins + m - a - end))])
+                    best[r, i] = got, s - int(first[r]), a + end - int(first[r])
         return [(r, i, *v) for (r, i), v in best.items()]
 
 
-def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", similarity: float = 0.8, recall: float = 0.999, min_words: int = 5, seed: int = 7) -> DataFrame:
+def _bloom(key: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << 20, bool)
+    out[(key >> np.uint64(44)).astype(np.int64)] = True
+    return out
+
+
+def _held(bloom: np.ndarray, sorted_keys: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Which words are among the sorted keys."""
+    out = bloom[(word >> np.uint64(44)).astype(np.int64)]
+    at = np.flatnonzero(out)
+    if len(at):
+        out[at] = sorted_keys[np.minimum(np.searchsorted(sorted_keys, word[at]), len(sorted_keys) - 1)] == word[at]
+    return out
+
+
+def _slice(folder: str) -> tuple[list, list[str]]:
+    """Keys and texts of a slice of the benchmark, read by a task, in an order that does not depend on its files."""
+    import pyarrow.parquet as pq
+
+    fs, base = filesystem(folder)
+    from pyarrow.fs import FileSelector
+
+    files = sorted(f.path for f in fs.get_file_info(FileSelector(base)) if f.path.endswith(".parquet"))
+    got = sorted(((x["_key"], x["_text"] or "") for f in files for x in pq.read_table(fs.open_input_file(f)).to_pylist()), key=lambda x: (x[0] is not None, x[0], x[1]))
+    return [k for k, _ in got], [t for _, t in got]
+
+
+def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", similarity: float = 0.8, recall: float = 0.999, seed: int = 7) -> DataFrame:
     """(key, item key, item_words, edits, first_word, end_word, similarity): each benchmark item in each text, at its best place."""
     slices = max(1, math.ceil(items.count() / SLICE))
     schema = T.StructType([docs.schema[key], items.schema[item_key], *(T.StructField(c, T.LongType()) for c in ("item_words", "edits", "first_word", "end_word")), T.StructField("similarity", T.DoubleType())])
+    folder = new_folder(docs.sparkSession, "benchmark")
+    dealt = items.select(F.col(item_key).alias("_key"), F.col(item_text).alias("_text"), F.pmod(F.xxhash64(item_key, item_text), F.lit(slices)).alias("slice"))
+    dealt.repartition(slices, "slice").write.partitionBy("slice").parquet(folder)
+    kept = [x["slice"] for x in docs.sparkSession.read.parquet(folder).select("slice").distinct().collect()] if items.take(1) else []
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields[1:6]]
 
     def one(k: int) -> DataFrame:
-        got = items.where(F.pmod(F.xxhash64(item_key, item_text), F.lit(slices)) == k).select(item_key, item_text).collect()
-        ids, texts = [x[0] for x in got], [x[1] or "" for x in got]
-
         def run(batches):
-            bench = Items(ids, texts, similarity, recall, min_words, seed)
+            bench = Items(*_slice(f"{folder}/slice={k}"), similarity, recall, seed)
             for part in chunks(batches, text):
                 hits = bench.matches(*_words(part.column(text))) if bench.ids else []
                 row, item, edit, start, end = zip(*hits, strict=True) if hits else [[]] * 5
                 size = [int(bench.size[i]) for i in item]
                 columns = [[bench.ids[i] for i in item], size, edit, start, end]
-                kinds = [schema[1].dataType, *[T.LongType()] * 4]
-                from pyspark.sql.pandas.types import to_arrow_type
-
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(key).take(pa.array(row, pa.int64())), *(pa.array(c, to_arrow_type(t)) for c, t in zip(columns, kinds, strict=True)), pa.array([1 - e / m for e, m in zip(edit, size, strict=True)], pa.float64())],
+                    [part.column(key).take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array([1 - e / m for e, m in zip(edit, size, strict=True)], pa.float64())],
                     names=schema.names,
                 )
 
         return docs.select(key, text).mapInArrow(lean(run), schema)
 
-    return reduce(DataFrame.unionByName, map(one, range(slices)))
+    if not kept:
+        return docs.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, map(one, sorted(kept)))
