@@ -48,10 +48,11 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
     Texts come in Arrow batches of ``BATCH_BYTES`` rather than of many rows, on
     both sides of the pipe, and the worker, which Spark reuses, gives memory back
-    when the task ends.
+    when the task ends.  The limit is the session's (Spark has none for one plan); one
+    that the user has set stays.
     """
     session = SparkSession.getActiveSession()
-    if session is not None:
+    if session is not None and session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def body(batches):

@@ -1,8 +1,8 @@
 """Shared storage for operators: scratch tables, shared files and table access.
 
 All intermediate data goes to the folder named by ``spark.checkpoint.dir``, the
-one place that driver and executors both see.  Only where that setting is
-absent (tests, local mode) a temporary folder is used.
+one place that driver and executors both see.  Only in local mode, where that
+setting may be absent, a temporary folder is used.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session (set to a temporary one only where unset)."""
+    """The checkpoint folder of the session; in local mode a temporary one is set where it is unset, on a cluster that is an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="caseloom-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir.rstrip("/")
