@@ -55,16 +55,15 @@ def op6_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document (host: its source) and each page (host, suffix and markup of its own)."""
-    from .langid import declared_language, fit, host_of, identify, page_text
+    from .langid import declared_language, fit, host_of, identify
 
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     null = F.lit(None)
-    html = F.coalesce("html", F.lit(""))
     host = host_of(F.col("url"))
-    pages = pages.select(null.cast("long").alias("doc_id"), "page_id", page_text(html).alias("text"), declared_language(html).alias("declared"), host.alias("host"))
+    pages = pages.select(null.cast("long").alias("doc_id"), "page_id", F.col("html").alias("text"), declared_language(F.coalesce("html", F.lit(""))).alias("declared"), host.alias("host"))
     pages = pages.select("*", F.substring_index("host", ".", -1).alias("suffix"), F.substring_index("host", ".", -2).alias("domain"))
-    rows = docs.select("doc_id", null.cast("long").alias("page_id"), "text", null.cast("string").alias("declared"), F.concat(F.lit("source:"), "source").alias("host"), null.cast("string").alias("suffix"), null.cast("string").alias("domain")).unionByName(pages)
-    out = identify(rows, fit(docs), declared="declared", suffix="suffix", host="host", domain="domain")
+    rows = docs.select("doc_id", null.cast("long").alias("page_id"), "text", null.cast("string").alias("declared"), F.concat(F.lit("source:"), "source").alias("host"), null.cast("string").alias("suffix"), null.cast("string").alias("domain"))
+    out = identify([(rows, False), (pages, True)], fit(docs), declared="declared", suffix="suffix", host="host", domain="domain")
     return out.select("doc_id", "page_id", "declared", "host", "language", F.round("confidence", 6).alias("confidence"), "kept")
 
 

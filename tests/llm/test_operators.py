@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from caseloom.llm import bpe, decontaminate, fm, langid, licenses, outliers, records, sharding, simhash, store, warc
+from caseloom.llm import bpe, decontaminate, fm, langid, licenses, outliers, queries, records, sharding, simhash, store, warc
 
 from .cases import WORDS, empty, frame, prose
 from .test_text_kernels import RANKS, brute_fingerprint, reference
@@ -99,9 +100,10 @@ def test_op3_shards_are_level_beside_a_large_group(spark):
 
 
 def test_op4_records(spark):
-    path, df = public_tokenizers.path("byte_bpe_50k.json"), frame(spark)
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    marked = [(k, t, None, None, 1, "", "", "", "") for k, t in ((70, "a<|endoftext|>b"), (71, "<|endoftext|><|endoftext|> x"), (-(1 << 62), "far"), ((1 << 63) - 1, "farthest"))]
+    df = frame(spark).union(spark.createDataFrame(marked, frame(spark).schema))
+    t = Tokenizer.from_file(path)  # untouched
     rows = sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id, len(r.text or "")))
     want, start = [], 0
     for r in rows:
@@ -114,7 +116,7 @@ def test_op4_records(spark):
     assert sorted(map(tuple, records.read_records(manifest, folder).collect()), key=lambda x: x[1]) == want
     first = manifest.orderBy("shard", "seq").first()
     at, ids = records.read_one(folder, first.file, 2)
-    assert at == 1 and ids.tolist() == [0]
+    assert at == 0 and ids.tolist() == [0]  # after the row without a key and the least key
     assert records.token_records(empty(spark), path).count() == 0
 
 
@@ -136,7 +138,7 @@ def test_op5_recall_at_the_bound():
 
     r = random.Random(9)
     items = [" ".join(f"w{r.randint(0, 5000)}" for _ in range(r.randint(15, 50))) for _ in range(60)]
-    bench = decontaminate.Items(list(range(60)), items, 0.8, 0.999, 5, 7)
+    bench = decontaminate.Items(list(range(60)), items, 0.8)
     found = total = 0
     for i, text in enumerate(items):
         for _ in range(5):
@@ -148,7 +150,7 @@ def test_op5_recall_at_the_bound():
 
             hits = bench.matches(*decontaminate._words(pa.array([prose(i, 40) + " " + " ".join(words) + " " + prose(i + 1, 40)])))
             found, total = found + any(h[1] == i for h in hits), total + 1
-    assert found / total >= 0.99
+    assert found / total >= 0.995
 
 
 def test_op5_finds_every_long_leak_at_the_bound():
@@ -158,7 +160,7 @@ def test_op5_finds_every_long_leak_at_the_bound():
 
     r = random.Random(4)
     items = [" ".join(f"w{r.randint(0, 5000)}" for _ in range(n)) for n in (100, 150, 200, 300) for _ in range(25)]
-    bench = decontaminate.Items(list(range(len(items))), items, 0.8, 0.999, 5, 7)
+    bench = decontaminate.Items(list(range(len(items))), items, 0.8)
     texts = []
     for i, text in enumerate(items):
         words = text.split()
@@ -254,6 +256,63 @@ def test_op8_sum_of_squares_identity():
         assert raw[row] == pytest.approx(0.3 + m.table[ids, 0] @ values + pairs, rel=1e-4)
 
 
+def test_op1_tells_versions_and_names_apart():
+    import pyarrow as pa
+
+    known = licenses.Templates(licenses.TEMPLATES, licenses.COVERAGE)
+
+    def found(text):
+        return {known.names[m[1]] for m in known.matches(*licenses.words(pa.array([text])))}
+
+    want = {
+        "Released under the BSD License.": {"bsd"},
+        "This work is licensed under the GNU General Public License, version 2.": {"gpl-2.0"},
+        "GNU General Public License, version 2": set(),
+        "This work is licensed under the GNU General Public License, version 3.": {"gpl-3.0"},
+        "Licensed under CC BY-ND 4.0.": {"cc-by-nd-4.0"},
+        "Licensed under CC BY-NC 4.0.": {"cc-by-nc-4.0"},
+        "Licensed under CC BY-NC-SA 4.0.": {"cc-by-nc-sa-4.0"},
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.": set(),
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": {"mpl-2.0"},
+        "Licensed under the Apache License, Version 2.1.": set(),
+        "Licensed under the Apache License, Version 2.0.": {"apache-2.0"},
+        "released under the old license of the town council": set(),
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 License": {"cc-by-sa-3.0-notice"},
+    }
+    assert {t: found(t) for t in want} == want
+    plain = {n: re.sub(r"[{}]", "", t) for n, t in licenses.TEMPLATES.items()}
+    assert {n: found(t) for n, t in plain.items()} == {n: {n} for n in plain}
+
+
+def test_op5_equals_brute_force_through_the_query(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {(r.doc_id, r.item_id, r.edits) for r in queries.op5_decontamination(spark, sf).collect()}
+    words = lambda t: re.findall(r"(?:[0-9a-z\x00-\x08\x0e-\x1f\x7f]|[^\x00-\x7f])+", (t or "").lower())
+    items = [(r.item_id, words(r.text)) for r in store.table(spark, sf, "benchmark").collect()]
+    want = set()
+    for r in store.table(spark, sf, "documents").collect():
+        text = words(r.text)
+        for i, w in items:
+            d = decontaminate.edits(w, text)[0]
+            if d <= math.floor(0.2 * len(w) + 1e-9):
+                want.add((r.doc_id, i, d))
+    assert got == want and want
+
+
+def test_op5_items_of_few_words_and_repeated_items(spark):
+    bench = spark.createDataFrame([(1, "Two Words"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "..."), (4, None), (None, "one")], "item_id long, text string").selectExpr("*", "1 AS edits")
+    docs = spark.createDataFrame([(7, "so two, words!"), (8, "two other words"), (9, "x a b c X d e f"), (10, "one"), (None, "two words")], "doc_id long, text string").selectExpr("*", "2 AS edits")
+    got = Counter(map(tuple, decontaminate.leaks(docs, bench).select("doc_id", "item_id", "edits").collect()))
+    assert got == {(7, 1, 0): 1, (9, 1, 1): 1, (9, 2, 1): 1, (10, None, 0): 1, (None, 1, 0): 1}
+
+
+def test_op6_texts_that_begin_or_end_in_f_or_form_feed(spark):
+    texts = ["f", "\f a b c", "for one two three four mid for one two three four", "cor one two three four mid cor one two three four", "\f\f", "a f", "nbsp\u00a0x\u2003y \x1f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_repeat_words) for r in outliers.statistics(df).collect()}
+    assert got == {0: (1, 1, 0), 1: (3, 3, 0), 2: (11, 39, 10), 3: (11, 39, 10), 4: (0, 0, 0), 5: (2, 2, 0), 6: (2, 9, 0)}
+
+
 def test_op9_archives(spark):
     rows = [(i, f"http://h/{i}", f"<html>{i % 4}</html>" * (1 + i % 4)) for i in range(40)] + [(50, None, None), (51, "u", ""), (52, "http://long/", "x" * 300_000), (3, "http://h/3", rows3 := "<html>3</html>" * 4), (None, "http://none/", "n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS kind", "2 AS shard")
@@ -272,6 +331,23 @@ def test_op9_archives(spark):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_op9_record_ids_are_unique_and_addresses_stay(spark):
+    rows = [(1, "http://a/x  y", "same"), (1, "http://a/x  y", "same"), (1, "http://a/x  y", "other"), (2, "http://a/é%20z", "same"), (None, "u", "n"), (None, "u", "n"), (2, "http://a/é%20z", "same")]
+    folder = store.new_folder(spark, "warc-test")
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    fs, base = warc.filesystem(folder)
+    ids, urls, refers = [], Counter(), []
+    for r in manifest.collect():
+        with fs.open_input_stream(f"{base}/{r.file}", compression=None) as f:
+            for fields, _ in map(warc.parsed, warc.members(f)):
+                ids.append(fields["WARC-Record-ID"])
+                urls[fields.get("WARC-Target-URI")] += 1
+                refers += [fields["WARC-Refers-To"]] if "WARC-Refers-To" in fields else []
+    assert len(set(ids)) == len(ids) == len(rows) + manifest.count()
+    assert urls["http://a/x%20%20y"] == 3 and urls["http://a/%C3%A9%20z"] == 2
+    assert len(refers) == 2 and set(refers) <= set(ids)
+
+
 def test_op10_components(spark):
     df = frame(spark)
     fp = {(r.doc_id, r.text): brute_fingerprint(r.text) for r in df.collect()}
@@ -327,16 +403,22 @@ def test_op10_dense_and_chained_fingerprints(spark):
     assert edges.count() < 40 * len(fps)
 
 
-@pytest.mark.parametrize("rows", [40, 400])
-def test_key_shards_follow_from_the_rows(spark, rows):
+@pytest.mark.parametrize("keys", [[i * 7 - 50 for i in range(40)], [i * 7 - 50 for i in range(900)], [*range(1000), 10**12], [-(1 << 63), *range(200), (1 << 63) - 1], [5] * 300 + list(range(100)), [None] * 300 + list(range(9)), [4]])
+def test_key_shards_follow_from_the_rows(spark, keys):
     from pyspark.sql import functions as F
 
     from caseloom.llm.ranges import key_shards
 
-    df = spark.createDataFrame([(i * 7 - 50, i % 5) for i in range(rows)] + [(None, 1), (-50, 3)], "key long, n long")
-    put, n = key_shards(df, "key", F.col("n"), least=8)
-    got = put(df).orderBy("key").collect()
-    shards = [r.shard for r in got]
-    assert len(got) == rows + 2 and shards == sorted(shards) and set(shards) == set(range(n))
-    put_again, m = key_shards(df.repartition(5), "key", F.col("n"), least=8)
-    assert m == n and sorted(map(str, put_again(df).collect())) == sorted(map(str, got))
+    df = spark.createDataFrame([(k, i % 5, i) for i, k in enumerate(keys)] + [(None, 1, -1), (keys[-1], 3, -2)], "key long, n long, t long")
+    put, n = key_shards(df, "key", F.col("n"), F.xxhash64("t"), least=8)
+    got = put(df, F.xxhash64("t")).collect()
+    assert len(got) == len(keys) + 2 and {r.shard for r in got} <= set(range(n)) and n <= len(keys)
+    order = sorted(got, key=lambda r: (r.shard, r.key is not None, r.key))
+    assert [r.key for r in order] == sorted((r.key for r in got), key=lambda k: (k is not None, k))  # ascending ranges
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.n + 1
+    share = max(8, math.isqrt(sum(size.values()) << 20))
+    assert n == 1 or max(size.values()) <= 2 * share + 8
+    put_again, m = key_shards(df.repartition(5), "key", F.col("n"), F.xxhash64("t"), least=8)
+    assert m == n and sorted(map(str, put_again(df, F.xxhash64("t")).collect())) == sorted(map(str, got))

@@ -138,3 +138,22 @@ def test_archive_members_and_damage():
     with pytest.raises(ValueError):
         warc.parsed(data.replace(b"hello", b"hellx"))
     assert zlib.decompress(warc.packed(data), 31) == data
+
+
+def test_pretokens_that_share_a_key_keep_their_bytes(monkeypatch):
+    real = flat.hashes
+    monkeypatch.setattr(pretokens, "hashes", lambda *a: real(*a) % np.uint64(3))
+    texts = [*some_texts(300, 5), "x" * 200 + " " + "y" * 200, "x" * 199 + "z"]
+    enc = reference()
+    assert encoded(texts) == [enc.encode_ordinary(t) for t in texts]
+    pool = pretokens.Pool()
+    seen = {}
+    for text in (b"ab cd ab", b"cd ef cd", b"ab ab gh"):  # over several calls
+        buf = np.frombuffer(text, np.uint8)
+        starts, _ = pretokens.cuts(buf, np.array([0, len(buf)]))
+        for code, a, b in zip(pool.codes(buf, starts).tolist(), starts, [*starts[1:], len(buf)], strict=True):
+            assert seen.setdefault(code, text[a:b]) == text[a:b]
+    assert len(seen) == len(pool)
+    data, lens = pool.take_new()
+    ends = np.cumsum(lens)
+    assert {i: data[e - n : e].tobytes() for i, (e, n) in enumerate(zip(ends, lens, strict=True))} == seen
