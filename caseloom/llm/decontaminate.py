@@ -15,9 +15,9 @@ text is within ``floor((1 - similarity) * words of the item)`` word edits of it.
   the pieces are an index for each repetition, and windows meet pieces by equality of a
   key.  As many repetitions are made as the measured agreement (``AGREEMENT``) needs
   for the recall asked for, whatever their number.
-* Bound.  A window that has fewer words of the benchmark than that of a leak must have
-  is not walked.  A candidate stretch that has fewer words of its item than a leak
-  must have is passed over.
+* Bound.  An edit breaks two pairs of neighbouring words at most, so a window that has
+  fewer pairs of the benchmark than that of a leak must have is not walked.  A candidate
+  stretch that has fewer words of its item than a leak must have is passed over.
 * Verification.  All other candidates are verified exactly (bit-parallel edit
   distance of the item to any part of the stretch), so no leak is reported that is none.
 
@@ -187,8 +187,10 @@ class Items:
             self.whole[m] = key[order], mine[order]
         of = np.repeat(np.arange(len(self.ids)), self.size)
         every = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
-        self.vocabulary = np.unique(every)
-        self.known = _bloom(self.vocabulary)
+        #: Keys of the neighbouring words of items, and of single words for windows too short for pairs.
+        pairs = [_grams(w, 2) for w in self.words]
+        self.known = {2: np.unique(np.concatenate(pairs)) if pairs else every, 1: np.unique(every)}
+        self.filter = {q: _bloom(k) for q, k in self.known.items()}
         self.own, self.times = np.unique(self._mark(every, of), return_counts=True)
         self.marked = _bloom(self.own)
 
@@ -223,17 +225,24 @@ class Items:
     def candidates(self, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, where the item would start) of windows that share a key with a piece."""
         row, item, start = [], [], []
-        if self.index:
-            known = _held(self.known, self.vocabulary, word)
-            upto = np.append(0, np.cumsum(known))
+        upto = {}
         for (c, e), repetitions in self.index.items():
-            end = np.minimum(np.arange(c + e, len(word) + c + e), len(word))
-            at = np.flatnonzero(upto[end] - upto[:-1] >= c - e)
+            q = 2 if c - 1 > 2 * e else 1
+            if q not in upto:
+                held = _held(self.filter[q], self.known[q], _grams(word, q) if q > 1 else word)
+                upto[q] = np.append(np.append(0, np.cumsum(held)), np.full(q - 1, held.sum()))
+            # Of the c - q + 1 places in the window each edit takes q; e more words may come in between.
+            end = np.minimum(np.arange(len(word)) + c - q + 1 + e, len(word))
+            at = np.flatnonzero(upto[q][end] - upto[q][:-1] >= c - q + 1 - q * e)
             if not len(at):
                 continue
             row_of = np.searchsorted(first, at, "right") - 1
-            guarded = np.append(word, GUARD.repeat(2 * c))
-            for (key, of, off, bloom), mine in zip(repetitions, self.walks.keys(guarded, at, c), strict=True):
+            if len(at) * 2 * c < len(word):  # few windows: their words alone
+                data = np.append(word, GUARD)[np.minimum(at[:, None] + np.arange(2 * c), len(word))].ravel()
+                begin = np.arange(len(at)) * 2 * c
+            else:
+                data, begin = np.append(word, GUARD.repeat(2 * c)), at
+            for (key, of, off, bloom), mine in zip(repetitions, self.walks.keys(data, begin, c), strict=True):
                 hit = np.flatnonzero(bloom[(mine >> np.uint64(44)).astype(np.int64)])
                 a, b = np.searchsorted(key, mine[hit], "left"), np.searchsorted(key, mine[hit], "right")
                 piece = gather(a, b - a)
