@@ -5,9 +5,15 @@ each result as Parquet in the shared folder and rereads it as the next stage's
 input.  All but the last stage return the columns of their input; the last
 returns token digests (doc_id, n_tokens, ids_sha256, decoded_sha256).
 
-Rows that a stage rejects are named by doc_id and a hash of the text, so rows that
+Rows that a stage rejects are named by doc_id and the SHA-256 of the text, so rows that
 share a doc_id are judged on their own; the near-duplicate stage judges by doc_id, and
-keeps one of rows that repeat both.  Null texts are rejected as texts without language.
+keeps one of rows that repeat both.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows and
+extra columns whatever their names.  Null and empty texts have no language and go in the
+first stage; a null doc_id is an id like any other, but never the least of a group.  Of
+equally good documents of a group the one with the least doc_id stays.  An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,16 +26,21 @@ from caseloom.llm import bpe, decontaminate, fm, langid, simhash
 from caseloom.llm.store import free_name, table, written
 
 
+def _mark():
+    """What names a text: its SHA-256; null for null."""
+    return F.sha2("text", 256)
+
+
 def _without(docs: DataFrame, rejected: DataFrame, mark: str) -> DataFrame:
     """``docs`` without the rows named in ``rejected`` (doc_id, mark); a small table is broadcast by its written size."""
     ident, text_mark = free_name(docs, "ident"), free_name(docs, "text_mark")
     gone = written(rejected.select(F.col("doc_id").alias(ident), F.col(mark).alias(text_mark)).distinct(), "rejected")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.xxhash64("text") == F.col(text_mark)), "left_anti")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(ident)) & _mark().eqNullSafe(F.col(text_mark)), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without an identifiable language (operator 7; host: the source)."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text", F.col("source").alias("host"), F.lit(None).cast("string").alias("domain"))
+    rows = docs.select("doc_id", _mark().alias("mark"), "text", F.col("source").alias("host"), F.lit(None).cast("string").alias("domain"))
     judged = langid.identify(rows, langid.fit(docs), host="host", domain="domain")
     return _without(docs, judged.where(~F.col("kept")), "mark")
 
@@ -41,22 +52,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each group of near-duplicates (operator 10)."""
+    """Keep the document with the least doc_id of each group of near-duplicates (operator 10).
+
+    Rows of one doc_id are one document, so the kept ids are looked up twice: those of one row
+    stay as they are, of those of several rows one of equal texts stays.
+    """
     judged = written(simhash.near_duplicates(docs), "groups")
-    stays = judged.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    total, distinct = stays.agg(F.count(F.lit(1)), F.count_distinct(F.struct("doc_id", "fp"))).first()
-    ident = free_name(docs, "ident")
-    ids = stays.select(F.col("doc_id").alias(ident)).distinct()
-    out = docs.join(ids, F.col("doc_id").eqNullSafe(F.col(ident)), "left_semi")
-    if total > distinct:  # rows that repeat a kept one
-        mark = free_name(docs, "mark")
-        out = out.withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).drop(mark)
-    return out
+    ident, rows, mark = (free_name(docs, n) for n in ("ident", "rows", "mark"))
+    ids = judged.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(ident)).agg(F.count(F.lit(1)).alias(rows))
+    ids = written(ids, "kept-ids")
+    of = lambda which: docs.join(ids.where(which), F.col("doc_id").eqNullSafe(F.col(ident)), "left_semi")
+    several = of(F.col(rows) > 1).withColumn(mark, _mark()).dropDuplicates(["doc_id", mark]).drop(mark)
+    return of(F.col(rows) == 1).unionByName(several)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that a benchmark item leaks into (operator 5)."""
-    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("row"), "text")
+    rows = docs.select(F.struct("doc_id", _mark().alias("mark")).alias("row"), "text")
     found = decontaminate.leaks(rows, table(spark, sf_dir, "benchmark"), key="row")
     return _without(docs, found.select("row.doc_id", "row.mark"), "mark")
 
