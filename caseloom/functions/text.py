@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}\p{N}_]+)"), 1)
 
 
+def word_count(text: Column) -> Column:
+    """Number of ``word_tokens``."""
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{M}\p{N}_]+"))
+
+
 def ascii_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9_\-]+)"), 1)
 
@@ -74,10 +81,14 @@ def stripped_words(text: Column) -> Column:
     return F.filter(bare, lambda w: w != "")
 
 
-def slang(text: Column, words: dict[str, str] = SLANG, protected: list[str] = ()) -> Column:
+def _guard(protected: list[str] | Column) -> Column:
+    return protected if isinstance(protected, Column) else F.array(*map(F.lit, protected)).cast("array<string>")
+
+
+def slang(text: Column, words: dict[str, str] = SLANG, protected: list[str] | Column = ()) -> Column:
     """Replace words by their short forms; one closing mark stays."""
     table = F.create_map(*(F.lit(x) for kv in words.items() for x in kv))
-    guard = F.array(*map(F.lit, protected)).cast("array<string>")
+    guard = _guard(protected)
 
     def one(w: Column) -> Column:
         bare = F.regexp_replace(F.lower(w), r"^[.,!?:;]+|[.,!?:;]+$", "")
@@ -88,9 +99,9 @@ def slang(text: Column, words: dict[str, str] = SLANG, protected: list[str] = ()
     return F.array_join(F.transform(F.split(text, " "), one), " ")
 
 
-def typos(text: Column, seed: int, protected: list[str] = ()) -> Column:
+def typos(text: Column, seed: int | Column, protected: list[str] | Column = ()) -> Column:
     """Swap the middle letters of every seventh word of five letters or more."""
-    guard = F.array(*map(F.lit, protected)).cast("array<string>")
+    guard = _guard(protected)
 
     def one(w: Column, i: Column) -> Column:
         bare = F.regexp_replace(F.lower(w), r"^[.,!?:;]+|[.,!?:;]+$", "")
@@ -148,10 +159,16 @@ def has_pii(text: Column) -> Column:
     return out
 
 
+def quoted(word: str) -> str:
+    """A pattern that matches ``word`` itself; marks are escaped one by one, which all engines read alike."""
+    return re.sub(r"([^\w\s])", r"\\\1", word)
+
+
 def any_word(text: Column, words: list[str]) -> Column:
-    """Whether any of ``words`` is a substring (one pass for all)."""
-    escaped = "|".join(w.replace("\\", "\\\\").replace(".", "\\.").replace("+", "\\+").replace("(", "\\(").replace(")", "\\)") for w in words)
-    return text.rlike(escaped)
+    """Whether any of ``words`` is a substring (one pass for all); false for no words."""
+    if not words:
+        return F.when(text.isNotNull(), False)
+    return text.rlike("|".join(map(quoted, words)))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -165,3 +182,17 @@ def ngrams(tokens: Column, n: int) -> Column:
     for j in range(1, n):
         out = F.zip_with(out, F.slice(tokens, F.lit(j + 1), k), lambda x, y: F.concat_ws(" ", x, y))
     return out
+
+
+def ngram_hashes(tokens: Column, n: int) -> Column:
+    """64-bit keys of the runs of n tokens: token hashes, combined from shifted slices, without the strings."""
+    from .vectors import bind
+
+    def combined(h: Column) -> Column:
+        k = F.greatest(F.size(h) - (n - 1), F.lit(0))
+        out = F.slice(h, F.lit(1), k)
+        for j in range(1, n):
+            out = F.zip_with(out, F.slice(h, F.lit(j + 1), k), lambda x, y: F.xxhash64(x, y))
+        return out
+
+    return bind(F.transform(tokens, lambda w: F.xxhash64(w)), combined)

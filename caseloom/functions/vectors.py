@@ -72,3 +72,11 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Kilometres on a sphere of radius 6371."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * F.asin(F.sqrt(a)) * 6371
+
+
+def masked_mean(tokens: Column, mask: Column) -> Column:
+    """The mean of the token vectors whose mask is not 0, as a unit vector; zeros where the mask leaves none."""
+    zero = F.transform(F.get(tokens, F.lit(0)), lambda x: x * 0.0)
+    added = F.aggregate(F.arrays_zip(tokens.alias("v"), mask.alias("m")), zero, lambda s, t: F.zip_with(s, t["v"], lambda a, b: a + b * t["m"]))
+    count = F.greatest(F.aggregate(mask, F.lit(0), lambda s, m: s + m).cast("double"), F.lit(1e-9))
+    return bind(F.transform(added, lambda x: x / count), lambda v: bind(F.greatest(norm(v), F.lit(1e-12)), lambda n: F.transform(v, lambda x: x / n)))

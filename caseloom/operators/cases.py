@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from caseloom.functions import scores
 from caseloom.functions import text as tx
 from caseloom.functions.vectors import haversine
 
+from .intake import violated
+
 # Categories, units, gates and word lists of the default rules.
 CATEGORIES = ["ROAD", "DRAINAGE_FLOOD", "WASTE", "CLEAN_WATER", "CIVIL_ADMIN", "HEALTH_SERVICE", "PUBLIC_ORDER", "TRANSPORTATION", "FIRE_RESCUE", "SOCIAL_AFFAIRS", "EDUCATION", "PARKS_HOUSING"]
 UNITS = ["BINA-MARGA", "SDA", "LH", "PDAM", "DUKCAPIL", "DINKES", "SATPOL-PP", "DISHUB", "DISKAR", "DINSOS", "DISDIK", "DPKP"]
@@ -40,14 +41,25 @@ STATUS_CUES = ["cek status", "cek tiket", "status tiket", "status laporan", "sta
 GREETINGS = ["halo", "hai", "hi", "p", "halo min", "halo admin", "selamat pagi", "selamat siang", "selamat sore", "selamat malam", "assalamualaikum", "tes", "test"]
 CANCEL_CUES = ["batal", "cancel", "reset", "laporan baru", "aduan baru", "batal laporan", "batalkan", "mulai baru", "ganti aduan", "ganti laporan"]
 OPINION_CUES = ["sekadar opini", "hanya pendapat", "sekadar saran", "sekadar salam", "cuma nanya opini"]
-AMBIGUOUS = [
-    r"(?i)\b(?:acuan|alamat|arah|keberadaan|letak|lokasi|patokan|posisi|titik|koordinat)(?:\s+\w+){0,5}\s+(?:(?:masih\s+)?(?:belum|tidak)|kurang)\s+(?:jelas|pasti|rinci|definitif|diketahui|spesifik|terinci|terkonfirmasi|terverifikasi)\b",
-    r"(?i)patokannya belum jelas|titiknya belum pasti|titiknya kurang spesifik|letak rincinya belum diketahui|titik koordinat spesifik belum terkonfirmasi|acuan titik tepatnya masih belum terinci|keberadaan letak rincinya belum definitif|posisi bidang pastinya belum terverifikasi|petunjuk tempatnya belum lengkap|informasi lokasinya belum jelas|titiknya masih ambigu membingungkan|posisi lapangannya belum teridentifikasi",
+AMBIGUOUS = r"(?i)\b(?:acuan|alamat|arah|keberadaan|letak|lokasi|patokan|posisi|titik|koordinat)(?:\s+\w+){0,5}\s+(?:(?:masih\s+)?(?:belum|tidak)|kurang)\s+(?:jelas|pasti|rinci|definitif|diketahui|spesifik|terinci|terkonfirmasi|terverifikasi)\b"
+AMBIGUOUS_PHRASES = [
+    "patokannya belum jelas",
+    "titiknya belum pasti",
+    "titiknya kurang spesifik",
+    "letak rincinya belum diketahui",
+    "titik koordinat spesifik belum terkonfirmasi",
+    "acuan titik tepatnya masih belum terinci",
+    "keberadaan letak rincinya belum definitif",
+    "posisi bidang pastinya belum terverifikasi",
+    "petunjuk tempatnya belum lengkap",
+    "informasi lokasinya belum jelas",
+    "titiknya masih ambigu membingungkan",
+    "posisi lapangannya belum teridentifikasi",
 ]
 FORMAL = [r"(?i)\b(?:jl\.?|jalan)\s+[\w.\-]+", r"(?i)\brt\s*\d+\s*rw\s*\d+\b", r"(?i)\bkelurahan\s+[\w.\-]+", r"(?i)\bkecamatan\s+[\w.\-]+", r"(?i)\b(?:kota|kabupaten)\s+[\w.\-]+"]
 STREET = r"(?i)\b(?:jl\.?|jalan)\s+(?!(?:rusak|berlubang|kecil|sempit|dekat|depan|sekitar|menuju|arah)\b)[a-zA-Z0-9\-]+"
 NUMBER = r"(?i)\b(?:no\.?|nomor)\s*\d+\b"
-LANDMARK = r"(?i)\b(?:miko mall|borma|trans studio|ciwalk|pvj|alun-alun|alun alun|gedung sate|rs immanuel|rs hasan sadikin|rshs|pasar baru|pasar caringin|pasar suci|stasiun bandung|stasiun kiaracondong|tegalega|tegallega|gasibu|monju|bip|bandung indah plaza|becky|balai kota|babakan siliwangi|baksil|itb|unpad|upi|uin|telkom university|stt telkom|kebun binatang|bandung zoo)\b|\b(?:mall|borma|pasar|masjid|rs|rumah sakit|spbu|pom bensin|stasiun|terminal|taman|lapangan|monumen|tugu)\s+[A-Za-z0-9\-]+\b"
+LANDMARK = r"(?i)\b(?:miko mall|borma|trans studio|ciwalk|pvj|alun-alun|alun alun|gedung sate|rs immanuel|rs hasan sadikin|rshs|pasar baru|pasar caringin|pasar suci|stasiun bandung|stasiun kiaracondong|tegalega|tegallega|tegalega park|taman tegalega|lapangan tegalega|monumen bandung lautan api|gasibu|lapangan gasibu|monumen perjuangan|monju|bip|bandung indah plaza|becky|balai kota|babakan siliwangi|baksil|taman lansia|itb|unpad|upi|uin|telkom university|stt telkom|kebun binatang|bandung zoo)\b|\b(?:mall|borma|pasar|masjid|rs|rumah sakit|spbu|pom bensin|stasiun|terminal|taman|lapangan|monumen|tugu)\s+[A-Za-z0-9\-]+\b"
 AREA = r"(?i)\b(?:kopo|pasteur|dago|buah batu|buahbatu|cibadak|asia afrika|riau|merdeka|supratman|gedebage|antapani|arcamanik|ciroyom|setiabudi|lembang|sukajadi|astanaanyar|lengkong|cikutra|cicadas|kiaracondong|batununggal|soekarno hatta|sukarno hatta|serayu|tegalega|tegallega|peta|bkr|mohkamad toha|moh toha|otista|otto iskandardinata|pasir koja|pasirkoja|sudirman|gardujati|andir|bojongloa|regol|sukasari|cidadap|coblong|cibeunying|bandung wetan|bandung kulon|sumur bandung)\b"
 CENTROIDS = [
     ("Sumur Bandung", -6.9175, 107.6111), ("Coblong", -6.8856, 107.6144), ("Sukajadi", -6.8867, 107.5922), ("Bojongloa Kaler", -6.9389, 107.5889),
@@ -148,10 +160,10 @@ def complaint(text: Column, intent: Column, risk: Column, category: Column, haza
 
 def completeness(text: Column, locations: Column | None = None, rules: dict | None = None) -> Column:
     """SUFFICIENT, INCOMPLETE or AMBIGUOUS, by ordered evidence; ``locations``: texts of location entities."""
-    r = {"ambiguous": AMBIGUOUS, "formal": FORMAL, "street": STREET, "number": NUMBER, "landmark": LANDMARK, "area": AREA} | (rules or {})
+    r = {"ambiguous": [AMBIGUOUS], "phrases": AMBIGUOUS_PHRASES, "formal": FORMAL, "street": STREET, "number": NUMBER, "landmark": LANDMARK, "area": AREA} | (rules or {})
     plain = F.trim(F.regexp_replace(text, r"\s+", " "))
     evidence = plain if locations is None else F.concat_ws(" ", plain, F.array_join(locations, " "))
-    vague, formal = F.lit(False), F.lit(True)
+    vague, formal = tx.any_word(F.lower(plain), r["phrases"]), F.lit(True)
     for p in r["ambiguous"]:
         vague = vague | plain.rlike(p)
     for p in r["formal"]:
@@ -168,6 +180,66 @@ def nearest_place(lat: Column, lon: Column, places: list[tuple[str, float, float
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """The last row of each key in the given order (all descending)."""
-    w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
-    return rows.withColumn("_at", F.row_number().over(w)).where("_at = 1").drop("_at")
+    """The last row of each key in the given order (all descending), by partial aggregation."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_s")).select(key, "_s.*")
+
+
+def identity_gate(egress: Column, provider: Column, model: Column, adapter_provider: Column, adapter_model: Column) -> Column:
+    """What the model gateway answers: the egress gate's reason where it denies, a mismatch of the adapter, or CALL."""
+    same = F.coalesce((provider == adapter_provider) & (model == adapter_model), F.lit(False))
+    return F.when(egress != "EGRESS_ALLOWED", F.concat(F.lit("DENIED/"), egress)).when(~same, "DENIED/ADAPTER_IDENTITY_MISMATCH").otherwise("CALL")
+
+
+def valid_payload(spans: Column, evidence: Column, key: Column, tenant: Column, case: Column, status: Column, data: Column, confidence: Column, error: Column) -> Column:
+    """Names of the rules that a payload breaks: span offsets and labels, order of evidence offsets, the canonical key, and what a status may carry."""
+    good_span = lambda s: (s["start"] >= 0) & (s["start"] < s["end"]) & s["label"].isin("OBJ", "LOC", "TIME")
+    good_item = lambda e: (F.length(e["ref"]) > 0) & (F.length(e["claim"]) > 0) & (F.coalesce(e["start"], F.lit(0)) >= 0) & (e["start"].isNull() | e["end"].isNull() | (e["end"] >= e["start"]))
+    done = status == "SUCCEEDED"
+    rules = {
+        "spans": F.forall(spans, lambda s: F.coalesce(good_span(s), F.lit(False))),
+        "evidence": F.forall(evidence, lambda e: F.coalesce(good_item(e), F.lit(False))),
+        "key": key == F.concat_ws(":", tenant, case, F.lit("ticket:create:v1")),
+        "status": F.when(done, data.isNotNull() & error.isNull()).otherwise(data.isNull() & confidence.isNull() & error.isNotNull()),
+    }
+    return violated(rules)
+
+
+def partial_index(rows: DataFrame, predicate: Column, keys: list[str], columns: list[str] = ()) -> DataFrame:
+    """The rows that a partial index holds, with its columns: what the predicate leaves, so a lookup by key reads no other row."""
+    return rows.where(F.coalesce(predicate, F.lit(False))).select(*keys, *columns)
+
+
+# Questions for a missing place by category, and for other fields.
+LOCATION_QUESTIONS = {
+    "ROAD": "Jalan rusak atau berlubang berada di ruas jalan mana dan dekat patokan apa?",
+    "DRAINAGE_FLOOD": "Titik genangan atau saluran tersumbat berada di jalan mana dan dekat patokan apa?",
+    "WASTE": "Tumpukan sampah berada di jalan atau lokasi mana dan dekat patokan apa?",
+    "CLEAN_WATER": "Pipa bocor atau gangguan air bersih terjadi di alamat atau ruas jalan mana?",
+    "CIVIL_ADMIN": "Layanan administrasi kependudukan di kantor atau kelurahan mana yang dimaksud?",
+    "HEALTH_SERVICE": "Fasilitas kesehatan atau puskesmas mana yang Anda maksud?",
+    "PUBLIC_ORDER": "Gangguan ketertiban umum terjadi di ruas jalan atau lokasi mana?",
+    "TRANSPORTATION": "Fasilitas transportasi atau rambu di jalan/persimpangan mana yang bermasalah?",
+    "FIRE_RESCUE": "Lokasi kejadian darurat (kebakaran / pohon tumbang / evakuasi) tepatnya di alamat, nomor, atau patokan mana?",
+    "SOCIAL_AFFAIRS": "Warga yang membutuhkan bantuan sosial terpantau di jalan atau lokasi mana?",
+    "EDUCATION": "Sekolah atau fasilitas pendidikan mana yang dimaksud?",
+    "PARKS_HOUSING": "Pohon tumbang atau fasilitas taman di jalan mana dan dekat patokan apa yang mengalami kendala?",
+}
+FIELD_QUESTIONS = {
+    "location": "Mohon sebutkan nama jalan, nomor, RT/RW, kelurahan, atau patokan lokasi spesifik aduan Anda.",
+    "location_incomplete": "Alamat belum lengkap. Mohon sebutkan nama jalan, RT/RW, atau kelurahan lokasi kejadian.",
+    "location_ambiguous": "Patokan lokasi yang Anda sebutkan masih ambigu. Mohon jelaskan nama kelurahan dan kecamatan atau patokan terdekat.",
+    "time": "Kapan permasalahan ini mulai terjadi atau terakhir kali terpantau?",
+    "issue": "Bisa jelaskan lebih detail fasilitas atau sarana apa yang mengalami kerusakan?",
+    "image_fallback": "Lampiran gambar Anda tidak dapat diproses secara otomatis demi privasi. Mohon jelaskan kondisi kerusakan dan patokan lokasi secara tertulis.",
+}
+
+
+def question(field: Column, category: Column) -> Column:
+    """The question for a missing field: that of the category for a place, of the field, of what its name hints at, else a general one."""
+    of = lambda table: F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    norm = F.lower(F.trim(field))
+    place = F.when(norm.isin("location", "location_incomplete"), F.try_element_at(of(LOCATION_QUESTIONS), category))
+    hint = F.when(norm.contains("loc") | norm.contains("alamat"), FIELD_QUESTIONS["location"]).when(norm.contains("time") | norm.contains("waktu"), FIELD_QUESTIONS["time"])
+    general = F.concat(F.lit("Mohon berikan informasi lebih lanjut mengenai "), field, F.lit(" agar aduan dapat kami proses."))
+    return F.coalesce(place, F.try_element_at(of(FIELD_QUESTIONS), norm), hint, general)

@@ -1,4 +1,4 @@
-"""Hooks for models, seeded augmentation, and resolution of conflicting spans."""
+"""Hooks for models and embedders, and seeded augmentation."""
 
 from __future__ import annotations
 
@@ -10,24 +10,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RANK = {"TIME": 3, "LOC": 2, "OBJ": 1}
-# Words that may join two parts of one entity, and marks around entities.
-JOINING = {"", "dan", "atau", "serta", "&", "yg", "yang"}
-EDGES = " \t\r\n.,!?:;\"'()[]{}"
-
-
 def predictions(df: DataFrame, predict: Callable[[list[str]], list[dict[str, Any]]], fields: T.StructType, text: str = "text") -> DataFrame:
-    """Add ``prediction`` (struct of ``fields``) and ``failure``; a batch that the model fails on gets nulls and the reason."""
+    """Add ``prediction`` (struct of ``fields``) and ``failure``: rows that the model fails on get null and the reason.
+
+    Texts go to the model in batches; the texts of a batch that fails are asked one by one,
+    so one bad text spoils no other.
+    """
+    def asked(texts: list[str]) -> tuple[list, str | None]:
+        try:
+            got = predict(texts)
+            if len(got) != len(texts):
+                raise ValueError(f"{len(got)} results for {len(texts)} texts")
+            return got, None
+        except Exception as e:  # the model is foreign code: its failure is a result
+            return [None] * len(texts), f"{type(e).__name__}: {e}"
+
     schema = T.StructType([*df.schema.fields, T.StructField("prediction", fields), T.StructField("failure", T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            try:
-                got, why = predict(f[text].fillna("").tolist()), None
-                if len(got) != len(f):
-                    raise ValueError(f"{len(got)} results for {len(f)} texts")
-            except Exception as e:  # the model is foreign code: its failure is a result
-                got, why = [None] * len(f), f"{type(e).__name__}: {e}"
+            texts = f[text].fillna("").tolist()
+            got, why = asked(texts)
+            if why is not None:
+                each = [asked([t]) for t in texts]
+                got, why = [g[0] for g, _ in each], [w for _, w in each]
             yield f.assign(prediction=got, failure=why)
 
     return df.mapInPandas(run, schema)
@@ -48,66 +54,3 @@ def thinned(text: Column, key: Column, seed: int, per_mille: int = 100) -> Colum
     words = F.split(text, " ")
     draw = lambda i: F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), key, i), 256), 1, 6), 16, 10).cast("int") % 1000
     return F.array_join(F.filter(words, lambda w, i: draw(i) >= per_mille), " ")
-
-
-Span = tuple[int, int, str]
-
-
-def _tidy(spans: list[Span], text: str | None) -> list[Span]:
-    """Spans without outer marks, one label for each extent (the highest), outer ones first."""
-    best: dict[tuple[int, int], str] = {}
-    for start, end, label in spans:
-        if text is not None and end <= len(text):
-            piece = text[max(start, 0) : end]
-            start += len(piece) - len(piece.lstrip(EDGES))
-            end -= len(piece) - len(piece.rstrip(EDGES))
-        if 0 <= start < end and RANK.get(label, 0) > RANK.get(best.get((start, end), ""), -1):
-            best[start, end] = label
-    return sorted(((s, e, x) for (s, e), x in best.items()), key=lambda p: (p[0], -p[1]))
-
-
-def _bridges(inner: list[Span], text: str | None) -> bool:
-    """Whether an outer span only links its parts across words that are no entity."""
-    for (_, a, _), (b, _, _) in zip(inner, inner[1:], strict=False):
-        known = text is not None and b <= len(text)
-        if (b - a > 1 and text[a:b].strip().lower() not in JOINING) if known else b - a > 6:
-            return True
-    return False
-
-
-def resolved(spans: list[Span], text: str | None = None) -> list[Span]:
-    """Spans without overlap: bridging spans go, higher labels are cut out of lower ones around them, the rest by rank and length."""
-    now = _tidy(spans, text)
-    for _ in range(len(now) + 2):
-        out: list[Span] = []
-        for outer in now:
-            inner: list[Span] = []
-            for s in now:
-                if s[:2] != outer[:2] and outer[0] <= s[0] and s[1] <= outer[1] and (not inner or s[0] >= inner[-1][1]):
-                    inner.append(s)
-            if len(inner) > 1 and {s[2] for s in inner} == {outer[2]} and _bridges(inner, text):
-                continue
-            at = outer[0]
-            for s in (x for x in inner if RANK.get(x[2], 0) > RANK.get(outer[2], 0)):
-                out.append((at, s[0], outer[2]))
-                at = s[1]
-            out.append((at, outer[1], outer[2]))
-        after = _tidy(out, text)
-        if after == now:
-            break
-        now = after
-    chosen: list[Span] = []
-    for s in sorted(now, key=lambda p: (-RANK.get(p[2], 0), p[0] - p[1], p[0])):
-        if all(s[1] <= c[0] or c[1] <= s[0] for c in chosen):
-            chosen.append(s)
-    return sorted(chosen)
-
-
-def resolved_spans(spans: Column, text: Column) -> Column:
-    """``resolved`` for columns: array<struct(start, end, label)> and the text.  A fixpoint, so a Python function, in Arrow batches."""
-
-    @F.pandas_udf("array<struct<start:int,end:int,label:string>>")
-    def of(all_spans: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None else [{"start": a, "end": b, "label": x} for a, b, x in resolved([(p["start"], p["end"], p["label"]) for p in s], t)] for s, t in zip(all_spans, texts, strict=True)])
-
-    return of(spans, text)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .keyed import folded
+from .ledger import micros
+
 
 def first_text(*values: Column) -> Column:
     """The first value that is not blank, trimmed."""
@@ -51,11 +56,35 @@ def violated(rules: dict[str, Column]) -> Column:
 
 
 def joined_texts(messages: DataFrame, key: str, order: str, text: str, separator: str) -> DataFrame:
-    """(key, joined, n): the texts of a key in order; a key's messages are a conversation, bounded by its length."""
+    """(key, joined, n): the texts of a key in order, as one value, so bounded by what a value may hold."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
     return messages.groupBy(key).agg(parts.alias("p"), F.count(F.lit(1)).alias("n")).select(key, F.array_join(F.transform("p", lambda x: x["t"]), separator).alias("joined"), "n")
 
 
+def hashed_texts(messages: DataFrame, key: str, order: list[str], text: str, separators: dict[str, str], count: str | None = None) -> DataFrame:
+    """(key, names of ``separators``): SHA-256 of the texts of a key in order, joined by each separator; null texts are left out.
+
+    Texts stream through the hashes in order, so a key of any size is never joined in memory;
+    ``count`` names a column with the number of rows.
+    """
+    names = list(separators)
+
+    def step(s, row):
+        sums, seen, n = s if s is not None else ([hashlib.sha256() for _ in names], False, 0)
+        if row[0] is not None:
+            data = row[0].encode()
+            for h, name in zip(sums, names, strict=True):
+                if seen:
+                    h.update(separators[name].encode())
+                h.update(data)
+            seen = True
+        return (sums, seen, n + 1), []
+
+    finish = lambda s: [(*(h.hexdigest() for h in s[0]), s[2])]
+    out = folded(messages, [key], [F.col(o) for o in order], [F.col(text)], lambda: None, step, ", ".join(f"{n} string" for n in names) + ", _n long", finish)
+    return out.withColumnRenamed("_n", count) if count else out.drop("_n")
+
+
 def last_within(rows: DataFrame, key: str, at: str, ident: str, kind: Column, seconds: int) -> DataFrame:
     """Add last_id: the newest earlier row of the key for which ``kind`` holds, at most ``seconds`` older.
 
@@ -70,26 +99,31 @@ def last_within(rows: DataFrame, key: str, at: str, ident: str, kind: Column, se
     return out.withColumn("last_id", F.when(fresh, F.col("_last.id"))).drop("_last")
 
 
-CONTAINED_ROWS = 10_000
+#: Bytes of needles that go to every task.
+CONTAINED_BYTES = 1 << 20
 
 
 def containing(texts: DataFrame, needles: DataFrame, text: str, needle: str) -> DataFrame:
-    """Pairs where the text contains the needle.
+    """Pairs where the text contains the needle; nulls on either side match nothing, an empty needle every text.
 
-    A list of up to ``CONTAINED_ROWS`` needles goes to every task and is tried
-    on each text as it streams by.  A longer list is looked up by equality: each
-    text gives its substrings of the needles' lengths, and the pairs meet by key.
+    A list of up to ``CONTAINED_BYTES`` goes to every task and is tried on each
+    text as it streams by.  A longer one is looked up by equality: each text gives
+    its substrings of the needles' lengths, and the pairs meet by key.
     """
-    if needles.count() <= CONTAINED_ROWS:
+    needles = needles.where(F.col(needle).isNotNull())
+    size = needles.agg(F.sum(F.octet_length(needle) + 16)).first()[0] or 0
+    if size <= CONTAINED_BYTES:
         return texts.join(F.broadcast(needles), F.col(text).contains(F.col(needle)))
     sizes = [x[0] for x in needles.select(F.length(needle)).distinct().collect()]
 
     def of_size(n: int) -> Column:
+        if not n:
+            return F.array(F.lit(""))
         starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
         return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
     grams = F.flatten(F.array(*map(of_size, sizes)))
-    return texts.withColumn("_gram", F.explode(F.array_distinct(grams))).join(needles, F.col("_gram") == F.col(needle)).drop("_gram")
+    return texts.where(F.col(text).isNotNull()).withColumn("_gram", F.explode(F.array_distinct(grams))).join(needles, F.col("_gram") == F.col(needle)).drop("_gram")
 
 
 def bursts(messages: DataFrame, key: list[str], at: str, ident: str, quiet: float, cap: float) -> DataFrame:
@@ -97,27 +131,41 @@ def bursts(messages: DataFrame, key: list[str], at: str, ident: str, quiet: floa
 
     A message that arrives exactly at the deadline still belongs to the burst.
     The deadline depends on the burst's first message, so the arrivals of a key
-    are folded in order; the fold keeps three numbers.
+    are folded in order; the state is three numbers.
     """
-    us = F.unix_micros(F.col(at).cast("timestamp"))
     q, c = int(quiet * 1e6), int(cap * 1e6)
-    rows = messages.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(us.alias("t"), F.col(ident).alias("id")))).alias("m"))
-    start = F.struct(F.lit(-1).alias("burst"), F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("due"), F.slice(F.transform("m", lambda x: F.struct(x["id"].alias("id"), F.lit(0).alias("burst"))), 1, 0).alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        fresh = (s["burst"] < 0) | (x["t"] > s["due"])
-        burst, first = F.when(fresh, s["burst"] + 1).otherwise(s["burst"]), F.when(fresh, x["t"]).otherwise(s["first"])
-        due = F.least(first + c, x["t"] + q)
-        return F.struct(burst.alias("burst"), first.alias("first"), due.alias("due"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), burst.alias("burst")))).alias("out"))
+    def step(s, row):
+        burst, first, due = s
+        t, id_ = row
+        if due is None or t > due:
+            burst, first = burst + 1, t
+        return (burst, first, min(first + c, t + q)), [(id_, burst)]
+
+    kind = messages.schema[ident].dataType.simpleString()
+    return folded(messages, key, [micros(at), F.col(ident)], [micros(at), F.col(ident)], lambda: (-1, 0, None), step, f"{ident} {kind}, burst int")
 
-    folded = rows.select(*key, F.aggregate("m", start, step)["out"].alias("out"))
-    return folded.select(*key, F.explode("out").alias("o")).select(*key, F.col("o.id").alias(ident), F.col("o.burst").alias("burst"))
+
+def linked(messages: DataFrame, firings: DataFrame, key: str, ident: str, arrived: str, due: str) -> DataFrame:
+    """(key, ident, fired): the first firing of the key at or after a message's arrival picks it up, however late it is.
+
+    Messages that no firing has picked up yet stay pending (null); none is dropped.
+    """
+    both = messages.select(key, F.col(arrived).alias("_t"), F.lit(0).alias("_kind"), F.col(ident).alias(ident), F.lit(None).cast("long").alias("_due"))
+    both = both.unionByName(firings.select(key, F.col(due).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(messages.schema[ident].dataType).alias(ident), F.col(due).alias("_due")))
+    # From the latest to the earliest, the firing next in time is the last one seen.
+    w = Window.partitionBy(key).orderBy(F.desc("_t"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("fired", F.last("_due", ignorenulls=True).over(w)).where("_kind = 0").select(key, ident, "fired")
 
 
 def deduplicated(rows: DataFrame, key: list[str], content: list[str], order: str) -> DataFrame:
-    """The first row of each identity, with ``conflict``: whether a later one differs in content."""
+    """The first row of each identity, with ``conflict``: whether another one differs in content."""
     digest = F.sha2(F.to_json(F.struct(*content)), 256)
-    w = Window.partitionBy(*key).orderBy(order)
-    whole = Window.partitionBy(*key)
-    marked = rows.withColumn("_d", digest).withColumn("_n", F.row_number().over(w)).withColumn("conflict", F.min("_d").over(whole) != F.max("_d").over(whole))
-    return marked.where("_n = 1").drop("_d", "_n")
+    rest = [c for c in rows.columns if c not in key]
+    by = rows.withColumn("_d", digest).groupBy(*key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_s"), (F.min("_d") != F.max("_d")).alias("conflict"))
+    return by.select(*key, "_s.*", "conflict")
+
+
+def of_tenant(rows: DataFrame, tenant: str | None, column: str = "tenant_id") -> DataFrame:
+    """The rows of one tenant; no tenant sees no row, as the row policy of a store has it."""
+    return rows.where(F.lit(False)) if not tenant else rows.where(F.col(column) == tenant)

@@ -6,10 +6,14 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from caseloom.functions import vectors
 from caseloom.functions.scores import first_match
 
+from .keyed import percentiles
+from .spans import bio_spans
+
 MODES = ["EXECUTE", "REQUEST_CLARIFICATION", "RE_EVALUATE", "REJECT_IGNORE"]
 
 
@@ -44,7 +48,7 @@ def ece(rows: DataFrame, confidence: str, correct: Column, bins: int = 10) -> Da
     return by.agg((F.sum(F.col("n") * F.abs(F.col("conf") - F.col("acc"))) / F.sum("n")).alias("ece"))
 
 
-def temperature(rows: DataFrame, logits: str, label: str, low: float = 0.05, high: float = 10.0, tolerance: float = 1e-3, grid: int = 40) -> float:
+def temperature(rows: DataFrame, logits: str, label: str, low: float = 0.05, high: float = 10.0, tolerance: float = 1e-5, grid: int = 12) -> float:
     """The temperature of least mean negative log likelihood; 1 without rows.
 
     The likelihood is unimodal in log T.  Each pass scores a whole grid of
@@ -53,8 +57,9 @@ def temperature(rows: DataFrame, logits: str, label: str, low: float = 0.05, hig
     """
     while math.log(high / low) > tolerance:
         points = [low * (high / low) ** (i / grid) for i in range(grid + 1)]
-        got = rows.agg(*(F.avg(vectors.nll(F.col(logits), F.col(label), t)).alias(f"t{i}") for i, t in enumerate(points))).first()
-        if got[0] is None:
+        each = F.transform(F.array(*map(F.lit, points)), lambda t: vectors.nll(F.col(logits), F.col(label), t))
+        got = {x["i"]: x["nll"] for x in rows.select(F.posexplode(each).alias("i", "nll")).groupBy("i").agg(F.avg("nll").alias("nll")).collect()}
+        if not got or got[0] is None:
             return 1.0
         best = min(range(grid + 1), key=lambda i: got[i])
         low, high = points[max(best - 1, 0)], points[min(best + 1, grid)]
@@ -71,6 +76,40 @@ def entity_metrics(gold: DataFrame, predicted: DataFrame, key: list[str]) -> Dat
     return n.select("*", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def token_metrics(rows: DataFrame, key: list[str], order: list[str], gold: str, predicted: str, names: dict[int, str], ignored: int = -100) -> DataFrame:
+    """(label, tp, fp, fn, precision, recall, f1, accuracy): entities of label ids by type, and of all (ALL).
+
+    Tokens whose gold id is ``ignored`` are left out before places are counted; runs of
+    B-/I- tags are entities, which count as found if label, first and last token agree.
+    """
+    table = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    tag = lambda c: F.coalesce(F.try_element_at(table, F.col(c)), F.lit("O"))
+    used = rows.where(F.col(gold) != ignored)
+    placed = used.select(*key, (F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1).alias("i"), tag(gold).alias("gold"), tag(predicted).alias("predicted"))
+    entities = lambda c: bio_spans(placed.select(*key, "i", F.col("i").alias("a"), F.col("i").alias("z"), F.col(c).alias("tag")), key, "i", "tag", "a", "z").drop("n_tokens")
+    match = [*key, "label", "span_start", "span_end"]
+    both = entities("gold").withColumn("g", F.lit(1)).join(entities("predicted").withColumn("p", F.lit(1)), match, "full")
+    n = both.select(F.explode(F.array(F.col("label"), F.lit("ALL"))).alias("label"), "g", "p").groupBy("label").agg(F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    # One row: a broadcast of fixed size.
+    accuracy = F.broadcast(placed.agg(F.coalesce(F.avg((F.col("gold") == F.col("predicted")).cast("double")), F.lit(0.0)).alias("accuracy")))
+    return n.select("*", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1")).crossJoin(accuracy)
+
+
+def head_table(rows: DataFrame, head: str, gold: str, predicted: str, confidence: str, classes: list, bins: int = 10) -> DataFrame:
+    """(head, macro_f1, accuracy, ece) of each head, and their averages as the head `overall`; one pass and a merge of bins."""
+    right = (F.col(gold) == F.col(predicted)).cast("double")
+    hits = [F.count_if((F.col(gold) == c) & (F.col(predicted) == c)).alias(f"t{i}") for i, c in enumerate(classes)]
+    sides = [(F.count_if(F.col(gold) == c) + F.count_if(F.col(predicted) == c)).alias(f"b{i}") for i, c in enumerate(classes)]
+    by = rows.groupBy(F.col(head).alias("head"), calibration_bin(F.col(confidence), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(confidence).alias("c"), F.sum(right).alias("a"), *hits, *sides)
+    f1 = F.lit(0.0)
+    for i in range(len(classes)):
+        f1 = f1 + F.when(F.sum(f"b{i}") > 0, 2 * F.sum(f"t{i}") / F.sum(f"b{i}")).otherwise(0.0)
+    each = by.groupBy("head").agg((f1 / len(classes)).alias("macro_f1"), (F.sum("a") / F.sum("n")).alias("accuracy"), (F.sum(F.abs(F.col("c") - F.col("a"))) / F.sum("n")).alias("ece"))
+    return each.unionByName(each.agg(*(F.avg(c).alias(c) for c in ("macro_f1", "accuracy", "ece"))).withColumn("head", F.lit("overall")))
+
+
 def draw(seed: int, replicate: Column, place: Column, n: Column) -> Column:
     """A family number in [0, n) for one draw of one replicate: hashed, so any engine repeats it."""
     return F.floor(vectors.unit_hash(F.concat_ws(":", F.lit(str(seed)), replicate, place)) * n).cast("int")
@@ -90,6 +129,7 @@ def bootstrap(families: DataFrame, total: str, count: str, resamples: int, seed:
 
 
 def interval(means: DataFrame) -> DataFrame:
+    # One row for each replicate, whatever the input.
     return means.agg(F.percentile("mean", 0.025).alias("ci_lower"), F.avg("mean").alias("mean"), F.percentile("mean", 0.975).alias("ci_upper"))
 
 
@@ -146,15 +186,15 @@ def system_table(results: DataFrame) -> DataFrame:
         one = F.when(either(m) > 0, 2 * tp(m) / either(m)).otherwise(0.0)
         f1 = one if f1 is None else f1 + one
     share = lambda hit, of: F.when(F.count_if(of) > 0, F.count_if(of & hit) / F.count_if(of)).otherwise(0.0)
-    return results.groupBy("system").agg(
+    table = results.groupBy("system").agg(
         (f1 / len(MODES)).alias("macro_f1"),
         F.avg(F.col("correct").cast("double")).alias("accuracy"),
         share(F.col("mode") == "EXECUTE", F.col("is_conflict")).alias("conflict_executed"),
         share(F.col("passed"), F.col("is_prohibited")).alias("prohibited_passed"),
         F.avg("cost").alias("mean_cost"),
         F.avg("latency").alias("mean_latency"),
-        F.percentile("latency", 0.95).alias("p95_latency"),
     )
+    return table.join(percentiles(results, ["system"], "latency", {"p95_latency": 0.95}), "system", "left")
 
 
 def gates(metrics: DataFrame, name: str, value: str, threshold: str) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from caseloom.functions import vectors
 from caseloom.operators import metrics
 from caseloom.operators.cases import CATEGORIES
 from caseloom.operators.datasets import split_hash
+from caseloom.operators.keyed import percentiles, ranked
 
 from .registry import query, table
 
@@ -38,11 +38,21 @@ def e9(spark, d):
     return metrics.macro_f1(_gold(spark, d), "gold", "predicted", [0, 1, 2]).select(F.round("macro_f1", 6).alias("macro_f1"))
 
 
-@query("E10_system_metrics", "SELECT o_orderpriority AS system, round(avg((o_orderstatus = 'F')::INT), 6)::DOUBLE AS accuracy, round(coalesce(avg((o_orderstatus = 'O')::INT) FILTER (o_custkey % 3 = 0), 0), 6)::DOUBLE AS conflict_rate, round(avg(o_totalprice), 3) AS mean_cost, round(quantile_cont(o_totalprice, 0.95), 1) AS p95 FROM orders GROUP BY 1")
+SYSTEM_SQL = "r AS (SELECT o_orderpriority AS system, CASE o_orderstatus WHEN 'F' THEN 'EXECUTE' WHEN 'O' THEN 'REQUEST_CLARIFICATION' ELSE 'RE_EVALUATE' END AS mode, CASE o_custkey % 4 WHEN 0 THEN 'EXECUTE' WHEN 1 THEN 'REQUEST_CLARIFICATION' WHEN 2 THEN 'RE_EVALUATE' ELSE 'REJECT_IGNORE' END AS action, o_custkey % 3 = 0 AS is_conflict, o_custkey % 5 = 0 AS is_prohibited, o_custkey % 5 = 0 AND o_orderkey % 7 = 0 AS passed, o_totalprice / 1000 AS cost, o_totalprice AS latency FROM orders)"
+
+
+@query("E10_system_metrics", f"""
+WITH {SYSTEM_SQL}, m AS (SELECT unnest({metrics.MODES}) AS m), f AS (SELECT system, m, count(*) FILTER (mode = m AND action = m) AS tp, count(*) FILTER (mode = m) + count(*) FILTER (action = m) AS both_ FROM r, m GROUP BY 1, 2), g AS (SELECT system, avg(CASE WHEN both_ > 0 THEN 2 * tp / both_ ELSE 0 END) AS f1 FROM f GROUP BY 1)
+SELECT system, round(any_value(f1), 6)::DOUBLE AS macro_f1, round(avg((mode = action)::INT), 6)::DOUBLE AS accuracy, round(coalesce(avg((mode = 'EXECUTE')::INT) FILTER (is_conflict), 0), 6)::DOUBLE AS conflict_executed, round(coalesce(avg(passed::INT) FILTER (is_prohibited), 0), 6)::DOUBLE AS prohibited_passed, round(avg(cost), 4) AS mean_cost, round(avg(latency), 2) AS mean_latency, round(quantile_cont(latency, 0.95), 2) AS p95_latency FROM r JOIN g USING (system) GROUP BY 1""")
 def e10(spark, d):
-    o, c = table(spark, d, "orders"), F.col("o_custkey") % 3 == 0
-    rate = F.avg(F.when(c, (F.col("o_orderstatus") == "O").cast("double")))
-    return o.groupBy(F.col("o_orderpriority").alias("system")).agg(F.round(F.avg((F.col("o_orderstatus") == "F").cast("double")), 6).alias("accuracy"), F.round(F.coalesce(rate, F.lit(0.0)), 6).alias("conflict_rate"), F.round(F.avg("o_totalprice"), 3).alias("mean_cost"), F.round(F.percentile("o_totalprice", 0.95), 1).alias("p95"))
+    """Orders as results of five systems."""
+    status, k = F.col("o_orderstatus"), F.col("o_custkey")
+    mode = F.when(status == "F", "EXECUTE").when(status == "O", "REQUEST_CLARIFICATION").otherwise("RE_EVALUATE")
+    action = F.when(k % 4 == 0, "EXECUTE").when(k % 4 == 1, "REQUEST_CLARIFICATION").when(k % 4 == 2, "RE_EVALUATE").otherwise("REJECT_IGNORE")
+    r = table(spark, d, "orders").select(F.col("o_orderpriority").alias("system"), mode.alias("mode"), action.alias("action"), (k % 3 == 0).alias("is_conflict"), (k % 5 == 0).alias("is_prohibited"), ((k % 5 == 0) & (F.col("o_orderkey") % 7 == 0)).alias("passed"), (F.col("o_totalprice") / 1000).alias("cost"), F.col("o_totalprice").alias("latency"))
+    t = metrics.system_table(r.withColumn("correct", F.col("mode") == F.col("action")))
+    places = {"macro_f1": 6, "accuracy": 6, "conflict_executed": 6, "prohibited_passed": 6, "mean_cost": 4, "mean_latency": 2, "p95_latency": 2}
+    return t.select("system", *(F.round(c, n).alias(c) for c, n in places.items()))
 
 
 @query("E11_calibration_error", f"WITH r AS ({GOLD_SQL}), b AS (SELECT least(greatest(ceil(confidence * 10) - 1, 0), 9) AS bin, count(*) AS n, avg(confidence) AS c, avg((gold = predicted)::INT) AS a FROM r GROUP BY 1) SELECT round(sum(n * abs(c - a)) / sum(n), 6)::DOUBLE AS ece FROM b")
@@ -53,15 +63,16 @@ def e11(spark, d):
 NLL = "ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) + list_max(z) - z[label % 4 + 1]"
 
 
-@query("E12_mean_nll", f"WITH t AS (SELECT label, list_transform(embedding[1:4]::DOUBLE[], lambda x: x / 0.1) AS z FROM embeddings) SELECT round(avg({NLL}), 6) AS nll FROM t")
+@query("E12_mean_nll", f"WITH t AS (SELECT label, list_transform(embedding::DOUBLE[], lambda x: x / 0.1) AS z FROM embeddings) SELECT round(avg({NLL.replace('label % 4 + 1', 'label + 1')}), 6) AS nll FROM t")
 def e12(spark, d):
-    logits = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
-    return table(spark, d, "embeddings").agg(F.round(F.avg(vectors.nll(logits, F.col("label") % 4, 0.1)), 6).alias("nll"))
+    logits = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, d, "embeddings").agg(F.round(F.avg(vectors.nll(logits, F.col("label").cast("int"), 0.1)), 6).alias("nll"))
 
 
 @query("E13_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def e13(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(*(F.round(F.percentile("value", q / 100), 6).alias(f"p{q}") for q in (50, 95, 99)))
+    p = percentiles(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return p.select("event_type", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")))
 
 
 @query("E14_stress_summary", "SELECT event_type AS mode, count(*) AS n, count(DISTINCT user_id) AS tickets, count(*) - count(DISTINCT user_id) AS duplicates, round(count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1000000 * 3600, 6)::DOUBLE AS per_hour FROM events GROUP BY 1")
@@ -81,16 +92,34 @@ def e15(spark, d):
     return m.select("tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
-@query("E16_token_metrics", "SELECT l_returnflag AS label, count(*) FILTER (l_linenumber <> 7 AND l_linestatus = 'F') AS tp, count(*) FILTER (l_linenumber <> 7) AS support FROM lineitem GROUP BY 1")
-def e16(spark, d):
-    used = F.col("l_linenumber") != 7  # ignored positions
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("label")).agg(F.count_if(used & (F.col("l_linestatus") == "F")).alias("tp"), F.count_if(used).alias("support"))
+LABELS = ["O", "B-LOC", "I-LOC", "B-OBJ", "I-OBJ", "B-TIME", "I-TIME"]
 
 
-@query("E17_head_averages", f"WITH r AS ({GOLD_SQL}), h AS (SELECT source, avg((gold = predicted)::INT) AS a FROM r GROUP BY 1) SELECT count(*) AS heads, round(avg(a), 6)::DOUBLE AS mean_accuracy FROM h")
+@query("E16_token_metrics", f"""
+WITH t AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS i, ({LABELS})[l_partkey % 7 + 1] AS gold, ({LABELS})[CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey % 7 ELSE l_partkey % 7 END + 1] AS pred, l_linenumber = 7 AS skip FROM lineitem),
+u AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) AS i, gold, pred FROM t WHERE NOT skip), s AS (SELECT 'g' AS side, k, i, gold AS tag FROM u UNION ALL SELECT 'p', k, i, pred FROM u), l AS (SELECT *, CASE WHEN tag = 'O' THEN '' ELSE substr(tag, 3) END AS label FROM s), p AS (SELECT *, lag(label) OVER (PARTITION BY side, k ORDER BY i) AS before FROM l),
+r AS (SELECT *, sum((tag LIKE 'B-%' OR (tag LIKE 'I-%' AND label IS DISTINCT FROM before))::INT) OVER (PARTITION BY side, k ORDER BY i) AS run FROM p), e AS (SELECT side, k, label, min(i) AS a, max(i) AS z FROM r WHERE label <> '' GROUP BY side, k, run, label),
+b AS (SELECT coalesce(g.label, q.label) AS label, g.k IS NOT NULL AS ing, q.k IS NOT NULL AS inp FROM (SELECT * FROM e WHERE side = 'g') g FULL JOIN (SELECT * FROM e WHERE side = 'p') q ON g.k = q.k AND g.label = q.label AND g.a = q.a AND g.z = q.z),
+c AS (SELECT label, count(*) FILTER (ing AND inp) AS tp, count(*) FILTER (NOT ing) AS fp, count(*) FILTER (NOT inp) AS fn FROM b GROUP BY 1 UNION ALL SELECT 'ALL', count(*) FILTER (ing AND inp), count(*) FILTER (NOT ing), count(*) FILTER (NOT inp) FROM b)
+SELECT label, tp, fp, fn, round(2 * tp / (2 * tp + fp + fn), 4)::DOUBLE AS f1, (SELECT round(avg((gold = pred)::INT), 4) FROM u)::DOUBLE AS accuracy FROM c""")
+def e16(spark, d):
+    """Lines of an order as tokens with label ids; the seventh is ignored."""
+    order = ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
+    ids = lambda c: F.when(F.col("l_linenumber") == 7, -100).otherwise(c.cast("int"))
+    pred = F.when(F.col("l_suppkey") % 3 == 0, F.col("l_suppkey") % 7).otherwise(F.col("l_partkey") % 7)
+    t = table(spark, d, "lineitem").select("l_orderkey", *order, ids(F.col("l_partkey") % 7).alias("gold"), pred.cast("int").alias("pred"))
+    m = metrics.token_metrics(t, ["l_orderkey"], order, "gold", "pred", dict(enumerate(LABELS)))
+    return m.select("label", "tp", "fp", "fn", F.round("f1", 4).alias("f1"), F.round("accuracy", 4).alias("accuracy"))
+
+
+@query("E17_head_averages", f"""
+WITH r AS ({GOLD_SQL}), c AS (SELECT source, class, count(*) FILTER (gold = class AND predicted = class) AS tp, count(*) FILTER (predicted = class) + count(*) FILTER (gold = class) AS both_ FROM r, (SELECT unnest([0, 1]) AS class) GROUP BY 1, 2), f AS (SELECT source, avg(CASE WHEN both_ > 0 THEN 2 * tp / both_ ELSE 0 END) AS macro_f1 FROM c GROUP BY 1),
+a AS (SELECT source, avg((gold = predicted)::INT) AS accuracy FROM r GROUP BY 1), b AS (SELECT source, least(greatest(ceil(confidence * 10) - 1, 0), 9) AS bin, count(*) AS n, avg(confidence) AS c, avg((gold = predicted)::INT) AS a FROM r GROUP BY 1, 2), e AS (SELECT source, sum(n * abs(c - a)) / sum(n) AS ece FROM b GROUP BY 1), h AS (SELECT * FROM f JOIN a USING (source) JOIN e USING (source))
+SELECT source AS head, round(macro_f1, 6)::DOUBLE AS macro_f1, round(accuracy, 6)::DOUBLE AS accuracy, round(ece, 6)::DOUBLE AS ece FROM h UNION ALL SELECT 'overall', round(avg(macro_f1), 6)::DOUBLE, round(avg(accuracy), 6)::DOUBLE, round(avg(ece), 6)::DOUBLE FROM h""")
 def e17(spark, d):
-    h = _gold(spark, d).groupBy("source").agg(F.avg((F.col("gold") == F.col("predicted")).cast("double")).alias("a"))
-    return h.agg(F.count(F.lit(1)).alias("heads"), F.round(F.avg("a"), 6).alias("mean_accuracy"))
+    """Sources as heads, and the averages over them."""
+    h = metrics.head_table(_gold(spark, d), "source", "gold", "predicted", "confidence", [0, 1])
+    return h.select("head", *(F.round(c, 6).alias(c) for c in ("macro_f1", "accuracy", "ece")))
 
 
 @query("E18_split_hash", "SELECT lang, count(*) AS n, sha256('salt' || chr(10) || string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS split_hash FROM documents GROUP BY 1")
@@ -109,15 +138,14 @@ def c19(spark, d):
 
 
 @query("J9_temperature", f"""
-WITH t AS (SELECT label, embedding[1:4]::DOUBLE[] AS l FROM embeddings), c AS (SELECT unnest(range(1, 201)) / 20.0::DOUBLE AS temp), z AS (SELECT temp, label, list_transform(l, lambda x: x * 10 / temp) AS z FROM t, c),
-a AS (SELECT temp, round(avg({NLL}), 9) AS nll FROM z GROUP BY 1) SELECT round(arg_min(temp, (nll, temp)), 4) AS temperature FROM a""")
+WITH t AS (SELECT list_transform(embedding::DOUBLE[], lambda x: x * 10) AS l, CASE WHEN vec_id % 4 = 0 THEN label ELSE list_position(embedding, list_max(embedding)) - 1 END AS y FROM embeddings), c AS (SELECT unnest(range(3, 501)) / 50.0::DOUBLE AS temp), z AS (SELECT temp, list_transform(l, lambda x: x / temp) AS z, y FROM t, c),
+a AS (SELECT temp, avg({NLL.replace('label % 4 + 1', 'y + 1')}) AS nll FROM z GROUP BY 1) SELECT round(arg_min(temp, nll), 1) AS temperature FROM a""")
 def j9(spark, d):
-    # The best of a fixed grid, scored in one aggregate.
-    logits = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") * 10)
-    rows = table(spark, d, "embeddings").select(logits.alias("l"), (F.col("label") % 4).alias("y"))
-    cells = rows.select("l", "y", F.explode(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: i / 20.0)).alias("t"))
-    by = cells.groupBy("t").agg(F.round(F.avg(vectors.nll(F.col("l"), F.col("y"), F.col("t"))), 9).alias("nll"))
-    return by.agg(F.round(F.min_by("t", F.struct("nll", "t")), 4).alias("temperature"))
+    """The temperature that fits the embeddings as logits, three labels of four being the largest; the SQL tries a fine grid."""
+    logits = F.transform("embedding", lambda x: x.cast("double") * 10)
+    label = F.when(F.col("vec_id") % 4 == 0, F.col("label").cast("int")).otherwise(vectors.argmax(F.col("embedding")))
+    rows = table(spark, d, "embeddings").select(logits.alias("l"), label.alias("y"))
+    return spark.createDataFrame([(round(metrics.temperature(rows, "l", "y"), 1),)], "temperature double")
 
 
 BOOT_SQL = """
@@ -127,7 +155,8 @@ r AS (SELECT replicate, floor((('0x' || substr(sha256('42:' || replicate || ':'
 
 def _families(spark, d):
     f = table(spark, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("total"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") > 1000).alias("hits"))
-    return f.withColumn("at", (F.row_number().over(Window.orderBy("source")) - 1).cast("int"))
+    numbered = ranked(f.withColumn("_one", F.lit(0)).withColumn("_h", F.conv(F.rpad(F.hex("source"), 12, "0"), 16, 10).cast("double")), ["_one"], [F.col("_h"), F.col("source")], "at")
+    return numbered.withColumn("at", F.col("at").cast("int")).drop("_one", "_h")
 
 
 @query("L11_cluster_bootstrap", BOOT_SQL + ", m AS (SELECT replicate, sum(total) / sum(n) AS mean FROM r JOIN f USING (fam) GROUP BY 1) SELECT round(quantile_cont(mean, 0.025), 4)::DOUBLE AS ci_lower, round(avg(mean), 4)::DOUBLE AS mean, round(quantile_cont(mean, 0.975), 4)::DOUBLE AS ci_upper FROM m")

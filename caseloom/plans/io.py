@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from caseloom.operators import intake
-from caseloom.sources import files, payloads
+from caseloom.operators.shared import new_folder
+from caseloom.sources import broker, files, payloads
 
 from .registry import query, table
 
@@ -15,14 +17,30 @@ def _us(c):
     return F.unix_micros(c.cast("timestamp"))
 
 
-@query("A1_trajectory_shape", "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns FROM conversations GROUP BY 1")
+@query("A1_trajectory_shape", """
+WITH c AS (SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1)
+SELECT 'sc-' || conv_id AS scenario_id, turns, chars, CASE WHEN conv_id % 5 = 0 THEN 'c' || conv_id END AS concept_id, CASE conv_id % 10 WHEN 1 THEN 'family_id' WHEN 2 THEN 'split' END AS reject FROM c""")
 def a1(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"))
-
-
-@query("A2_jsonl_rows", """SELECT event_id, '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}' AS line FROM events""")
+    """Conversations as JSON lines (and blank ones), read back as trajectories: a legacy field moves, what is missing is named."""
+    k = F.col("conv_id")
+    bubble = F.struct(F.concat(F.lit("m"), "turn").alias("source_message_id"), F.col("text"), F.lit(0).alias("offset_seconds"))
+    turns = F.array_sort(F.collect_list(F.struct(F.col("turn").cast("int").alias("turn"), F.array(bubble).alias("bubbles"))))
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    record = F.struct(F.concat(F.lit("sc-"), k).alias("scenario_id"), F.when(k % 10 != 1, "f").alias("family_id"), F.when(k % 10 == 2, "other").otherwise("dev").alias("split"), F.when(k % 5 == 0, F.concat(F.lit("c"), k)).alias("concept_id"), "turns")
+    path = new_folder(spark, "trajectories")
+    c.select(F.explode(F.array(F.to_json(record), F.lit(""), F.lit("  "))).alias("value")).write.text(path)
+    t = files.trajectories(spark, path)
+    chars = F.aggregate(F.flatten(F.transform("turns", lambda x: x["bubbles"])), F.lit(0).cast("long"), lambda s, b: s + F.length(b["text"]))
+    return t.select("scenario_id", F.size("turns").cast("long").alias("turns"), chars.alias("chars"), F.try_element_at("world_truth", F.lit("concept_id")).alias("concept_id"), "reject")
+
+
+@query("A2_jsonl_rows", """SELECT event_type, '{"event_id":' || event_id || ',"user_id":' || user_id || '}' AS line FROM events""")
 def a2(spark, d):
-    return table(spark, d, "events").select("event_id", F.to_json(F.struct("event_id", "user_id", "event_type")).alias("line"))
+    """Events written as JSON lines by type, and the lines read back."""
+    path = new_folder(spark, "jsonl")
+    files.write_jsonl(table(spark, d, "events").select("event_id", "user_id", "event_type"), path, ["event_type"])
+    lines = spark.read.text(path, recursiveFileLookup=True)
+    return lines.select(F.regexp_extract(F.col("_metadata.file_path"), "/event_type=([^/]*)/", 1).alias("event_type"), F.col("value").alias("line"))
 
 
 @query("A3_corpus_lines", """SELECT event_id, CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'view' THEN 'raw ' || props ELSE event_type END AS text FROM events""")
@@ -100,27 +118,77 @@ def a12(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object(payloads.envelope(out), "$.k").cast("int").alias("k"))
 
 
-@query("A14_log_offsets", "SELECT event_type AS topic, event_id, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1)::INT AS log_offset FROM events")
-def a14(spark, d):
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    return table(spark, d, "events").select(F.col("event_type").alias("topic"), "event_id", (F.row_number().over(w) - 1).alias("log_offset"))
+@query("A13_broker_envelopes", "SELECT event_id::VARCHAR AS event_id, event_type || '.events' AS topic, user_id::VARCHAR AS partition_key, value, 'evt/' || event_type AS headers FROM events")
+def a13(spark, d):
+    """Events as a broker takes them (key, value, headers in bytes), and as its source gives them back."""
+    sent = broker.encoded(table(spark, d, "events").withColumn("topic", F.concat("event_type", F.lit(".events"))), "topic", "user_id", "event_id", F.struct("event_id", "value"), {"kind": F.lit("evt"), "event_type": F.col("event_type")})
+    got = broker.decoded(sent)
+    headers = F.concat_ws("/", F.element_at("headers", "kind"), F.element_at("headers", "event_type"))
+    return got.select("event_id", "topic", "partition_key", F.get_json_object("payload", "$.value").cast("double").alias("value"), headers.alias("headers"))
 
 
-@query("A16_digest_verification", "SELECT doc_id, doc_id % 5 <> 0 AS matches FROM documents")
+@query("A14_log_offsets", "SELECT event_type AS topic, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS log_offset FROM events")
+def a14(spark, d):
+    """The offset of each event in its topic; topics of any size, as ranges of a topic are numbered apart."""
+    return broker.appended(table(spark, d, "events").select(F.col("event_type").alias("topic"), "event_id"), "topic", [F.col("event_id")], "log_offset")
+
+
+@query("A14_poll_and_commit", """
+WITH l AS (SELECT event_type AS topic, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS o FROM events), g AS (SELECT DISTINCT topic, CASE WHEN topic = 'error' THEN 0 ELSE length(topic) * 3 END AS start FROM l), p AS (SELECT l.* FROM l JOIN g USING (topic) WHERE o >= start AND o < start + 10)
+SELECT topic, count(*) AS polled, min(event_id) AS first_event, max(o) + 1 AS committed FROM p GROUP BY 1""")
+def a14b(spark, d):
+    """Ten messages of each topic from its committed offset, and the offset after them."""
+    log = broker.appended(table(spark, d, "events").select(F.col("event_type").alias("topic"), "event_id"), "topic", [F.col("event_id")], "log_offset")
+    at = log.select("topic").distinct().where("topic <> 'error'").select("topic", (F.length("topic") * 3).cast("long").alias("committed"))
+    polled = broker.polled(log, at, "topic", "log_offset", 10)
+    after = broker.committed(at, polled, "topic", "log_offset")
+    return polled.groupBy("topic").agg(F.count(F.lit(1)).alias("polled"), F.min("event_id").alias("first_event")).join(after, "topic")
+
+
+@query("A15_relational_store", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 3")
+def a15(spark, d):
+    """Nations through a transaction, into a store and back in ranges of the key; one is refused, so nothing of its batch stays."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+    files.transaction(spark, url, ["CREATE TABLE nation (n_nationkey INT PRIMARY KEY, n_name VARCHAR(64), n_regionkey INT)"])
+    files.write_jdbc(rows.where("n_regionkey <> 3"), url, "nation")
+    try:
+        files.transaction(spark, url, ["DELETE FROM nation WHERE n_nationkey < 10", "INSERT INTO nation SELECT * FROM nation"])
+        raise AssertionError("a repeated key was taken")
+    except files.TransactionFailed:
+        pass
+    back = files.jdbc(spark, url, "SELECT * FROM nation", "n_nationkey", 0, 25, 4)
+    return back.select(*(F.col(c).cast("long" if c.lower() != "n_name" else "string").alias(c.lower()) for c in back.columns))
+
+
+@query("A16_digest_verification", "SELECT CASE WHEN lang = 'gone' THEN 'missing' WHEN lang = 'up' THEN 'unsafe_path' WHEN lang > 'en' THEN 'mismatch' ELSE 'ok' END AS status, count(*) AS n FROM (SELECT DISTINCT lang FROM documents UNION ALL SELECT 'gone' UNION ALL SELECT 'up') GROUP BY 1")
 def a16(spark, d):
-    claimed = F.when(F.col("doc_id") % 5 == 0, F.lit("0" * 64)).otherwise(F.sha2("text", 256))
-    return table(spark, d, "documents").select("doc_id", (F.sha2("text", 256) == claimed).alias("matches"))
+    """Files by language and their manifest: some digests are another's, one file is not there, one path leads out."""
+    folder = new_folder(spark, "artifacts")
+    made = files.exported(table(spark, d, "documents").select("lang", "doc_id", "text"), folder, "lang")
+    listed = made.select("path", F.when(F.col("split") > "en", F.sha2("sha256", 256)).otherwise(F.upper("sha256")).alias("sha256"))
+    odd = spark.createDataFrame([("data/none.json", "00"), ("../up", "00")], listed.schema)
+    return files.verified(spark, folder, listed.union(odd)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A17_export_counts", "SELECT lang AS split, source, count(*) AS records, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2")
+@query("A17_export", "SELECT lang AS split, count(*) AS records, true AS listed, count(*) AS lines, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
 def a17(spark, d):
-    return table(spark, d, "documents").groupBy(F.col("lang").alias("split"), "source").agg(F.count(F.lit(1)).alias("records"), F.sum("n_chars").alias("chars"))
-
-
-@query("A18_lineage_stats", "SELECT count(*) AS raw_records, count(DISTINCT sha256(text)) AS clean_records, bit_xor(('0x' || substr(sha256(text), 1, 8))::BIGINT) AS mixed FROM documents")
+    """An export by split with its manifest and sums, checked against the files."""
+    folder = new_folder(spark, "export")
+    made = files.exported(table(spark, d, "documents").select("lang", "doc_id", "text"), folder, "lang")
+    good = files.verified(spark, folder, made.select("split", "path", "records", "sha256"))
+    sums = spark.read.text(f"{folder}/sha256sums").select(F.split_part("value", F.lit("  "), F.lit(2)).alias("path"), F.split_part("value", F.lit("  "), F.lit(1)).alias("sum"))
+    by = good.join(sums, "path", "left").groupBy("split").agg(F.sum("records").alias("records"), F.bool_and((F.col("status") == "ok") & (F.col("sum") == F.col("sha256"))).alias("listed"))
+    back = spark.read.schema("doc_id long, text string, lang string").json(f"{folder}/data").groupBy(F.col("lang").alias("split")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"))
+    return by.join(back, "split")
+
+
+@query("A18_lineage_stats", """
+WITH f AS (SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY trim(text, ' ') ORDER BY doc_id) AS r FROM documents WHERE trim(text, ' ') <> '') WHERE r = 1)
+SELECT (SELECT count(*) FROM documents) AS raw_records, count(*) AS clean_records, sha256(string_agg(trim(text, ' '), chr(10) ORDER BY doc_id)) AS clean_sha256, (SELECT sha256(string_agg(text, chr(10) ORDER BY doc_id)) FROM documents) AS raw_sha256 FROM f""")
 def a18(spark, d):
-    h = F.sha2("text", 256)
-    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("raw_records"), F.count_distinct(h).alias("clean_records"), F.bit_xor(F.conv(F.substring(h, 1, 8), 16, 10).cast("long")).alias("mixed"))
+    """Records before and after copies are left out, and the hash of either corpus as one text."""
+    return files.lineage(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("A19_metrics_text", """WITH c AS (SELECT event_type, user_id % 2 AS side, count(*) AS n, sum(user_id) AS total FROM events GROUP BY 1, 2) SELECT event_type || '_count{side="' || side || '"} ' || n AS line FROM c UNION ALL SELECT event_type || '_sum{side="' || side || '"} ' || total FROM c""")
@@ -134,6 +202,15 @@ def a20(spark, d):
     return files.markdown(table(spark, d, "region").select("r_regionkey", "r_name"))
 
 
+@query("A21_conditional_migration", "SELECT * FROM (VALUES (1, 'created'), (2, 'present'), (3, 'present')) t(step, outcome)")
+def a21(spark, d):
+    """A table made where it is not there yet, three times."""
+    name = f"migrated_{uuid.uuid4().hex}"
+    made = [(i, files.migrated(spark, name, "n_nationkey BIGINT, n_name STRING", new_folder(spark, "migrated"))) for i in (1, 2, 3)]
+    spark.sql(f"DROP TABLE {name}")
+    return spark.createDataFrame([(i, "created" if new else "present") for i, new in made], "step int, outcome string")
+
+
 @query("A22_registration", "SELECT n_name AS name, CASE WHEN n_nationkey >= 20 THEN 'insert' WHEN n_nationkey % 2 = 0 THEN 'same' ELSE 'skip' END AS action FROM nation")
 def a22(spark, d):
     n = table(spark, d, "nation")

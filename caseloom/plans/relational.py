@@ -44,14 +44,14 @@ def b4(spark, d):
 
 
 @query("B5_ticket_command", """
-SELECT conv_id, md5(description) AS description_md5, sha256('{"case_id":' || conv_id || ',"priority":"NORMAL","turns":' || n || '}') AS payload_hash
+SELECT conv_id, sha256(description) AS description_hash, sha256('{"case_id":' || conv_id || ',"priority":"NORMAL","turns":' || n || '}') AS payload_hash
 FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS description, count(*) AS n FROM conversations GROUP BY 1)""")
 def b5(spark, d):
-    from caseloom.operators.intake import joined_texts
+    from caseloom.operators.intake import hashed_texts
 
-    t = joined_texts(table(spark, d, "conversations"), "conv_id", "turn", "text", "\n")
+    t = hashed_texts(table(spark, d, "conversations"), "conv_id", ["turn"], "text", {"description_hash": "\n"}, count="n")
     payload = F.to_json(F.struct(F.col("conv_id").alias("case_id"), F.lit("NORMAL").alias("priority"), F.col("n").alias("turns")))
-    return t.select("conv_id", F.md5("joined").alias("description_md5"), F.sha2(payload, 256).alias("payload_hash"))
+    return t.select("conv_id", "description_hash", F.sha2(payload, 256).alias("payload_hash"))
 
 
 @query("B6_anonymised_payload", "SELECT o_orderkey, sha256(o_orderstatus || '|' || o_orderpriority) AS payload_hash FROM orders")
@@ -98,9 +98,14 @@ def c6(spark, d):
     return table(spark, d, "events").select("event_id", gate.alias("reason"))
 
 
-@query("C7_identity_gate", "SELECT event_id, CASE WHEN user_id % 10 = 0 THEN 'DENIED' WHEN event_type = 'error' THEN 'MODEL_MISMATCH' ELSE 'CALL' END AS outcome FROM events")
+@query("C7_identity_gate", """
+WITH g AS (SELECT event_id, event_type, user_id, CASE WHEN value > 45 THEN 'PII_EGRESS_BLOCKED' WHEN event_type = 'error' THEN 'BLOCKED_MIME_TYPE' ELSE 'EGRESS_ALLOWED' END AS egress FROM events)
+SELECT event_id, CASE WHEN egress <> 'EGRESS_ALLOWED' THEN 'DENIED/' || egress WHEN user_id % 10 = 0 OR event_type = 'click' THEN 'DENIED/ADAPTER_IDENTITY_MISMATCH' ELSE 'CALL' END AS outcome FROM g""")
 def c7(spark, d):
-    gate = scores.first_match([(F.col("user_id") % 10 == 0, "DENIED"), (F.col("event_type") == "error", "MODEL_MISMATCH")], "CALL")
+    """The gate of C6, then the identity of the adapter: another provider, or another model."""
+    none = F.lit(None).cast("string")
+    egress = cases.egress_gate(F.lit("local"), F.lit("public"), F.col("value") > 45, F.when(F.col("event_type") == "error", "application/octet-stream").otherwise(none), F.lit(False), F.lit(0.0), F.lit(1.0))
+    gate = cases.identity_gate(egress, F.lit("local"), F.when(F.col("event_type") == "click", "m2").otherwise("m1"), F.when(F.col("user_id") % 10 == 0, "openai").otherwise("local"), F.lit("m1"))
     return table(spark, d, "events").select("event_id", gate.alias("outcome"))
 
 
@@ -191,10 +196,19 @@ def c15(spark, d):
     return checked.select("l_orderkey", "l_partkey", "l_linenumber", F.array_join("violated", ",").alias("violated"))
 
 
-@query("C16_payload_checks", "SELECT event_id, (json_extract(props, '$.k'))::INT >= 0 AND (json_extract(props, '$.k'))::INT < value * 10 AND event_type <> '' AS valid FROM events")
+@query("C16_payload_checks", """
+WITH t AS (SELECT event_id, user_id, event_type, value, (json_extract(props, '$.k'))::INT AS k FROM events)
+SELECT event_id, array_to_string(list_filter([CASE WHEN k - 5 < 0 OR k - 5 >= value OR event_type = 'click' THEN 'spans' END, CASE WHEN (k % 3 > 0 AND value::INT < k) OR event_type = 'signup' THEN 'evidence' END, CASE WHEN k % 4 = 0 THEN 'key' END, CASE WHEN event_type = 'error' AND value > 25 THEN 'status' WHEN event_type <> 'error' AND value > 40 THEN 'status' END], lambda x: x IS NOT NULL), ',') AS broken FROM t""")
 def c16(spark, d):
-    k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, d, "events").select("event_id", ((k >= 0) & (k < F.col("value") * 10) & (F.col("event_type") != "")).alias("valid"))
+    k, kind, value = F.get_json_object("props", "$.k").cast("int"), F.col("event_type"), F.col("value")
+    spans = F.array(F.struct((k - 5).alias("start"), F.ceil(value).alias("end"), F.when(kind == "click", "CITY").otherwise("LOC").alias("label")))
+    evidence = F.array(F.struct(F.lit("m1").alias("ref"), F.when(kind == "signup", "").otherwise("c").alias("claim"), F.when(k % 3 > 0, k).alias("start"), F.rint(value).cast("int").alias("end")))
+    key = F.concat_ws(":", F.lit("t"), "user_id", F.when(k % 4 == 0, "ticket").otherwise("ticket:create:v1"))
+    failed = kind == "error"
+    status = F.when(failed, "FAILED").otherwise("SUCCEEDED")
+    data, error = F.when(~failed, "{}"), F.when(failed | (value > 40), "e")
+    broken = cases.valid_payload(spans, evidence, key, F.lit("t"), F.col("user_id").cast("string"), status, data, F.when(failed & (value > 25), 0.5), error)
+    return table(spark, d, "events").select("event_id", F.array_join(broken, ",").alias("broken"))
 
 
 @query("C17_attachment_window", "SELECT o.o_orderkey, l.l_partkey, l.l_linenumber, l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 48 HOUR AS accepted FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l_shipdate >= o_orderdate - INTERVAL 30 DAY AND l_shipdate <= o_orderdate + INTERVAL 30 DAY")
@@ -212,12 +226,17 @@ def c18(spark, d):
 
 @query("C20_partial_index", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000")
 def c20(spark, d):
-    return table(spark, d, "orders").where("o_orderstatus = 'O' AND o_totalprice > 100000").select("o_orderkey", "o_orderdate")
+    return cases.partial_index(table(spark, d, "orders"), (F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 100000), ["o_orderkey"], ["o_orderdate"])
 
 
-@query("C21_tenant_isolation", "SELECT doc_id, n_chars FROM documents WHERE source = 'src3'")
+@query("C21_tenant_isolation", "SELECT doc_id, n_chars, (SELECT count(*) FROM documents WHERE source IS NULL OR source = '') * 0 AS without_tenant FROM documents WHERE source = 'src3'")
 def c21(spark, d):
-    return table(spark, d, "documents").where(F.col("source") == "src3").select("doc_id", "n_chars")
+    from caseloom.operators.intake import of_tenant
+
+    docs = table(spark, d, "documents")
+    # Without a tenant no row is seen: a table of one row.
+    none = F.broadcast(of_tenant(docs, None, "source").agg(F.count(F.lit(1)).alias("without_tenant")))
+    return of_tenant(docs, "src3", "source").select("doc_id", "n_chars").crossJoin(none)
 
 
 @query("D1_unlinked_messages", "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' WHERE o_orderkey IS NULL AND c_acctbal <= 9000")
@@ -278,9 +297,13 @@ def d7(spark, d):
     return c.join(a, c.c_custkey == a.o_custkey).select("c_custkey", "o_orderkey")
 
 
-@query("D13_positional_zip", "SELECT l.doc_id, quality, n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+@query("D13_positional_zip", "WITH l AS (SELECT doc_id, quality, row_number() OVER (ORDER BY doc_id, quality, toxic) AS i FROM labels), o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) SELECT doc_id, quality, o_orderkey FROM l JOIN o USING (i)")
 def d13(spark, d):
-    return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select("doc_id", "quality", "n_chars")
+    """Two lists side by side: the i-th label with the i-th order."""
+    from caseloom.operators.keyed import zipped
+
+    left, right = table(spark, d, "labels"), table(spark, d, "orders").select("o_orderkey")
+    return zipped(left, right, ["doc_id", "quality", "toxic"], ["o_orderkey"]).select("doc_id", "quality", "o_orderkey")
 
 
 PLACES = ", ".join(f"({i}, '{n}', {a}, {b})" for i, (n, a, b) in enumerate(cases.CENTROIDS))
@@ -330,12 +353,9 @@ def e3(spark, d):
 
 @query("E4_evidence_hash", "SELECT conv_id, sha256(string_agg(text, ' ' ORDER BY turn)) AS spaced_hash, sha256(string_agg(text, chr(10) ORDER BY turn)) AS lined_hash FROM conversations GROUP BY 1")
 def e4(spark, d):
-    from caseloom.operators.intake import joined_texts
+    from caseloom.operators.intake import hashed_texts
 
-    t = table(spark, d, "conversations")
-    spaced = joined_texts(t, "conv_id", "turn", "text", " ").select("conv_id", F.sha2("joined", 256).alias("spaced_hash"))
-    lined = joined_texts(t, "conv_id", "turn", "text", "\n").select("conv_id", F.sha2("joined", 256).alias("lined_hash"))
-    return spaced.join(lined, "conv_id")
+    return hashed_texts(table(spark, d, "conversations"), "conv_id", ["turn"], "text", {"spaced_hash": " ", "lined_hash": "\n"})
 
 
 @query("E5_crosstab", "SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2")
@@ -348,7 +368,7 @@ def e6(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count_distinct("source").alias("families"))
 
 
-@query("E7_family_overlap", "SELECT a.lang AS left_split, b.lang AS right_split, array_to_string(list_sort(list(DISTINCT a.source)), ',') AS families FROM (SELECT DISTINCT lang, source FROM documents) a JOIN (SELECT DISTINCT lang, source FROM documents) b ON a.source = b.source AND a.lang < b.lang GROUP BY 1, 2")
+@query("E7_family_overlap", "SELECT a.lang AS left_split, b.lang AS right_split, a.source AS family FROM (SELECT DISTINCT lang, source FROM documents) a JOIN (SELECT DISTINCT lang, source FROM documents) b ON a.source = b.source AND a.lang < b.lang")
 def e7(spark, d):
     from caseloom.operators.datasets import family_overlap
 

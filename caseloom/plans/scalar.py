@@ -88,10 +88,10 @@ def i10_typos(spark, d):
 
 
 @query("I12_message_id", r"""
-WITH t AS (SELECT doc_id, source || ':conn:acct:' || substr(text, 1, 160) AS whole FROM documents)
+WITH t AS (SELECT doc_id, source || ':conn:acct:' || text AS whole FROM documents)
 SELECT doc_id, CASE WHEN length(whole) <= 128 THEN whole ELSE substr(regexp_extract(whole, '^([^:]*:conn:acct)', 1) || ':' || sha256(whole), 1, 128) END AS message_id FROM t""")
 def i12(spark, d):
-    """Ids of whole texts; the SQL takes the first 160 characters."""
+    """Ids of whole texts."""
     return table(spark, d, "documents").select("doc_id", text.message_id(F.col("source"), F.lit("conn"), F.lit("acct"), F.col("text")).alias("message_id"))
 
 
@@ -102,10 +102,10 @@ def i13(spark, d):
 
 
 @query("I15_landmark_masking", r"""
-WITH t AS (SELECT doc_id, text, substr(text, 1, 5) || substr(text, 11, 10) || substr(text, 31) AS cut FROM documents WHERE length(text) >= 40)
+WITH t AS (SELECT doc_id, text, substr(text, 1, 5) || substr(text, 11, 10) || substr(text, 31) AS cut FROM documents)
 SELECT doc_id, sha256(CASE WHEN length(trim(regexp_replace(cut, '\s+', ' ', 'g'))) >= 10 THEN trim(regexp_replace(cut, '\s+', ' ', 'g')) ELSE text END) AS masked_hash FROM t""")
 def i15(spark, d):
-    """Every document, spans ending with the text; the SQL has those of 40 characters or more."""
+    """Every document, spans ending with the text."""
     spans = F.array(F.struct(F.lit(5).alias("start"), F.lit(10).alias("end")), F.struct(F.lit(20).alias("start"), F.lit(30).alias("end")))
     rows = table(spark, d, "documents")
     return rows.select("doc_id", F.sha2(text.masked_spans(F.col("text"), spans), 256).alias("masked_hash"))
@@ -178,10 +178,10 @@ def j4(spark, d):
 
 
 @query("J8_softmax", """
-WITH t AS (SELECT vec_id, list_transform(embedding[1:4]::DOUBLE[], lambda x: x / 0.5) AS z FROM embeddings), e AS (SELECT vec_id, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM t)
+WITH t AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / 0.5) AS z FROM embeddings), e AS (SELECT vec_id, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM t)
 SELECT vec_id, round(e[1] / list_sum(e), 6) AS p0, round(e[4] / list_sum(e), 6) AS p3 FROM e""")
 def j8(spark, d):
-    p = vectors.softmax(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")), 0.5)
+    p = vectors.softmax(F.transform("embedding", lambda x: x.cast("double")), 0.5)
     return table(spark, d, "embeddings").select("vec_id", p.alias("p")).select("vec_id", F.round(F.col("p")[0], 6).alias("p0"), F.round(F.col("p")[3], 6).alias("p3"))
 
 

@@ -35,7 +35,7 @@ def test_ticket_fold(spark):
     rows = [(1, "create", None), (2, "create", None), (3, "update", 1), (4, "update", 1), (5, "transfer", None), (6, "close", None), (7, "update", None)]
     df = spark.createDataFrame([("t", *r) for r in rows], "t string, at int, action string, expected int")
     got = ledger.tickets(df, "t", ["at"], F.col("action"), F.col("expected")).first()
-    assert (got.revision, got.status, got.custody) == (4, "CLOSED", ">")
+    assert (got.revision, got.status, got.custody) == (4, "CLOSED", 1)
 
 
 def test_breaker(spark):
@@ -98,11 +98,74 @@ def test_bm25_prefers_the_matching_document(spark):
 
 
 def test_containing_small_and_large_lists(spark, monkeypatch):
-    texts = spark.createDataFrame([(1, "abcd"), (2, "bcx"), (3, None)], "t long, text string")
-    needles = spark.createDataFrame([(1, "bc"), (2, "d"), (3, "zz")], "n long, needle string")
-    small = {(r.t, r.n) for r in intake.containing(texts, needles, "text", "needle").collect()}
-    monkeypatch.setattr(intake, "CONTAINED_ROWS", 0)
-    assert small == {(r.t, r.n) for r in intake.containing(texts, needles, "text", "needle").collect()} == {(1, 1), (1, 2), (2, 1)}
+    texts = spark.createDataFrame([(1, "abcd"), (2, "bcx"), (3, None), (4, "")], "t long, text string")
+    needles = spark.createDataFrame([(1, "bc"), (2, "d"), (3, "zz"), (4, None), (5, "bc"), (6, "")], "n long, needle string")
+    small = sorted((r.t, r.n) for r in intake.containing(texts, needles, "text", "needle").collect())
+    monkeypatch.setattr(intake, "CONTAINED_BYTES", 0)
+    assert small == sorted((r.t, r.n) for r in intake.containing(texts, needles, "text", "needle").collect()) == [(1, 1), (1, 2), (1, 5), (1, 6), (2, 1), (2, 5), (2, 6), (4, 6)]
+
+
+def test_greedy_pass_over_a_long_chain(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (500, 502), (501, 502)], "left_id long, right_id long")
+    ids = spark.createDataFrame([(i,) for i in [*range(201), 300, 500, 501, 502]], "id long")
+    got = {r.id for r in datasets.greedy_kept(pairs, ids, "id").collect()}
+    assert got == {*range(0, 201, 2), 300, 500}
+
+
+def test_duplicate_lines_equal_the_plain_pass(spark):
+    import random
+
+    r = random.Random(3)
+    base = [" ".join(r.choice("abcdefgh") * 2 for _ in range(12)) for _ in range(6)]
+    lines = [r.choice(base) + r.choice(["", " x", " x", " y z"]) for _ in range(60)] + ["a b", "a b", " ", "Aa bb", None]
+    df = spark.createDataFrame(list(enumerate(lines)), "i long, text string")
+    got = {x.i for x in datasets.deduplicated_lines(df, "i", "text").collect()}
+    kept, want = [], set()
+    for i, line in enumerate(lines):
+        w = (line or "").strip().lower().split()
+        grams = set(zip(w, w[1:], w[2:], strict=False))
+        if w and (len(w) < 3 or all(len(grams & g) / len(grams | g) < 0.85 for g in kept)):
+            want.add(i)
+            if len(w) >= 3:
+                kept.append(grams)
+    assert got == want
+
+
+def test_synthesis_tops_up(spark):
+    topics = spark.createDataFrame([("lampu",), ("jalan",)], "topic string")
+    got = datasets.synthesized(topics, {"a": "warga lapor {x} rusak", "b": "x {x}"}, "topic", 10, F.format_string("tambahan nomor %d pada daftar %d", "i", F.col("i") * 31)).collect()
+    assert len(got) >= 10 and {"warga lapor lampu rusak", "warga lapor jalan rusak"} <= {r.text for r in got}
+    assert not any(len(r.text) <= 10 for r in got)
+
+
+def test_sends_and_conflicting_keys(spark):
+    rows = [("a", "x", None, 1), ("b", "x", "ok", 1), ("b", "x", "error", 2), ("b", "y", "error", 3), ("c", "z", "timeout", 1), ("d", "z", "boom", 1)]
+    df = spark.createDataFrame(rows, "k string, p string, r string, t int")
+    got = {x.k: tuple(x)[1:] for x in ledger.sends(df, "k", F.col("p"), F.col("r"), F.col("t")).collect()}
+    assert got == {"a": ("PENDING", 0, 0, 0), "b": ("SENT", 1, 1, 1), "c": ("DELIVERY_UNKNOWN", 1, 0, 0), "d": ("FAILED", 1, 0, 0)}
+    keys = ledger.distinct_keys(df, F.col("k"), F.col("p"), F.col("t"))
+    assert sum(":" in x.effective_key for x in keys.collect()) == 1
+
+
+def test_append_only_guard(spark):
+    before = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, v string")
+    after = spark.createDataFrame([(1, "a"), (2, "c"), (4, "d")], "id int, v string")
+    assert {tuple(r) for r in ledger.appended_only(before, after, ["id"]).collect()} == {(2, "UPDATED"), (3, "DELETED")}
+    with pytest.raises(ValueError, match="append-only"):
+        ledger.enforce_append_only(before, after, ["id"])
+    assert ledger.enforce_append_only(before, before.union(after.where("id = 4")), ["id"]).count() == 4
+
+
+def test_event_ids_as_uuids(spark):
+    h = "0123456789abcdef0123456789abcdef"
+    df = spark.createDataFrame([(h,), ("{01234567-89AB-CDEF-0123-456789ABCDEF}",), ("urn:uuid:" + h,), ("event 7",)], "i string")
+    got = [r.u for r in df.select(ledger.event_uuid(F.col("i")).alias("u")).collect()]
+    assert set(got[:3]) == {"01234567-89ab-cdef-0123-456789abcdef"} and got[3] != got[0] and len(got[3]) == 36
+
+
+def test_no_tenant_sees_no_row(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2)], "tenant_id string, n int")
+    assert intake.of_tenant(df, "a").count() == 1 and intake.of_tenant(df, None).count() == intake.of_tenant(df, "").count() == 0
 
 
 def test_files(spark, tmp_path):
