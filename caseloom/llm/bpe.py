@@ -10,9 +10,9 @@ entries.  Texts then map pretoken numbers to id ranges by array gathers.
 The corpus of a replay is what one task reads.  One replay for the whole table
 would need every occurrence of every word to be shuffled to its id list and
 back, several times the input; a replay for each task shuffles nothing and
-yields the same ids, as merges never cross a pretoken.
+yields the same ids, as merges never cross a pretoken (figures in the README).
 
-Nulls encode like empty texts (no ids).  Repeated rows and any further columns
+Very long texts are encoded whole.  An empty table gives no rows.  Nulls encode like empty texts (no ids).  Repeated rows and any further columns
 pass through.  Output columns that would clash get a trailing underscore.
 """
 

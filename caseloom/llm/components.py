@@ -1,38 +1,5 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components: those of the library."""
 
-from __future__ import annotations
+from caseloom.operators.keyed import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .store import written
-
-ROUNDS = 60
-
-
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(u, root) for every node of ``edges`` (u, v) that is not its component's least node.
-
-    Every round needs only minima and equality joins, so a node with very many
-    links is pre-aggregated, and its link rows can be split over tasks.  The
-    number of rounds grows with the logarithm of the size of a component.
-    """
-    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = _digest(edges)
-    for _ in range(ROUNDS):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = low.select("u", F.col("m").alias("v")).union(tied).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        edges = written(small, "edges")
-        after = _digest(edges)
-        if after == before:
-            return edges.select("u", F.col("v").alias("root"))
-        before = after
-    raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
+__all__ = ["components"]

@@ -319,14 +319,19 @@ def _slice(folder: str) -> tuple[list, list[str]]:
     return [k for k, _ in got], [t for _, t in got]
 
 
+def _dealt(items: DataFrame, item_text: str, item_key: str) -> tuple[str, list[int]]:
+    """Write the benchmark in slices to the shared folder: (folder, numbers of the slices that have items)."""
+    slices = max(1, math.ceil(items.count() / SLICE))
+    folder = new_folder(items.sparkSession, "benchmark")
+    rows = items.select(F.col(item_key).alias("_key"), F.col(item_text).alias("_text"), F.pmod(F.xxhash64(item_key, item_text), F.lit(slices)).alias("slice"))
+    rows.repartition(slices, "slice").write.partitionBy("slice").parquet(folder)
+    return folder, sorted(x["slice"] for x in items.sparkSession.read.parquet(folder).select("slice").distinct().collect()) if items.take(1) else []
+
+
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", similarity: float = 0.8, recall: float = 0.999, seed: int = 7) -> DataFrame:
     """(key, item key, item_words, edits, first_word, end_word, similarity): each benchmark item in each text, at its best place."""
-    slices = max(1, math.ceil(items.count() / SLICE))
     schema = T.StructType([docs.schema[key], items.schema[item_key], *(T.StructField(c, T.LongType()) for c in ("item_words", "edits", "first_word", "end_word")), T.StructField("similarity", T.DoubleType())])
-    folder = new_folder(docs.sparkSession, "benchmark")
-    dealt = items.select(F.col(item_key).alias("_key"), F.col(item_text).alias("_text"), F.pmod(F.xxhash64(item_key, item_text), F.lit(slices)).alias("slice"))
-    dealt.repartition(slices, "slice").write.partitionBy("slice").parquet(folder)
-    kept = [x["slice"] for x in docs.sparkSession.read.parquet(folder).select("slice").distinct().collect()] if items.take(1) else []
+    folder, slices = _dealt(items, item_text, item_key)
     kinds = [to_arrow_type(f.dataType) for f in schema.fields[1:6]]
 
     def one(k: int) -> DataFrame:
@@ -344,6 +349,24 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
 
         return docs.select(key, text).mapInArrow(lean(run), schema)
 
-    if not kept:
+    if not slices:
         return docs.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, map(one, sorted(kept)))
+    return reduce(DataFrame.unionByName, map(one, slices))
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", similarity: float = 0.8, recall: float = 0.999, seed: int = 7) -> DataFrame:
+    """The rows, with all columns, that no item leaks into; a pass for each slice, in which leaks leave as they are found, so no text is shuffled."""
+    folder, slices = _dealt(items, item_text, item_key)
+
+    def without(rows: DataFrame, k: int) -> DataFrame:
+        def run(batches):
+            bench = Items(*_slice(f"{folder}/slice={k}"), similarity, recall, seed)
+            for part in chunks(batches, text):
+                keep = np.ones(part.num_rows, bool)
+                if bench.ids:
+                    keep[[h[0] for h in bench.matches(*_words(part.column(text)))]] = False
+                yield part.filter(pa.array(keep))
+
+        return rows.mapInArrow(lean(run), docs.schema)
+
+    return reduce(without, slices, docs)

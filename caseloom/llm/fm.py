@@ -11,8 +11,12 @@ The weights are learned by mini-batch AdaGrad from at most about ``SAMPLE``
 labelled rows, taken by a hash of the key; they are a table of fixed size that
 goes to every task.  Labels, language, source and key are never features.
 
-Null and empty texts have structure features only, and so a score like any other.
-Rows that repeat a key are scored alike.
+Null and empty texts have structure features only, and so a score like any other;
+very long texts are read whole, a chunk of rows at a time.  Rows that repeat a key are
+scored each; for learning, one row of a key counts (the least by its features) and one
+label of a key (the greatest), so repeats cannot outgrow the sample.  Rows and labels without a key
+teach nothing.  Equal texts have equal scores.  An empty table of labels gives a score of
+0.5 throughout; an empty table no rows.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -177,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             )
 
     schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("y", T.IntegerType()), T.StructField("word", T.ArrayType(T.IntegerType())), T.StructField("structure", T.ArrayType(T.IntegerType()))])
-    got = rows.mapInArrow(lean(run), schema).toArrow().sort_by("k")
+    once = rows.mapInArrow(lean(run), schema).groupBy("k").agg(F.min(F.struct("y", "word", "structure")).alias("s")).select("k", "s.*")
+    got = once.toArrow().sort_by("k")
     y, word, structure = got["y"].to_numpy(), got["word"].combine_chunks(), got["structure"].combine_chunks()
     word, structure = (pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in (word, structure))
     w_at, w = word.offsets.to_numpy(), word.values.to_numpy()

@@ -7,23 +7,29 @@ determinant estimate of location and scatter is fitted, and a document goes if
 its Mahalanobis distance by the most specific group with ``least_rows`` rows is
 beyond the cut.
 
-The estimate starts from medians and median deviations and takes
-concentration steps: distances by the present estimate, then mean and covariance
-of the ``share`` of rows that are nearest.  A step never raises the determinant,
-and ``steps`` steps are taken.  Which rows are nearest follows from a histogram
-of distances (256 bins for each factor e), so that no group is sorted; bins
-that tie at the edge are taken whole.  Every step is partial sums by group and
-an equality join with one row for each group.  Covariances get a floor on the diagonal (``FLOORS``),
-as statistics that are zero for most texts would make them singular; each statistic can
-pass the cut alone within the base rules.  The final
-scatter is scaled so that the median distance of the group is that of a chi-square.
+The estimate is the usual one by concentration steps: distances by the present
+estimate, then mean and covariance of the ``share`` of rows that are nearest.  A step
+never raises the determinant of the covariance.  Each group has two starts, medians with
+median deviations and the plain mean with the plain covariance; both take steps until no
+determinant moves by more than ``TOLERANCE`` (``steps`` at most), and the start with the
+lesser determinant stays.  Then the estimate is reweighted: mean and covariance of all
+rows whose scaled distance is within the 0.975 quantile of the chi-square.  Distances are
+scaled so that their median in the group is that of the chi-square (the consistency factor).
+
+Which rows are nearest follows from a histogram of distances (256 bins for each factor
+e), so that no group is sorted; bins that tie at the edge are taken whole.  Every step is
+partial sums by group and an equality join with two rows for each group.  Covariances
+get a floor on the diagonal (``FLOORS``): symbols, repeated lines and repeated words are zero
+for most texts, which would make them singular, and the floor is about what one event does
+in a text of the usual length; each statistic can pass the cut alone within the base rules.
 
 Windows of five words are compared by a 64-bit hash; two different windows of a
 text share one with a chance below 1e-10 for a text of 20,000 words.
 
 Null and empty texts have all counts 0, fail the base rules and are not kept.
 Null language or source is a group like any other.  Repeated rows are rows of
-their own.
+their own, and equal texts of a group get equal verdicts.  Very long texts are read
+whole.  An empty table gives no rows.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import written
+from .store import forget, written
 
 WORD = r"[^\x20\x09-\x0D]"
 GAP = r"[\x20\x09-\x0D]"
@@ -44,6 +50,10 @@ FLOORS = (0.3, 0.15, 0.15, 0.3, 0.5)
 BINS = 256
 FEW_GROUPS = 10_000
 SALTS = 64
+TOLERANCE = 1e-6
+MEANS = [f"m{i}" for i in range(P)]
+WEIGHTS = [f"w{i}{j}" for i in range(P) for j in range(i + 1)]
+VALUES = [f"x{i}" for i in range(P)]
 
 
 def statistics(df: DataFrame, text: str = "text") -> DataFrame:
@@ -117,8 +127,8 @@ def _medians(rows: DataFrame, value, name: str) -> DataFrame:
     return at.groupBy("grp").agg(*(F.max(F.when(F.col("i") == i, F.col("bin") / 256.0)).alias(f"{name}{i}") for i in range(P)), F.max("rows").alias("rows"))
 
 
-def _whitened(moments: DataFrame) -> DataFrame:
-    """From n, s_i, q_ij: mean m_i and the inverse Cholesky factor w_ij of the floored covariance."""
+def _whitened(moments: DataFrame, by: list[str]) -> DataFrame:
+    """From n, s_i, q_ij: mean m_i, the inverse Cholesky factor w_ij of the floored covariance, and logdet of the latter."""
     out = moments.select("*", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)))
     for i in range(P):
         for j in range(i + 1):
@@ -134,7 +144,8 @@ def _whitened(moments: DataFrame) -> DataFrame:
             else:
                 w = -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}")
             out = out.withColumn(f"w{i}{j}", w)
-    return out.select("grp", *(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i in range(P) for j in range(i + 1)))
+    logdet = sum((F.log(F.col(f"l{i}{i}")) for i in range(1, P)), F.log(F.col("l00"))) * 2
+    return out.select(*by, *MEANS, *WEIGHTS, logdet.alias("logdet"))
 
 
 def _distance() -> Column:
@@ -150,7 +161,7 @@ def _bin(distance: Column) -> Column:
 
 
 def _meet(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
-    """Rows with the one row of their group: up to ``FEW_GROUPS`` groups go to every task; more are joined by
+    """Rows with the rows of their group: up to ``FEW_GROUPS`` groups go to every task; more are joined by
     group and salt, so that the rows of a large group are dealt over ``SALTS`` parts."""
     if few:
         return rows.join(F.broadcast(groups), "grp")
@@ -158,31 +169,54 @@ def _meet(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
     return rows.join(salted, ["grp", "salt"])
 
 
-def estimates(rows: DataFrame, share: float, steps: int) -> DataFrame:
-    """grp -> m_i, w_ij, scale, rows for rows (grp, salt, x0..x4)."""
-    mid = written(_medians(rows, _x, "c"), "medians")
-    few = mid.count() <= FEW_GROUPS
-    off = _medians(_meet(rows, mid.drop("rows"), few), lambda i: F.abs(_x(i) - F.col(f"c{i}")), "d")
-    start = mid.drop("rows").join(off.drop("rows"), "grp")
-    none = F.lit(0.0)
-    now = start.select("grp", *(F.col(f"c{i}").alias(f"m{i}") for i in range(P)), *((1 / (1.4826 * F.col(f"d{i}") + FLOORS[i]) if i == j else none).alias(f"w{i}{j}") for i in range(P) for j in range(i + 1)))
-    now = written(now, "estimates")
-    for _ in range(steps):
-        near = _meet(rows, now, few).select("grp", "salt", *(f"x{i}" for i in range(P)), _bin(_distance()).alias("bin"))
-        edge = _at_share(near.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n")), ["grp"], share).select("grp", F.col("bin").alias("edge"))
-        inner = _meet(near, edge, few).where("bin <= edge")
-        # Sums about the medians, where cancellation is small.
-        inner = _meet(inner, mid.drop("rows"), few).select("grp", *((_x(i) - F.col(f"c{i}")).alias(f"x{i}") for i in range(P)))
-        sums = inner.groupBy("grp").agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(_x(i)).alias(f"s{i}") for i in range(P)), *(F.sum(_x(j) * _x(i)).alias(f"q{j}{i}") for i in range(P) for j in range(i + 1)))
-        fitted = _whitened(sums).join(mid.drop("rows"), "grp")
-        now = written(fitted.select("grp", *((F.col(f"m{i}") + F.col(f"c{i}")).alias(f"m{i}") for i in range(P)), *(f"w{i}{j}" for i in range(P) for j in range(i + 1))), "estimates")
+def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """n, sums and sums of products of the values of rows about the group's medians c_i, where cancellation is small."""
+    off = rows.select(*by, *((_x(i) - F.col(f"c{i}")).alias(f"x{i}") for i in range(P)))
+    return off.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(_x(i)).alias(f"s{i}") for i in range(P)), *(F.sum(_x(j) * _x(i)).alias(f"q{j}{i}") for i in range(P) for j in range(i + 1)))
+
+
+def _fitted(rows: DataFrame, centre: DataFrame, by: list[str]) -> DataFrame:
+    """The estimate from the rows (with c_i): by, m_i, w_ij, logdet."""
+    fit = _whitened(_moments(rows, by), by).join(centre, "grp")
+    return fit.select(*by, *((F.col(f"m{i}") + F.col(f"c{i}")).alias(f"m{i}") for i in range(P)), *WEIGHTS, "logdet")
+
+
+def _scaled(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
+    """``now`` (one row a group) with scale, by which the median distance is that of a chi-square, and the group's rows."""
     hist = _meet(rows, now, few).select("grp", _bin(_distance()).alias("bin")).groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"))
     half = _at_share(hist, ["grp"], 0.5)
     scale = F.greatest(F.expm1((F.col("bin") + 0.5) / BINS) / chi_square_at(0.5, P), F.lit(1.0))
-    return written(now.join(half.select("grp", scale.alias("scale"), "rows"), "grp"), "estimates")
+    return now.join(half.select("grp", scale.alias("scale"), "rows"), "grp")
 
 
-def quality(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source", share: float = 0.75, steps: int = 4, cut: float = 1 - 1e-6, least_rows: int = 100) -> DataFrame:
+def estimates(rows: DataFrame, share: float, steps: int, inner: float = 0.975) -> DataFrame:
+    """grp -> m_i, w_ij, scale, rows for rows (grp, salt, x0..x4)."""
+    mid = written(_medians(rows, _x, "c"), "medians")
+    few = mid.count() <= FEW_GROUPS
+    centre = mid.drop("rows")
+    off = _medians(_meet(rows, centre, few), lambda i: F.abs(_x(i) - F.col(f"c{i}")), "d")
+    none = F.lit(0.0)
+    medians = centre.join(off.drop("rows"), "grp").select("grp", F.lit(0).alias("start"), *(F.col(f"c{i}").alias(f"m{i}") for i in range(P)), *((1 / (1.4826 * F.col(f"d{i}") + FLOORS[i]) if i == j else none).alias(f"w{i}{j}") for i in range(P) for j in range(i + 1)), F.lit(math.inf).alias("logdet"))
+    means = _fitted(_meet(rows, centre, few), centre, ["grp"]).withColumn("start", F.lit(1)).withColumn("logdet", F.lit(math.inf))
+    now = written(medians.unionByName(means), "estimates")
+    for _ in range(steps):
+        near = _meet(rows, now, few).select("grp", "salt", "start", *VALUES, _bin(_distance()).alias("bin"))
+        edge = _at_share(near.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("n")), ["grp", "start"], share).select("grp", "start", F.col("bin").alias("edge"))
+        kept = _meet(near, edge.groupBy("grp").agg(*(F.max(F.when(F.col("start") == k, F.col("edge"))).alias(f"edge{k}") for k in (0, 1))), few).where(F.col("bin") <= F.when(F.col("start") == 0, F.col("edge0")).otherwise(F.col("edge1")))
+        old, now = now, written(_fitted(_meet(kept, centre, few), centre, ["grp", "start"]), "estimates")
+        moved = now.join(old.select("grp", "start", F.col("logdet").alias("before")), ["grp", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
+        forget(old)
+        if moved is None or moved <= TOLERANCE:
+            break
+    best = now.groupBy("grp").agg(F.min_by(F.struct(*MEANS, *WEIGHTS), F.struct("logdet", "start")).alias("b")).select("grp", "b.*")
+    best = written(_scaled(rows, written(best, "estimates"), few), "estimates")
+    # Reweighting: all rows that the estimate finds usual.
+    usual = _meet(rows, best.drop("rows"), few).where(_distance() / F.col("scale") <= chi_square_at(inner, P)).select("grp", "salt", *VALUES)
+    final = written(_fitted(_meet(usual, centre, few), centre, ["grp"]).drop("logdet"), "estimates")
+    return written(_scaled(rows, final, few), "estimates")
+
+
+def quality(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source", share: float = 0.75, steps: int = 10, cut: float = 1 - 1e-6, least_rows: int = 100) -> DataFrame:
     """(key, statistics, base_failed, distance, kept)."""
     named = df.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
     stats = written(statistics(named).drop("text").withColumn("base_failed", base_failed()), "text-statistics")

@@ -16,7 +16,9 @@ within a shard are numbered the same way; no step orders a shard, class or group
 in one task.
 
 Null and empty texts have size 1, and are one group each.  Rows that repeat a
-key are rows of their own.
+key are rows of their own.  Groups of one size take their places by their hash, so ties are
+settled by the texts alone; slots go by key.  Very long texts are groups like any other;
+an empty table gives no rows.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

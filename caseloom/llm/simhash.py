@@ -13,7 +13,9 @@ than the links, so that neither memory nor rows follow the square of a group.
 
 Texts: A-Z lower-cased, words split at ASCII white space, shingles of three
 words (fewer words: the whole sequence).  Null and empty texts have fingerprint
-zero and are linked like any other.  Rows that repeat a key are one document.
+zero and are linked like any other.  Very long texts are read whole.  Rows that repeat a
+key are one document, whose rows keep their own fingerprints; a group without any key has
+none as its name.  An empty table gives no rows.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
