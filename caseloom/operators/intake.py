@@ -85,6 +85,27 @@ def hashed_texts(messages: DataFrame, key: str, order: list[str], text: str, sep
     return out.withColumnRenamed("_n", count) if count else out.drop("_n")
 
 
+def cumulative_texts(messages: DataFrame, key: str, order: str, text: str, name: str, separator: str = " ") -> DataFrame:
+    """Add ``name``: all texts of the key up to the row, joined.  Its size is quadratic in the rows of a key by its nature; ``running_hashes`` is not."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return messages.withColumn(name, F.array_join(F.collect_list(text).over(w), separator))
+
+
+def running_hashes(messages: DataFrame, key: str, order: list[str], text: str, ident: str, name: str, separator: str = " ") -> DataFrame:
+    """(key, ident, name): SHA-256 of all texts of the key up to each row, joined; null texts are left out."""
+
+    def step(s, row):
+        h, seen = s if s is not None else (hashlib.sha256(), False)
+        id_, t = row
+        if t is not None:
+            h.update((separator if seen else "").encode() + t.encode())
+            seen = True
+        return (h, seen), [(id_, h.copy().hexdigest())]
+
+    kind = messages.schema[ident].dataType.simpleString()
+    return folded(messages, [key], [F.col(o) for o in order], [F.col(ident), F.col(text)], lambda: None, step, f"{ident} {kind}, {name} string")
+
+
 def last_within(rows: DataFrame, key: str, at: str, ident: str, kind: Column, seconds: int) -> DataFrame:
     """Add last_id: the newest earlier row of the key for which ``kind`` holds, at most ``seconds`` older.
 

@@ -86,6 +86,11 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], name: str, salts:
     return placed.select(*df.columns, (F.col("_base") + F.col("_place")).cast("long").alias(name))
 
 
+def batched(rows: DataFrame, by: list[str], order: list[Column], name: str, size: int) -> DataFrame:
+    """Add the number, from 0, of the batch of at most ``size`` rows that a row falls into, in order within ``by``."""
+    return ranked(rows, by, order, name).withColumn(name, F.floor(F.col(name) / size).cast("long"))
+
+
 def zipped(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
     """Rows of two tables by their places in their orders; the longer one's rest is left out.
 

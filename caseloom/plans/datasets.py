@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from caseloom.functions import text
 from caseloom.operators import datasets as ds
+from caseloom.operators.keyed import batched
 from caseloom.operators.spans import placed
 
 from .registry import query, table
@@ -209,10 +209,11 @@ def m10(spark, d):
     return out.select("name", "file_exists", "sha256_matches", "actual_count", "count_matches", "split_hash_matches", "zero_leakage", "is_valid")
 
 
-@query("M11_priority_batches", "SELECT o_orderstatus, o_orderkey, ((row_number() OVER (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderpriority, o_orderkey) - 1) // 5)::INT AS batch FROM orders")
+@query("M11_priority_batches", "SELECT o_orderstatus, o_orderkey, (row_number() OVER (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderpriority, o_orderkey) - 1) // 5 AS batch FROM orders")
 def m11(spark, d):
-    w = Window.partitionBy("o_orderstatus", "o_custkey").orderBy("o_orderpriority", "o_orderkey")
-    return table(spark, d, "orders").select("o_orderstatus", "o_orderkey", F.floor((F.row_number().over(w) - 1) / 5).cast("int").alias("batch"))
+    level = F.substring("o_orderpriority", 1, 1).try_cast("int")
+    o = table(spark, d, "orders").select("o_orderstatus", "o_custkey", "o_orderkey", "o_orderpriority")
+    return batched(o, ["o_orderstatus", "o_custkey"], [level, F.col("o_orderpriority"), F.col("o_orderkey")], "batch", 5).select("o_orderstatus", "o_orderkey", "batch")
 
 
 @query("M12_lexicon_check", "SELECT p_partkey, NOT contains(upper(p_name), 'SMALL') AND NOT contains(p_name, 'ring') AND (contains(p_name, 'widget') OR contains(p_name, 'bolt')) AS valid FROM part")

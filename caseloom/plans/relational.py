@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from caseloom.functions import scores, text
 from caseloom.operators import cases
+from caseloom.operators.keyed import batched, ranked
 
 from .registry import query, table
 
@@ -412,17 +413,18 @@ def g2(spark, d):
     return table(spark, d, "orders").where("o_orderstatus = 'O'").orderBy("o_orderdate", "o_orderkey").limit(1).select("o_orderkey")
 
 
-@query("G5_priority_order", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '5-LOW' THEN 3 ELSE 2 END, o_orderkey)::INT AS place FROM orders")
+@query("G5_priority_order", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '5-LOW' THEN 3 ELSE 2 END, o_orderkey) AS place FROM orders")
 def g5(spark, d):
     risk = F.regexp_extract("o_orderpriority", r"-(.*)$", 1)
-    w = Window.partitionBy("o_custkey").orderBy(scores.priority(risk), "o_orderkey")
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("place"))
+    placed = ranked(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), ["o_custkey"], [scores.priority(risk), F.col("o_orderkey")], "place")
+    return placed.select("o_custkey", "o_orderkey", (F.col("place") + 1).alias("place"))
 
 
-@query("G7_fixed_batches", "SELECT o_custkey, o_orderkey, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) - 1) // 5)::INT AS batch FROM orders")
+@query("G7_fixed_batches", "SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) - 1) // 5 AS batch FROM orders")
 def g7(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderpriority", "o_orderkey")
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.floor((F.row_number().over(w) - 1) / 5).cast("int").alias("batch"))
+    level = F.substring("o_orderpriority", 1, 1).try_cast("int")
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    return batched(o, ["o_custkey"], [level, F.col("o_orderpriority"), F.col("o_orderkey")], "batch", 5).select("o_custkey", "o_orderkey", "batch")
 
 
 @query("G8_feed", "SELECT event_id, event_type FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 100")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caseloom.functions import text, vectors
-from caseloom.operators import cases, ledger, retrieval, spans
+from caseloom.operators import cases, intake, ledger, retrieval, spans
 from caseloom.operators.keyed import ranked
 
 from .registry import query, table
@@ -137,10 +137,10 @@ def f8(spark, d):
     return spans.repaired(t, ["conv_id", "turn"], "token_start").select("conv_id", "turn", "token_start", "tag")
 
 
-@query("F4_cumulative_text", "SELECT conv_id, turn, md5(string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) AS text_md5 FROM conversations")
+@query("F4_cumulative_text", "SELECT conv_id, turn, sha256(string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) AS text_hash FROM conversations")
 def f4(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(F.array_join(F.collect_list("text").over(w), " ")).alias("text_md5"))
+    """The hash of all texts up to each turn; a running hash, so no text is repeated."""
+    return intake.running_hashes(table(spark, d, "conversations"), "conv_id", ["turn"], "text", "turn", "text_hash").select("conv_id", "turn", "text_hash")
 
 
 @query("I9_regex_entities", r"""

@@ -204,4 +204,30 @@ def test_streaming_bursts(spark, tmp_path):
     stream = spark.readStream.schema("k string, id int, s int, at timestamp").parquet(str(tmp_path / "in")).withWatermark("at", "1 second")
     q = assembled(stream, "k", "at", "id").writeStream.format("memory").queryName("bursts").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {(r.key, r.burst, r.ids) for r in spark.table("bursts").collect()} >= {("a", 0, "0,1,2"), ("a", 1, "3")}
+    import hashlib
+
+    seen = ""
+    for i in "012":
+        seen = hashlib.md5((seen + i).encode()).hexdigest()
+    got = {(r.key, r.burst, r.n, r.ids_hash) for r in spark.table("bursts").collect()}
+    assert got >= {("a", 0, 3, seen), ("a", 1, 1, hashlib.md5(b"3").hexdigest())}
+
+
+def test_broker_polls_and_commits(spark):
+    from caseloom.sources import broker
+
+    log = broker.appended(spark.createDataFrame([("t", i) for i in range(7)] + [("u", 0)], "topic string, n int"), "topic", [F.col("n")], "log_offset")
+    at = spark.createDataFrame([("t", 5)], "topic string, committed long")
+    polled = broker.polled(log, at, "topic", "log_offset", 4)
+    assert {(r.topic, r.n) for r in polled.collect()} == {("t", 5), ("t", 6), ("u", 0)}
+    assert {tuple(r) for r in broker.committed(at, polled.where("n < 6"), "topic", "log_offset").collect()} == {("t", 6), ("u", 1)}
+
+
+def test_manifest_of_held_out_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", str(i), "x") for i in range(3)] + [("b", "9", "y")], "split string, id string, text string")
+    made = files.exported(rows, str(tmp_path / "out"), "split")
+    assert {(r.split, r.records) for r in made.collect()} == {("a", 3), ("b", 1)}
+    listed = made.select(F.col("split").alias("name"), "path", "sha256", F.lit(3).alias("expected_count"), F.lit(None).cast("string").alias("split_hash"))
+    got = {r.name: r for r in files.validated(spark, str(tmp_path / "out"), listed, ["id"], spark.createDataFrame([("9",)], "id string")).collect()}
+    assert got["a"].is_valid and got["a"].split_hash_matches is None
+    assert not got["b"].is_valid and not got["b"].count_matches and not got["b"].zero_leakage and got["b"].sha256_matches
