@@ -26,16 +26,25 @@ from caseloom.llm import bpe, decontaminate, fm, langid, simhash
 from caseloom.llm.store import free_name, table, written
 
 
+#: Rows of ids and marks (40 bytes each) that go to every task; more meet the documents by key.
+FEW = 300_000
+
+
 def _mark():
     """What names a text: its SHA-256; null for null."""
-    return F.sha2("text", 256)
+    return F.unhex(F.sha2("text", 256))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` (written), with a broadcast hint if there are at most ``FEW``."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
 def _without(docs: DataFrame, rejected: DataFrame, mark: str) -> DataFrame:
-    """``docs`` without the rows named in ``rejected`` (doc_id, mark); a small table is broadcast by its written size."""
+    """``docs`` without the rows named in ``rejected`` (doc_id, mark)."""
     ident, text_mark = free_name(docs, "ident"), free_name(docs, "text_mark")
     gone = written(rejected.select(F.col("doc_id").alias(ident), F.col(mark).alias(text_mark)).distinct(), "rejected")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(ident)) & _mark().eqNullSafe(F.col(text_mark)), "left_anti")
+    return docs.join(_few(gone), F.col("doc_id").eqNullSafe(F.col(ident)) & _mark().eqNullSafe(F.col(text_mark)), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,23 +63,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least doc_id of each group of near-duplicates (operator 10).
 
-    Rows of one doc_id are one document, so the kept ids are looked up twice: those of one row
-    stay as they are, of those of several rows one of equal texts stays.
+    Rows of one doc_id are one document, which stays if one of its rows names a group: the
+    ids that name none go, and of rows that repeat an id and a text one stays.
     """
-    judged = written(simhash.near_duplicates(docs), "groups")
     ident, rows, mark = (free_name(docs, n) for n in ("ident", "rows", "mark"))
-    ids = judged.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(ident)).agg(F.count(F.lit(1)).alias(rows))
-    ids = written(ids, "kept-ids")
-    of = lambda which: docs.join(ids.where(which), F.col("doc_id").eqNullSafe(F.col(ident)), "left_semi")
-    several = of(F.col(rows) > 1).withColumn(mark, _mark()).dropDuplicates(["doc_id", mark]).drop(mark)
-    return of(F.col(rows) == 1).unionByName(several)
+    judged = simhash.near_duplicates(docs)
+    names = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = judged.groupBy(F.col("doc_id").alias(ident)).agg(F.count(F.lit(1)).alias(rows), names.alias("stays")).where(f"NOT stays OR {rows} > 1")
+    ids = written(ids, "odd-ids")
+    gone, repeated = _few(ids.select(ident)), _few(ids.where("stays").select(ident))
+    same = F.col("doc_id").eqNullSafe(F.col(ident))
+    several = docs.join(repeated, same, "left_semi").withColumn(mark, _mark()).dropDuplicates(["doc_id", mark]).drop(mark)
+    return docs.join(gone, same, "left_anti").unionByName(several)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that a benchmark item leaks into (operator 5)."""
-    rows = docs.select(F.struct("doc_id", _mark().alias("mark")).alias("row"), "text")
-    found = decontaminate.leaks(rows, table(spark, sf_dir, "benchmark"), key="row")
-    return _without(docs, found.select("row.doc_id", "row.mark"), "mark")
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
