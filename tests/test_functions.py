@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.functions import scores, text, vectors
-from caseloom.operators import cases, spans
+from caseloom.operators import cases, datasets, spans
 
 
 def one(spark, *columns):
@@ -92,3 +92,49 @@ def test_merged_spans_stop_at_another_label(spark):
 def test_message_times(spark):
     at = lambda v: one(spark, F.unix_micros(scores.epoch_or_iso(F.lit(v), F.timestamp_seconds(F.lit(7)))))[0] / 1e6
     assert [at(v) for v in ("1700000000", "1700000000000", "2023-11-14T22:13:20Z", "soon")] == [1.7e9, 1.7e9, 1.7e9, 7]
+
+
+def test_word_lists_match_themselves_only(spark):
+    df = spark.createDataFrame([("abc",), ("x*",), ("a|b [c] $^?",), (None,)], "t string")
+    found = lambda words: [r[0] for r in df.select(text.any_word(F.col("t"), words)).collect()]
+    assert found([]) == [False, False, False, None]
+    assert found(["x*"]) == [False, True, False, None]
+    assert found(["[c]", "$^?"]) == [False, False, True, None]
+    alias = [r[0] for r in df.select(datasets.longest_alias(F.col("t"), ["b [c]", "a|b", "c", "ab"])).collect()]
+    assert alias == [None, None, "b [c]", None] and [r[0] for r in df.select(datasets.longest_alias(F.col("t"), [])).collect()] == [None] * 4
+
+
+def test_ngram_keys_tell_runs_apart(spark):
+    words = lambda s: F.array(*map(F.lit, s.split()))
+    a, b, c, d = one(spark, *(text.ngram_hashes(words(s), 3) for s in ("a b c d", "x a b c", "a b", "c b a")))
+    assert len(a) == 2 and a[0] == b[1] and c == [] and d[0] not in a
+    assert one(spark, text.word_count(F.lit("don't  été 中文 a_b")), F.size(text.word_tokens(F.lit("don't  été 中文 a_b"))))[:] == (5, 5)
+
+
+def test_ambiguous_places_and_landmarks(spark):
+    say = lambda t: one(spark, cases.completeness(F.lit(t)))[0]
+    assert say("Jalan rusak, patokannya belum jelas") == "AMBIGUOUS"
+    assert say("Lokasi persisnya masih belum diketahui") == "AMBIGUOUS"
+    assert say("lampu mati dekat taman lansia di dago") == "SUFFICIENT"
+    assert say("lampu mati") == "INCOMPLETE"
+
+
+def test_questions(spark):
+    ask = lambda f, c: one(spark, cases.question(F.lit(f), F.lit(c)))[0]
+    assert ask(" Location", "WASTE") == cases.LOCATION_QUESTIONS["WASTE"] and ask("location", "OTHER") == cases.FIELD_QUESTIONS["location"]
+    assert ask("alamat rumah", "ROAD") == cases.FIELD_QUESTIONS["location"] and ask("waktu", "ROAD") == cases.FIELD_QUESTIONS["time"]
+    assert "warna" in ask("warna", "ROAD")
+
+
+def test_masked_mean(spark):
+    tokens = F.array(F.array(F.lit(3.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(4.0)), F.array(F.lit(9.0), F.lit(9.0)))
+    mask = lambda *m: F.array(*map(F.lit, m))
+    assert one(spark, vectors.masked_mean(tokens, mask(1, 1, 0)))[0] == pytest.approx([0.6, 0.8])
+    assert one(spark, vectors.masked_mean(tokens, mask(0, 0, 0)))[0] == [0.0, 0.0]
+
+
+def test_constituents_and_synonyms(spark):
+    got = one(spark, datasets.constituents(F.lit("lampu jalan mati/redup di dekat pasar-baru lama"), ["di", "dan"]))[0]
+    assert got == ["lampu jalan mati", "atau redup", "di dekat pasar", "baru lama"]
+    assert one(spark, datasets.constituents(F.lit("a b c d"), []))[0] == ["a b c d"] and one(spark, datasets.constituents(F.lit("  "), []))[0] == []
+    assert one(spark, datasets.synonyms(F.lit("The cat, thé the_x THE"), {"the": "this"}))[0] == "this cat, thé the_x this"
