@@ -18,8 +18,8 @@ import regex
 from .flat import gather, hashes
 
 S, L, N, O = 0, 1, 2, 3
-#: Bytes of pretokens that are compared one by one.
-LONG = 48
+#: Pretokens of more bytes are compared one by one.
+LONG = 256
 
 
 @cache
@@ -94,7 +94,9 @@ class Pool:
     """
 
     def __init__(self) -> None:
-        self.number: dict[int, int] = {}
+        #: Keys of pretokens and their numbers, side by side; the table over them is made anew after new ones.
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.table = pd.Index(self.keys)
         self.odd: dict[bytes, int] = {}
         self.count = self.taken = 0
         self.held: list[np.ndarray] = []
@@ -128,8 +130,8 @@ class Pool:
         # Occurrences whose bytes differ from those of the first with their key.
         odd = lens != lens[first][code]
         odd |= _differ(buf, starts, buf, starts[first][code], np.where(odd, 0, lens))
-        get = self.number.get
-        known = np.fromiter((get(x, -1) for x in uniq.tolist()), np.int64, len(uniq))
+        place = self.table.get_indexer(uniq)
+        known = np.where(place >= 0, self.numbers[place] if len(self.numbers) else -1, -1)
         old = np.flatnonzero(known >= 0)
         if len(old):  # the same for pretokens of earlier calls
             self._settle()
@@ -142,7 +144,9 @@ class Pool:
         new = np.flatnonzero(known < 0)
         a, n = starts[first[new]], lens[first[new]]
         known[new] = self._add(buf[gather(a, n)], n)
-        self.number.update(zip(uniq[new].tolist(), known[new].tolist(), strict=True))
+        if len(new):
+            self.keys, self.numbers = np.concatenate([self.keys, uniq[new]]), np.concatenate([self.numbers, known[new]])
+            self.table = pd.Index(self.keys)
         out = known[code]
         for i in np.flatnonzero(odd).tolist():
             word = buf[starts[i] : ends[i]]
@@ -158,14 +162,26 @@ class Pool:
         return self.data[self.ends[at] :], np.diff(self.ends[at:])
 
 
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one number; beyond the end are zeros."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+
+
 def _differ(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Whether pieces of ``a`` and ``b`` of the same lengths differ."""
-    out = np.zeros(len(lens), bool)
-    for i in np.flatnonzero(lens > LONG).tolist():
-        out[i] = not np.array_equal(a[a_at[i] : a_at[i] + lens[i]], b[b_at[i] : b_at[i] + lens[i]])
-    left, k = np.flatnonzero((lens > 0) & (lens <= LONG)), 0
+    """Whether pieces of ``a`` and ``b`` of the same lengths differ; eight bytes are compared at once."""
+    x = _eights(a)
+    y = x if b is a else _eights(b)
+    out = (x[a_at] ^ y[b_at]) & _FIRST[np.minimum(lens, 8)] != 0
+    left, k = np.flatnonzero((lens > 8) & (lens <= LONG)), 8
     while len(left):
-        out[left] |= a[a_at[left] + k] != b[b_at[left] + k]
-        k += 1
+        out[left] |= (x[a_at[left] + k] ^ y[b_at[left] + k]) & _FIRST[np.minimum(lens[left] - k, 8)] != 0
+        k += 8
         left = left[lens[left] > k]
+    for i in np.flatnonzero(lens > LONG).tolist():
+        out[i] = not np.array_equal(a[a_at[i] : a_at[i] + lens[i]], b[b_at[i] : b_at[i] + lens[i]])
     return out
