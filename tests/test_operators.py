@@ -231,3 +231,29 @@ def test_manifest_of_held_out_files(spark, tmp_path):
     got = {r.name: r for r in files.validated(spark, str(tmp_path / "out"), listed, ["id"], spark.createDataFrame([("9",)], "id string")).collect()}
     assert got["a"].is_valid and got["a"].split_hash_matches is None
     assert not got["b"].is_valid and not got["b"].count_matches and not got["b"].zero_leakage and got["b"].sha256_matches
+
+
+@pytest.mark.parametrize(("pivots", "size"), [(64, 4096), (3, 4), (1, 1)])
+def test_nearest_rows_equal_brute_force(spark, pivots, size):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 5))
+    v[10:20] = v[9]  # copies
+    rows = [(i, "a" if i % 4 else "b", v[i].tolist()) for i in range(60)] + [(60, "a", None), (61, "a", [0.0] * 5), (62, "a", [1.0]), (63, None, v[0].tolist())]
+    df = spark.createDataFrame(rows, "id long, block string, v array<double>")
+    got = retrieval.similar_pairs(df.where("id % 3 = 0"), df, "block", "id", "v", 0.2, 4, pivots, size)
+    want = set()
+    for i, b, x in rows:
+        if i % 3 or b is None or x is None or len(x) != 5:
+            continue
+        near = []
+        for j, c, y in rows:
+            if j != i and c == b and y is not None and len(y) == 5:
+                n = np.linalg.norm(x) * np.linalg.norm(y)
+                s = round(float(np.dot(x, y) / n), 6) if n > 1e-9 else 0.0
+                near += [(-s, j)] if s >= 0.2 else []
+        want |= {(i, j, -s, k) for k, (s, j) in enumerate(sorted(near)[:4], 1)}
+    assert {(r.query_id, r.entry_id, r.similarity, r["rank"]) for r in got.collect()} == want
+    assert retrieval.similar_pairs(df.limit(0), df, "block", "id", "v", 0.2, 4).count() == 0
+    assert retrieval.similar_pairs(df, df.limit(0), "block", "id", "v", 0.2, 4).count() == 0
