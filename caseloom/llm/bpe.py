@@ -5,7 +5,9 @@ text at a time), lays their bytes out in one linked array and replays the
 merges over all of them at once: an inverted index leads from the rank of a
 pair to the positions where it stands; the lowest rank present is applied at
 all its positions, and only the neighbours of these positions get new index
-entries.  Texts then map pretoken numbers to id ranges by array gathers.
+entries.  Pairs that make the same token share its rank, and so an entry: where two of
+them touch, the left one goes first, as the library has it.  Texts then map pretoken
+numbers to id ranges by array gathers.
 
 The corpus of a replay is what one task reads.  One replay for the whole table
 would need every occurrence of every word to be shuffled to its id list and
