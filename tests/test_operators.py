@@ -97,6 +97,19 @@ def test_bm25_prefers_the_matching_document(spark):
     assert again.doc_id == 1 and again.coverage == 1.0
 
 
+def test_bm25_held_and_joined_agree(spark):
+    import random
+
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice("abcdefghij") for _ in range(n))
+    docs = spark.createDataFrame([(i, text(r.randint(0, 30))) for i in range(80)] + [(None, "a b"), (90, None), (91, "")], "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame([(i, text(5)) for i in range(12)] + [(20, "zz"), (21, None)], "item_id int, text string")
+    held = {(x.item_id, x.doc_id): x.lexical_score for x in retrieval.bm25(docs, q).collect()}
+    joined = {(x.item_id, x.doc_id): x.lexical_score for x in retrieval.bm25(docs, q, held=0).collect()}
+    assert held == pytest.approx(joined) and len(held) > 300
+    assert retrieval.bm25(docs, q.where("item_id >= 20")).count() == 0 and retrieval.bm25(docs.limit(0), q).count() == 0
+
+
 def test_containing_small_and_large_lists(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "abcd"), (2, "bcx"), (3, None), (4, "")], "t long, text string")
     needles = spark.createDataFrame([(1, "bc"), (2, "d"), (3, "zz"), (4, None), (5, "bc"), (6, "")], "n long, needle string")
