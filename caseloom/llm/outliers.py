@@ -11,7 +11,7 @@ The estimate is the usual one by concentration steps: distances by the present
 estimate, then mean and covariance of the ``share`` of rows that are nearest.  A step
 never raises the determinant of the covariance.  Each group has two starts, medians with
 median deviations and the plain mean with the plain covariance; both take steps until no
-determinant moves by more than ``TOLERANCE`` (``steps`` at most), and the start with the
+logarithm of a determinant moves by more than ``TOLERANCE`` (``steps`` at most), and the start with the
 lesser determinant stays.  Then the estimate is reweighted: mean and covariance of all
 rows whose scaled distance is within the 0.975 quantile of the chi-square.  Distances are
 scaled so that their median in the group is that of the chi-square (the consistency factor).
@@ -50,7 +50,7 @@ FLOORS = (0.3, 0.15, 0.15, 0.3, 0.5)
 BINS = 256
 FEW_GROUPS = 10_000
 SALTS = 64
-TOLERANCE = 1e-6
+TOLERANCE = 1e-2
 MEANS = [f"m{i}" for i in range(P)]
 WEIGHTS = [f"w{i}{j}" for i in range(P) for j in range(i + 1)]
 VALUES = [f"x{i}" for i in range(P)]
@@ -203,8 +203,9 @@ def estimates(rows: DataFrame, share: float, steps: int, inner: float = 0.975) -
         near = _meet(rows, now, few).select("grp", "salt", "start", *VALUES, _bin(_distance()).alias("bin"))
         edge = _at_share(near.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("n")), ["grp", "start"], share).select("grp", "start", F.col("bin").alias("edge"))
         kept = _meet(near, edge.groupBy("grp").agg(*(F.max(F.when(F.col("start") == k, F.col("edge"))).alias(f"edge{k}") for k in (0, 1))), few).where(F.col("bin") <= F.when(F.col("start") == 0, F.col("edge0")).otherwise(F.col("edge1")))
-        old, now = now, written(_fitted(_meet(kept, centre, few), centre, ["grp", "start"]), "estimates")
-        moved = now.join(old.select("grp", "start", F.col("logdet").alias("before")), ["grp", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
+        step = _fitted(_meet(kept, centre, few), centre, ["grp", "start"]).join(now.select("grp", "start", F.col("logdet").alias("before")), ["grp", "start"])
+        old, now = now, written(step, "estimates")
+        moved = now.agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
         forget(old)
         if moved is None or moved <= TOLERANCE:
             break
@@ -216,7 +217,7 @@ def estimates(rows: DataFrame, share: float, steps: int, inner: float = 0.975) -
     return written(_scaled(rows, final, few), "estimates")
 
 
-def quality(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source", share: float = 0.75, steps: int = 10, cut: float = 1 - 1e-6, least_rows: int = 100) -> DataFrame:
+def quality(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source", share: float = 0.75, steps: int = 6, cut: float = 1 - 1e-6, least_rows: int = 100) -> DataFrame:
     """(key, statistics, base_failed, distance, kept)."""
     named = df.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
     stats = written(statistics(named).drop("text").withColumn("base_failed", base_failed()), "text-statistics")
@@ -224,6 +225,10 @@ def quality(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str =
     groups = [F.to_json(g, {"ignoreNullFields": "false"}) for g in groups]
     fine = stats.where(~F.col("base_failed")).select(*(x.alias(f"x{i}") for i, x in enumerate(vector())), *(g.alias(f"g{k}") for k, g in enumerate(groups)), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
     rows = written(fine.select(F.explode(F.array("g0", "g1", "g2")).alias("grp"), "salt", *(f"x{i}" for i in range(P))), "vectors")
+    # Groups too small to decide need no estimate; the whole is the last resort.
+    size = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    large = written(size.where((F.col("n") >= least_rows) | (F.get_json_object("grp", "$.level") == "0")).select("grp"), "large-groups")
+    rows = written(rows.join(F.broadcast(large) if large.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else large, "grp", "left_semi"), "vectors")
     fitted = estimates(rows, share, steps)
     # Each group takes the estimate of the most specific level with enough rows.
     large = fitted.where(F.col("rows") >= least_rows)

@@ -96,8 +96,8 @@ def _statistics(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
 
 
-def _estimate(x, share=0.75, steps=10):
-    """The estimate of one group, by plain arrays: two starts, concentration steps, scale, reweighting, scale."""
+def _estimates(groups, share=0.75, steps=6):
+    """The estimates of all groups, by plain arrays: two starts, concentration steps until all settle, scale, reweighting, scale."""
     floors = np.array(outliers.FLOORS)
 
     def grid_median(v):
@@ -111,22 +111,29 @@ def _estimate(x, share=0.75, steps=10):
         cov = np.cov(v.T, bias=True).reshape(len(floors), -1) + np.diag(floors**2)
         return v.mean(axis=0), np.linalg.inv(np.linalg.cholesky(cov)), np.linalg.slogdet(cov)[1]
 
-    distance = lambda m, w: (((x - m) @ w.T) ** 2).sum(axis=1)
+    distance = lambda x, m, w: (((x - m) @ w.T) ** 2).sum(axis=1)
     scale = lambda d: max(1.0, math.expm1((at(bins(d), 0.5) + 0.5) / outliers.BINS) / outliers.chi_square_at(0.5, 5))
-    c = np.array([grid_median(v) for v in x.T])
-    mad = np.array([grid_median(np.abs(v - m)) for v, m in zip(x.T, c, strict=True)])
-    best = None
-    for m, w in ((c, np.diag(1 / (1.4826 * mad + floors))), fit(x)[:2]):
-        for _ in range(steps):
-            b = bins(distance(m, w))
-            m, w, det = fit(x[b <= at(b, share)])
-        if best is None or det < best[2] - 1e-9:
-            best = (m, w, det)
-    m, w, _ = best
-    d = distance(m, w)
-    m, w, _ = fit(x[d / scale(d) <= outliers.chi_square_at(0.975, 5)])
-    d = distance(m, w)
-    return lambda v: (((v - m) @ w.T) ** 2).sum() / scale(d)
+    now = {}
+    for g, x in groups.items():
+        c = np.array([grid_median(v) for v in x.T])
+        mad = np.array([grid_median(np.abs(v - m)) for v, m in zip(x.T, c, strict=True)])
+        now[g, 0] = c, np.diag(1 / (1.4826 * mad + floors)), math.inf
+        now[g, 1] = *fit(x)[:2], math.inf
+    for _ in range(steps):
+        old = now
+        now = {}
+        for (g, s), (m, w, _) in old.items():
+            b = bins(distance(groups[g], m, w))
+            now[g, s] = fit(groups[g][b <= at(b, share)])
+        if max(abs(now[k][2] - old[k][2]) for k in now) <= outliers.TOLERANCE:
+            break
+    out = {}
+    for g, x in groups.items():
+        m, w, _ = min((now[g, 0], now[g, 1]), key=lambda e: e[2])
+        d = distance(x, m, w)
+        m, w, _ = fit(x[d / scale(d) <= outliers.chi_square_at(0.975, 5)])
+        out[g] = m, w, scale(distance(x, m, w))
+    return out
 
 
 def test_op6_equals_brute_force(spark, docs):
@@ -145,12 +152,12 @@ def test_op6_equals_brute_force(spark, docs):
         if r.doc_id in vectors:
             for g in ((), (r.lang,), (r.lang, r.source)):
                 groups[g].append(r.doc_id)
-    known = {g: _estimate(np.array([vectors[i] for i in ids])) for g, ids in groups.items() if len(ids) >= 100 or g == ()}
+    known = _estimates({g: np.array([vectors[i] for i in ids]) for g, ids in groups.items() if len(ids) >= 100 or g == ()})
     cut = outliers.chi_square_at(1 - 1e-6, 5)
     for r in docs:
         if r.doc_id in vectors:
-            of = next(known[g] for g in ((r.lang, r.source), (r.lang,), ()) if g in known)
-            d = of(vectors[r.doc_id])
+            m, w, scale = next(known[g] for g in ((r.lang, r.source), (r.lang,), ()) if len(groups[g]) >= 100 or g == ())
+            d = (((vectors[r.doc_id] - m) @ w.T) ** 2).sum() / scale
             assert got[r.doc_id].distance == pytest.approx(d, rel=1e-6, abs=1e-6) and got[r.doc_id].kept == (d <= cut)
         else:
             assert not got[r.doc_id].kept
