@@ -223,7 +223,8 @@ def quality(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str =
     stats = written(statistics(named).drop("text").withColumn("base_failed", base_failed()), "text-statistics")
     groups = [F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")), F.struct(F.lit(1).alias("level"), F.col("lang"), F.lit(None).cast("string").alias("source")), F.struct(F.lit(2).alias("level"), "lang", "source")]
     groups = [F.to_json(g, {"ignoreNullFields": "false"}) for g in groups]
-    fine = stats.where(~F.col("base_failed")).select(*(x.alias(f"x{i}") for i, x in enumerate(vector())), *(g.alias(f"g{k}") for k, g in enumerate(groups)), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
+    # The salt deals rows only; it follows no key, so rows that repeat one are dealt as well.
+    fine = stats.where(~F.col("base_failed")).select(*(x.alias(f"x{i}") for i, x in enumerate(vector())), *(g.alias(f"g{k}") for k, g in enumerate(groups)), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
     rows = written(fine.select(F.explode(F.array("g0", "g1", "g2")).alias("grp"), "salt", *(f"x{i}" for i in range(P))), "vectors")
     # Groups too small to decide need no estimate; the whole is the last resort.
     size = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
