@@ -16,12 +16,15 @@ WITH RECURSIVE {E},
 b(user_id, event_id, t, i, burst, first) AS (SELECT user_id, event_id, t, i, 0, t FROM e WHERE i = 1 UNION ALL
 SELECT e.user_id, e.event_id, e.t, e.i, CASE WHEN e.t > least(b.first + 86400000000, b.t + 21600000000) THEN b.burst + 1 ELSE b.burst END, CASE WHEN e.t > least(b.first + 86400000000, b.t + 21600000000) THEN e.t ELSE b.first END FROM b JOIN e {NEXT})
 """
-K = F.get_json_object("props", "$.k").cast("int")
 HOUR = 3600 * 1_000_000
 
 
+def _k():
+    return F.get_json_object("props", "$.k").cast("int")
+
+
 def _events(spark, d):
-    return table(spark, d, "events").withColumn("t", ledger.micros("ts")).withColumn("k", K)
+    return table(spark, d, "events").withColumn("t", ledger.micros("ts")).withColumn("k", _k())
 
 
 def _bursts(spark, d):
@@ -83,8 +86,8 @@ b(user_id, event_id, i, case_no) AS (SELECT user_id, event_id, i, event_id FROM
 SELECT user_id, event_id, case_no FROM b""")
 def k4(spark, d):
     """The case of every event of a user, by quote, key, recency or a new case."""
-    quoted = F.when(K % 10 == 0, F.col("event_id") - 150)
-    label = F.when(K % 7 == 0, F.concat(F.lit("key-"), K % 3))
+    quoted = F.when(_k() % 10 == 0, F.col("event_id") - 150)
+    label = F.when(_k() % 7 == 0, F.concat(F.lit("key-"), _k() % 3))
     return ledger.association(table(spark, d, "events"), "user_id", "ts", "event_id", quoted, label, F.col("event_type") == "error", 48 * 3600)
 
 
