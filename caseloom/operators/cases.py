@@ -158,17 +158,26 @@ def complaint(text: Column, intent: Column, risk: Column, category: Column, haza
     return yes & ~(tx.any_word(lower, list(opinion)) & ~danger)
 
 
-def completeness(text: Column, locations: Column | None = None, rules: dict | None = None) -> Column:
-    """SUFFICIENT, INCOMPLETE or AMBIGUOUS, by ordered evidence; ``locations``: texts of location entities."""
+def completeness(text: Column, locations: Column | None = None, rules: dict | None = None, collapse: bool = True) -> Column:
+    """SUFFICIENT, INCOMPLETE or AMBIGUOUS, by ordered evidence; ``locations``: texts of location entities.
+
+    ``collapse``: runs of white space count as one space, else the text is matched as it is.  The
+    street rule may be a pair: a pattern whose group 1 is a name, found one behind the other, and a pattern of what is no name.
+    """
     r = {"ambiguous": [AMBIGUOUS], "phrases": AMBIGUOUS_PHRASES, "formal": FORMAL, "street": STREET, "number": NUMBER, "landmark": LANDMARK, "area": AREA} | (rules or {})
-    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
+    plain = F.trim(F.regexp_replace(text, r"\s+", " ")) if collapse else text
     evidence = plain if locations is None else F.concat_ws(" ", plain, F.array_join(locations, " "))
     vague, formal = tx.any_word(F.lower(plain), r["phrases"]), F.lit(True)
     for p in r["ambiguous"]:
         vague = vague | plain.rlike(p)
     for p in r["formal"]:
         formal = formal & evidence.rlike(p)
-    street, number, landmark, area = (evidence.rlike(r[k]) for k in ("street", "number", "landmark", "area"))
+    number, landmark, area = (evidence.rlike(r[k]) for k in ("number", "landmark", "area"))
+    if isinstance(r["street"], tuple):
+        name, no_name = r["street"]
+        street = F.exists(F.regexp_extract_all(evidence, F.lit(name), 1), lambda w: ~w.rlike(no_name))
+    else:
+        street = evidence.rlike(r["street"])
     several = F.lit(False) if locations is None else (F.size(locations) >= 2) & (landmark | (street & number))
     return F.when(vague, "AMBIGUOUS").when(formal | (street & number) | (landmark & (area | street)) | (street & area) | several, "SUFFICIENT").otherwise("INCOMPLETE")
 
